@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from overlapse.llm import cluster_queries, set_queries
+from overlapse.llm import cluster_queries, leak_queries, set_queries
 
-_MODULES = [cluster_queries, set_queries]
+_MODULES = [cluster_queries, set_queries, leak_queries]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
