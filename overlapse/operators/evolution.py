@@ -1,0 +1,71 @@
+"""Random changes of interval sets, with randomness derived from a hash of the row, so that a result
+can be repeated on any partitioning."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from overlapse.functions.hashing import md5_60
+from overlapse.plans.session import cut
+
+
+def uniform(label: str, *cols: str) -> Column:
+    """A number in [0, 1) from a label and the row's columns."""
+    text = F.concat_ws("|", F.lit(label), *(F.col(c).cast("string") for c in cols))
+    return F.shiftrightunsigned(md5_60(text), 10) / float(1 << 50)
+
+
+def synthetic_intervals(files: DataFrame, keys: Sequence[str], per_file: int, chroms: int = 24, span: int = 10_000_000, longest: int = 10_000) -> DataFrame:
+    """``per_file`` intervals for each row of ``files``: a chromosome, a start in [0, span) and a
+    length in [100, longest)."""
+    rows = files.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(per_file))).alias("i"))
+    start = F.floor(uniform("start", *keys, "i") * span)
+    length = 100 + F.floor(uniform("length", *keys, "i") * (longest - 100))
+    chrom = F.concat(F.lit("chr"), (1 + F.floor(uniform("chrom", *keys, "i") * chroms)).cast("string"))
+    return rows.select(*keys, "i", chrom.alias("chrom"), start.alias("start")).withColumn("end", F.col("start") + length)
+
+
+def _draw(rows: DataFrame, label: str, keys: Sequence[str]) -> Column:
+    return uniform(label, *keys, "chrom", "start", "end")
+
+
+def delete(intervals: DataFrame, keys: Sequence[str], rate: float, label: str = "delete") -> DataFrame:
+    """Drops each interval with chance ``rate``."""
+    return intervals.where(_draw(intervals, label, keys) >= rate)
+
+
+def jitter(intervals: DataFrame, keys: Sequence[str], rate: float, amount: int = 100, label: str = "jitter") -> DataFrame:
+    """Moves start and end of each interval, with chance ``rate``, by up to ``amount`` independently;
+    starts stay at least 0 and ends beyond starts."""
+    move = lambda end: F.floor(_draw(intervals, f"{label}-{end}", keys) * (2 * amount + 1)).cast("bigint") - amount
+    hit = _draw(intervals, label, keys) < rate
+    rows = intervals.withColumns({"_hit": hit, "_s": move("start"), "_e": move("end")})
+    start = F.when(F.col("_hit"), F.greatest(F.lit(0).cast("bigint"), F.col("start") + F.col("_s"))).otherwise(F.col("start"))
+    rows = rows.withColumn("_end", F.when(F.col("_hit"), F.col("end") + F.col("_e")).otherwise(F.col("end"))).withColumn("start", start)
+    return rows.withColumn("end", F.greatest(F.col("_end"), F.col("start") + 1)).drop("_hit", "_s", "_e", "_end")
+
+
+def replace(intervals: DataFrame, keys: Sequence[str], rate: float, span: int = 10_000_000, label: str = "replace") -> DataFrame:
+    """With chance ``rate`` an interval changes: half of those vanish, half move to a new place."""
+    draw = _draw(intervals, label, keys)
+    rows = intervals.withColumn("_d", draw).where(F.col("_d") >= rate / 2)
+    place = F.floor(uniform(f"{label}-place", *keys, "chrom", "start", "end") * span).cast("bigint")
+    rows = rows.withColumn("_n", F.when(F.col("_d") < rate, place).otherwise(F.col("start")))
+    return rows.withColumn("end", F.col("_n") + F.col("end") - F.col("start")).withColumn("start", F.col("_n")).drop("_d", "_n")
+
+
+def evolve(intervals: DataFrame, keys: Sequence[str], rate: float, generations: int, kind: str = "jitter", step: int = 1) -> DataFrame:
+    """(generation, keys, chrom, start, end): snapshots every ``step`` generations, the first being
+    the input.  Lineage is cut at each snapshot, so plans stay short."""
+    change = {"delete": delete, "jitter": jitter, "replace": replace}[kind]
+    now = intervals.select(*keys, "chrom", "start", "end")
+    out = now.withColumn("generation", F.lit(0))
+    for g in range(1, generations + 1):
+        now = change(now, keys, rate, label=f"{kind}-{g}")
+        if g % step == 0:
+            now = cut(now)
+            out = out.unionByName(now.withColumn("generation", F.lit(g)))
+    return out.select("generation", *keys, "chrom", "start", "end")

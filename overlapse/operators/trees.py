@@ -1,0 +1,132 @@
+"""Hierarchical clustering and neighbour joining of small distance matrices.
+
+Both work on whole matrices and are sequential, so they take groups (mean similarities of tissues,
+marks, species) of at most ``limit`` items and refuse more; clusters of many files are the business
+of label propagation.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LIMIT = 512
+
+
+def _matrix(pdf: pd.DataFrame, limit: int) -> tuple[list, np.ndarray]:
+    """Names and symmetric distances, 1 - similarity; unmeasured pairs are at distance 1."""
+    names = sorted({*pdf["a"], *pdf["b"]})
+    if len(names) > limit:
+        raise ValueError(f"{len(names)} items; at most {limit} are clustered as one matrix")
+    place = {n: i for i, n in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    np.fill_diagonal(d, 0.0)
+    for a, b, s in zip(pdf["a"], pdf["b"], pdf["similarity"]):
+        if a != b and s == s:
+            d[place[a], place[b]] = d[place[b], place[a]] = 1 - s
+    return names, d
+
+
+def merge_order(d: np.ndarray, method: str) -> list[tuple[int, int, float]]:
+    """(cluster, cluster, height) of each merge; new clusters are numbered on from the items."""
+    n = len(d)
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    ident, size, out = list(range(n)), np.ones(n), []
+    for step in range(n - 1):
+        i, j = divmod(int(d.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        height = d[i, j]
+        out.append((ident[i], ident[j], float(height)))
+        joined = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) if method == "average" else np.maximum(d[i], d[j])
+        joined[[i, j]] = np.inf
+        d[i], d[:, i] = joined, joined
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        ident[i] = n + step
+    return out
+
+
+def cut_tree(n: int, merges: list[tuple[int, int, float]], k: int) -> list[int]:
+    """Cluster numbers, from 1 in order of first item, once ``k`` clusters are left."""
+    members = {i: [i] for i in range(n)}
+    for step, (a, b, _) in enumerate(merges[: max(0, n - k)]):
+        members[n + step] = members.pop(a) + members.pop(b)
+    out = [0] * n
+    for number, items in enumerate(sorted(members.values(), key=min), 1):
+        for i in items:
+            out[i] = number
+    return out
+
+
+def cophenetic(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
+    """Heights at which each pair of items first meets."""
+    members = {i: [i] for i in range(n)}
+    out = np.zeros((n, n))
+    for step, (a, b, height) in enumerate(merges):
+        one, two = members.pop(a), members.pop(b)
+        out[np.ix_(one, two)] = height
+        out[np.ix_(two, one)] = height
+        members[n + step] = one + two
+    return out
+
+
+def hierarchical(pairs: DataFrame, by: Sequence[str], k: int, method: str = "average", limit: int = LIMIT) -> DataFrame:
+    """(by, item, cluster): each group's items in ``k`` clusters; ``pairs`` holds a, b, similarity."""
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"item {kinds['a']}", "cluster int"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, limit)
+        merges = merge_order(d, method)
+        return pd.DataFrame({**dict(zip(by, key)), "item": names, "cluster": cut_tree(len(names), merges, k)})
+
+    return pairs.select(*by, "a", "b", "similarity").groupBy(*by).applyInPandas(run, schema)
+
+
+def join_neighbours(d: np.ndarray) -> list[frozenset[int]]:
+    """The inner bipartitions of the neighbour-joining tree, each as the side without item 0."""
+    n = len(d)
+    nodes = [frozenset([i]) for i in range(n)]
+    d = d.astype(float).copy()
+    splits = []
+    while len(nodes) > 3:
+        m = len(nodes)
+        total = d.sum(axis=1)
+        q = (m - 2) * d - total[:, None] - total[None, :]
+        np.fill_diagonal(q, np.inf)
+        i, j = divmod(int(q.argmin()), m)
+        i, j = min(i, j), max(i, j)
+        new = (d[i] + d[j] - d[i, j]) / 2
+        keep = [x for x in range(m) if x not in (i, j)]
+        joined = nodes[i] | nodes[j]
+        splits.append(joined)
+        nodes = [nodes[x] for x in keep] + [joined]
+        inner = d[np.ix_(keep, keep)]
+        d = np.block([[inner, new[keep][:, None]], [new[keep][None, :], np.zeros((1, 1))]])
+    every = frozenset(range(n))
+    return [s if 0 not in s else every - s for s in splits if 1 < len(s) < n - 1]
+
+
+def neighbour_joining(pairs: DataFrame, by: Sequence[str], limit: int = LIMIT) -> DataFrame:
+    """(by, split): the inner bipartitions of each group's tree, as the sorted names of one side."""
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "split string"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, limit)
+        found = sorted(",".join(names[i] for i in sorted(s)) for s in join_neighbours(d))
+        return pd.DataFrame({**{c: [v] * len(found) for c, v in zip(by, key)}, "split": found})
+
+    return pairs.select(*by, "a", "b", "similarity").groupBy(*by).applyInPandas(run, schema)
+
+
+def matrix_rows(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The symmetric matrix in wide form: both directions, 1 on the diagonal, columns as named."""
+    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    wide = both.where("a <> b").groupBy("a").pivot("b", list(columns)).agg(F.avg("similarity"))
+    return wide.select("a", *(F.when(F.col("a") == c, 1.0).otherwise(F.col(f"`{c}`")).alias(c) for c in columns))
