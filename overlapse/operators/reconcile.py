@@ -24,13 +24,19 @@ def _differs(a: Column, b: Column, kind: T.DataType, tolerance: float) -> Column
     return F.when(a.isNull() | b.isNull(), a.isNull() != b.isNull()).otherwise(~close)
 
 
+def _stand_in(kind: str) -> Column:
+    """A value of the type, for null keys."""
+    special = {"boolean": "false", "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+    text = special.get(kind, "" if kind in ("string", "binary") else "0")
+    return F.lit(text).cast(kind)
+
+
 def _side(df: DataFrame, keys: Sequence[str], fields: Sequence[str], tag: str) -> DataFrame:
     """One row per key.  A key is kept as value and null flag, so that plain equality is null-safe
     and the grouping's partitioning serves the join as well."""
-    zero = {"string": F.lit(""), "boolean": F.lit(False)}
     kinds = dict(df.dtypes)
     flat = df.select(
-        *(F.coalesce(F.col(k), zero.get(kinds[k], F.lit(0).cast(kinds[k]) if k in kinds else F.lit(0))).alias(f"_k{i}") for i, k in enumerate(keys)),
+        *(F.coalesce(F.col(k), _stand_in(kinds[k])).alias(f"_k{i}") for i, k in enumerate(keys)),
         F.concat(*(F.when(F.col(k).isNull(), "1").otherwise("0") for k in keys)).alias("_nulls"),
         *(F.col(f).alias(f"{tag}{j}") for j, f in enumerate(fields)),
     )

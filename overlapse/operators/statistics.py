@@ -90,8 +90,8 @@ def kendall(rows: DataFrame, by: Sequence[str], x: str, y: str, digits: int = 2)
 def binned_errors(rows: DataFrame, estimate: str, truth: str, edges: Sequence[float] = (0.05, 0.2)) -> DataFrame:
     """n, MAE and standard deviation of the errors by stratum of the truth."""
     stratum = F.lit(0)
-    for i, edge in enumerate(edges):
-        stratum = F.when(F.col(truth) >= edge, i + 1).otherwise(stratum) if i == 0 else F.when(F.col(truth) >= edge, i + 1).otherwise(stratum)
+    for i, edge in enumerate(edges, 1):
+        stratum = F.when(F.col(truth) >= edge, i).otherwise(stratum)
     d = F.col(estimate) - F.col(truth)
     known = rows.where(F.col(estimate).isNotNull() & F.col(truth).isNotNull())
     return known.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.stddev_pop(d).alias("sd"))
@@ -106,13 +106,14 @@ def jackknife(pairs: DataFrame, a: str, b: str, value: Column) -> DataFrame:
         .groupBy("file")
         .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
     )
-    total = rows.agg(F.sum("v").alias("S"), F.count(F.lit(1)).alias("N"))
+    total = rows.agg(F.sum("v").alias("all_sum"), F.count(F.lit(1)).alias("all_n"))
     # One row of totals.
-    left_out = own.join(F.broadcast(total)).where("N > c").withColumn("m", (F.col("S") - F.col("s")) / (F.col("N") - F.col("c")))
+    left_out = own.join(F.broadcast(total)).where("all_n > c")
+    left_out = left_out.withColumn("m", (F.col("all_sum") - F.col("s")) / (F.col("all_n") - F.col("c")))
     return left_out.agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.first("N").alias("n_pairs"),
-        (F.first("S") / F.first("N")).alias("mean"),
+        F.max("all_n").alias("n_pairs"),
+        F.max(F.col("all_sum") / F.col("all_n")).alias("mean"),
         F.sqrt((F.count(F.lit(1)) - 1) * F.var_pop("m")).alias("se"),
     )
 

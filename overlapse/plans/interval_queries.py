@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.plans.session import load
-from overlapse.streaming.coverage import gaps, periods, run_to_table, valid_interval
+from overlapse.streaming.coverage import ROWS_PER_SHARD, SHARDS, gaps, periods, run_to_table, valid_interval
 
 
 def interval_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,19 @@ def _split_entity(df: DataFrame) -> DataFrame:
     )
 
 
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of all records; shards grow in number with the table, so each stays small."""
+    rows = load(spark, sf_dir, "intervals").count()
+    return run_to_table(interval_entities(spark, sf_dir), shards=max(SHARDS, rows // ROWS_PER_SHARD))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gaps(run_to_table(interval_entities(spark, sf_dir)))
+    found = gaps(_covered(spark, sf_dir))
     return _split_entity(found).select("file_id", "chrom", "gap_start", "gap_end")
 
 
 def p4_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periods(run_to_table(interval_entities(spark, sf_dir)))
+    found = periods(_covered(spark, sf_dir))
     return _split_entity(found).select("file_id", "chrom", "period_start", "period_end")
 
 

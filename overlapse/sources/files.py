@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import gzip
 import os
-from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n\f\v"
@@ -149,24 +148,29 @@ def without_prefix(chrom: Column) -> Column:
     return F.regexp_replace(chrom, "^(?i)chr", "")
 
 
-def _local_path(uri: str) -> str:
-    return unquote(urlparse(uri).path)
+def located(path: str) -> str:
+    """A path as a URI: local ones are taken from the working folder of this process."""
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
 
 
-def read_intervals(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(side, ord, chrom, start, end) of all files of a ``listing``; each distinct path is read once."""
+def _opened(spark: SparkSession, files: DataFrame, **options: str) -> tuple[DataFrame, DataFrame]:
+    """(value, at) rows of the listed files' text, each distinct path read once, and (side, ord, at)
+    of the listing; ``at`` is the file's URI as Spark reports it."""
     paths = [r.path for r in files.select("path").distinct().collect()]
     missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
     if missing:
         raise InputError(f"no such file: {', '.join(sorted(missing))}")
-    lines = spark.read.text(paths).withColumn("uri", F.col("_metadata.file_path"))
-    records = parse_records(lines).select("uri", "chrom", "start", "end")
-    uris = spark.createDataFrame(
-        [(p, f"file://{os.path.abspath(p)}" if "://" not in p else p) for p in paths], "path string, at string"
-    )
-    known = files.join(uris, "path").select("side", "ord", "at")
-    plain = F.regexp_replace(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
-    return records.withColumn("at", plain).join(F.broadcast(known), "at").select("side", "ord", "chrom", "start", "end")
+    uris = spark.createDataFrame([(p, located(p)) for p in paths], "path string, at string")
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    lines = spark.read.options(**options).text([located(p) for p in paths])
+    return lines.select("value", F.regexp_replace(plain, "^file:/+", "file:///").alias("at")), files.join(uris, "path").select("side", "ord", "at")
+
+
+def read_intervals(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(side, ord, chrom, start, end) of all files of a ``listing``; each distinct path is read once."""
+    lines, known = _opened(spark, files)
+    records = parse_records(lines).select("at", "chrom", "start", "end")
+    return records.join(F.broadcast(known), "at").select("side", "ord", "chrom", "start", "end")
 
 
 def read_sequences(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -175,22 +179,16 @@ def read_sequences(spark: SparkSession, files: DataFrame) -> DataFrame:
     A file is split at record starts, not lines, so records may span blocks of it; ``rec_no`` orders
     the records of a file.  Text before the first record is ignored.
     """
-    paths = [r.path for r in files.select("path").distinct().collect()]
-    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
-    if missing:
-        raise InputError(f"no such file: {', '.join(sorted(missing))}")
-    raw = spark.read.option("lineSep", "\n>").text(paths)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().alias("at_row"))
+    raw, known = _opened(spark, files, lineSep="\n>")
+    raw = raw.withColumn("at_row", F.monotonically_increasing_id())
     body = F.regexp_replace("value", "^>", "")
     first = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"\s+", "")
-    rows = raw.select("uri", "at_row", F.col("value").startswith(">").alias("opens"), first.alias("name"), seq.alias("seq"))
-    order = Window.partitionBy("uri").orderBy("at_row")
-    numbered = rows.withColumn("rec_no", F.row_number().over(order)).where("rec_no > 1 or opens")
-    uris = spark.createDataFrame([(p, f"file://{os.path.abspath(p)}" if "://" not in p else p) for p in paths], "path string, at string")
-    known = files.join(uris, "path").select("side", "ord", "at")
-    plain = F.regexp_replace(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
-    return numbered.withColumn("at", plain).join(F.broadcast(known), "at").select("side", "ord", "rec_no", "name", "seq")
+    rows = raw.select("at", "at_row", F.col("value").startswith(">").alias("opens"), first.alias("name"), seq.alias("seq"))
+    # The first piece of a file opens with ">", or is text before the first record.
+    firsts = raw.groupBy("at").agg(F.min("at_row").alias("first_row"))
+    kept = rows.join(firsts, "at").where("opens or at_row > first_row").withColumnRenamed("at_row", "rec_no")
+    return kept.join(F.broadcast(known), "at").select("side", "ord", "rec_no", "name", "seq")
 
 
 def chunked(sequences: DataFrame, name: str = "name", seq: str = "seq", width: int = CHUNK) -> DataFrame:

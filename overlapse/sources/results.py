@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlapse.operators.pairwise import SHAPES
-from overlapse.sources.files import ALIASES, ASSEMBLIES
+from overlapse.sources.files import ALIASES, ASSEMBLIES, located
 
 #: Metric columns as they are headed in result files.
 HEADINGS = {"containment_ab": "containment_AB", "containment_ba": "containment_BA"}
@@ -72,6 +72,7 @@ def result_table(
 def write_result(table: DataFrame, path: str, form: str = "csv") -> None:
     """Writes a folder of part files: ``csv`` or ``tsv`` with a header, in one ordered part, or
     ``parquet`` in as many parts as there are partitions."""
+    path = located(path)
     if form == "parquet":
         table.write.mode("overwrite").parquet(path)
     else:

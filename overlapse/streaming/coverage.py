@@ -29,6 +29,8 @@ from overlapse.plans.session import scratch
 
 TILE_WIDTH = 1 << 22
 SHARDS = 192
+#: Beyond that number of shards, one more for so many rows.
+ROWS_PER_SHARD = 100_000
 
 STATE = T.StructType([T.StructField("intervals", T.BinaryType())])
 
