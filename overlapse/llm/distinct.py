@@ -38,7 +38,7 @@ def exponential(h: Column) -> Column:
 
 def group_precision(rows: DataFrame, by: Sequence[str], precision: str) -> DataFrame:
     """The lowest precision that occurs in each group: what its merged registers can have."""
-    return rows.groupBy(*by).agg(clamped(F.min(precision)).alias("p"))
+    return rows.groupBy(*by).agg(clamped(F.coalesce(F.min(precision), F.lit(LOWEST))).alias("p"))
 
 
 def registers(rows: DataFrame, by: Sequence[str], elements: Sequence[str], precision: str) -> DataFrame:
@@ -47,10 +47,10 @@ def registers(rows: DataFrame, by: Sequence[str], elements: Sequence[str], preci
 
     ``rows`` counts the group's rows that met the register, repeated ones included.  Null group
     values form groups of their own; null elements are values like others; a null precision is
-    ignored for the group's, and a group that has none gets the lowest.
+    ignored, and a group that has no other gets the lowest.
     """
     flat = rows.select(*by, F.col(precision).alias("_p"), F.xxhash64(*elements).alias("_h"))
-    lowest = group_precision(flat, by, "_p").select(*(F.col(c).alias(f"_g_{c}") for c in by), F.coalesce("p", F.lit(LOWEST)).alias("p"))
+    lowest = group_precision(flat, by, "_p").select(*(F.col(c).alias(f"_g_{c}") for c in by), "p")
     same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by] or [F.lit(True)]
     joined = flat.join(lowest, same)
     return (

@@ -44,7 +44,7 @@ STATISTICS = (
     "bare_lines",
 )
 #: Least standard deviation of each statistic.
-LEAST_SD = (1.0, 0.35, 0.1, 0.5, 0.05, 0.15, 0.08, 0.06, 0.1, 0.06, 0.5, 0.15, 0.25)
+LEAST_SD = (3.0, 0.35, 0.1, 0.5, 0.05, 0.15, 0.08, 0.06, 0.1, 0.06, 0.5, 0.15, 0.25)
 #: Share of the documents taken as prose when the moments are estimated, and the rounds of it.
 PROSE_SHARE, ROUNDS = 0.85, 5
 #: Texts with a lower share of common words have no language; languages with fewer documents have no prose of their own.
