@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from overlapse.plans.session import written
+
 MISSING = ("", "NA")
 BOM = "﻿"
 #: Tried in this order; the first that occurs in the header parts its columns.
@@ -119,8 +121,9 @@ def changes(dumps: DataFrame, id_col: str, feed_col: str, time_col: str, body_co
     whose id repeats counts once.
     """
     files = dumps.dropDuplicates([id_col])
-    rows = path_values(files, id_col, body_col)
-    stats = type_statistics(rows)
+    # Each step is written once, so that no body is parsed twice and plans stay small.
+    rows = written(path_values(files, id_col, body_col), "rows")
+    stats = written(type_statistics(rows), "types")
     order = Window.partitionBy("feed").orderBy("at", "id")
     chain = (
         files.select(F.col(id_col).alias("id"), F.col(feed_col).alias("feed"), F.col(time_col).alias("at"))
@@ -128,9 +131,9 @@ def changes(dumps: DataFrame, id_col: str, feed_col: str, time_col: str, body_co
         .withColumn("prev", F.lag("id").over(order))
         .withColumn("seq", F.row_number().over(order))
     )
+    chain = written(chain, "chain")
     # The type a name had when it was last seen with a value, in this feed.
     known = stats.join(chain.select("id", "feed", "seq"), "id")
-    carried = Window.partitionBy("feed", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     held = known.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("feed", "name").orderBy("seq")))
     carried = Window.partitionBy("feed", "name", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     typed = held.withColumn("was", F.last("type", ignorenulls=True).over(carried))
@@ -140,8 +143,8 @@ def changes(dumps: DataFrame, id_col: str, feed_col: str, time_col: str, body_co
     pairs = chain.where("prev is not null").select("id", "prev", "feed")
     new = pairs.join(stats.select("id", "name"), "id")
     old = pairs.join(stats.select(F.col("id").alias("prev"), "name"), "prev").select("id", "prev", "feed", "name")
-    gained = new.join(old.select("id", "name"), ["id", "name"], "left_anti")
-    lost = old.join(new.select("id", "name"), ["id", "name"], "left_anti")
+    gained = written(new.join(old.select("id", "name"), ["id", "name"], "left_anti"), "gained")
+    lost = written(old.join(new.select("id", "name"), ["id", "name"], "left_anti"), "lost")
     keyed = rows.where("row_no is not null").select("id", F.array(*(F.element_at("values", c) for c in pair_cols)).alias("pair"), "values")
     only = lambda f, names: F.map_filter(f, lambda k, v: F.array_contains(names, k))
     both = (
@@ -160,7 +163,8 @@ def changes(dumps: DataFrame, id_col: str, feed_col: str, time_col: str, body_co
     )
     by_name = Window.partitionBy("id", "name").orderBy(F.desc("n_same"), "gone")
     by_gone = Window.partitionBy("id", "gone").orderBy(F.desc("n_same"), "name")
-    matched = both.withColumns({"i": F.row_number().over(by_name), "j": F.row_number().over(by_gone)}).where("i = 1 and j = 1")
+    fitting = both.withColumns({"i": F.row_number().over(by_name), "j": F.row_number().over(by_gone)}).where("i = 1 and j = 1")
+    matched = written(fitting, "matched")
     renamed = matched.join(pairs, "id").select("id", "feed", "name", F.lit("renamed").alias("kind"), F.col("gone").alias("was"))
     none = F.lit(None).cast("string")
     added = gained.join(matched, ["id", "name"], "left_anti").select("id", "feed", "name", F.lit("added").alias("kind"), none.alias("was"))
