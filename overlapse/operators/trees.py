@@ -126,7 +126,11 @@ def neighbour_joining(pairs: DataFrame, by: Sequence[str], limit: int = LIMIT) -
 
 
 def matrix_rows(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The symmetric matrix in wide form: both directions, 1 on the diagonal, columns as named."""
+    """(item, one column per name): the symmetric matrix in wide form, both directions averaged, 1 on
+    the diagonal.  No item may be called ``item``."""
+    if "item" in columns:
+        raise ValueError("an item's name clashes with the result's own column: item")
     both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     wide = both.where("a <> b").groupBy("a").pivot("b", list(columns)).agg(F.avg("similarity"))
-    return wide.select("a", *(F.when(F.col("a") == c, 1.0).otherwise(F.col(f"`{c}`")).alias(c) for c in columns))
+    placed = wide.toDF("item", *(f"c{i}" for i in range(len(columns))))
+    return placed.select("item", *(F.when(F.col("item") == c, 1.0).otherwise(F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)))
