@@ -96,6 +96,14 @@ def checked(p: argparse.ArgumentParser, argv: list[str]) -> argparse.Namespace:
 
 
 def sketches(spark: SparkSession, listed: DataFrame, a: argparse.Namespace, refs: dict[int, str | None]) -> DataFrame:
+    """Dense sketches (side, ord, sketch) of all listed files that have elements."""
+    keys = ["side", "ord"]
+    if a.mode == "B" and a.subB >= 1.0 and a.separator == "\t":
+        return R.point_sketches(S.read_intervals(spark, listed), keys, a.precision, a.seed)
+    return R.dense(sketch_registers(spark, listed, a, refs), keys, a.precision)
+
+
+def sketch_registers(spark: SparkSession, listed: DataFrame, a: argparse.Namespace, refs: dict[int, str | None]) -> DataFrame:
     """Registers (side, ord, idx, rho) of all listed files."""
     keys = ["side", "ord"]
     if a.mode == "D":
@@ -117,19 +125,16 @@ def sketches(spark: SparkSession, listed: DataFrame, a: argparse.Namespace, refs
         return R.registers(E.interval_elements(intervals, keys, sep=a.separator), keys, a.precision, seed=a.seed)
     options = {"sep": a.separator, "seed": a.seed, "gate_seed": a.gate_seed}
     if a.mode == "B":
-        if a.subB >= 1.0 and a.separator == "\t":
-            return R.point_registers(intervals, keys, a.precision, a.seed)
         return R.registers(E.point_elements(intervals, keys, a.subB, a.subB_method, **options), keys, a.precision, seed=a.seed)
     found = E.hybrid_elements(intervals, keys, a.subA, a.subB, a.expA, a.subB_method, **options)
     return R.registers(found, keys, a.precision, seed=a.seed)
 
 
-def compared(spark: SparkSession, regs: DataFrame, listed: DataFrame, a: argparse.Namespace) -> DataFrame:
+def compared(filled: DataFrame, listed: DataFrame, a: argparse.Namespace) -> DataFrame:
     """Every file of list 1 with every file of list 2; files without elements score 0."""
-    empty = listed.select("side", "ord").join(regs.select("side", "ord").distinct(), ["side", "ord"], "left_anti")
-    blank = empty.select("side", "ord", F.lit(b"\x00" * (1 << a.precision)).alias("sketch")) if not empty.isEmpty() else None
-    filled = R.dense(regs, ["side", "ord"], a.precision)
-    every = written(filled.unionByName(blank) if blank is not None else filled, "sketches")
+    filled = written(filled, "sketches")
+    blank = listed.select("side", "ord").join(filled.select("side", "ord"), ["side", "ord"], "left_anti")
+    every = filled.unionByName(blank.withColumn("sketch", F.lit(b"\x00" * (1 << a.precision))))
     one, two = (every.where(f"side = {s}").select("ord", "sketch") for s in (1, 2))
     pairs = pairwise.dense_pairs(one, two, ["ord"], a.precision)
     named = lambda s: listed.where(f"side = {s}").select(F.col("ord").alias(f"ord_{s}"), F.col("label").alias(f"label_{s}"))
@@ -157,11 +162,11 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         listed = S.listing(spark, lists[0], 1, a.full_paths).unionByName(S.listing(spark, lists[1], 2, a.full_paths)).cache()
         for r in S.repeated_labels(listed).collect():
             say(f"LIST{r.side} has {r.n} files labelled {r.label}; --full-paths tells them apart")
-        regs = sketches(spark, listed, a, {1: a.ref1, 2: a.ref2})
+        filled = sketches(spark, listed, a, {1: a.ref1, 2: a.ref2})
         prefix = f"{a.prefix}_{reference_tag(a.ref1)}-vs-{reference_tag(a.ref2)}" if a.ref1 else a.prefix
         path = result_name(prefix, a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w) + f".{a.format}"
         table = result_table(
-            compared(spark, regs, listed, a), a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w, (a.ref1 or "NA", a.ref2 or "NA")
+            compared(filled, listed, a), a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w, (a.ref1 or "NA", a.ref2 or "NA")
         )
         write_result(table, path, a.format)
     except (S.InputError, OSError) as e:

@@ -19,6 +19,8 @@ from overlapse.functions.hashing import BITS, SEED, hashed, xxh64_bytes
 from overlapse.operators.elements import PIECE
 
 LOWEST, HIGHEST = 4, 24
+#: Bytes of dense sketches a task holds before it gives them out.
+HELD_BYTES = 256 << 20
 
 
 def checked_precision(p: int) -> int:
@@ -106,8 +108,17 @@ def dense(regs: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
 
 def sparse(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The filled registers of ``dense`` sketches."""
-    cells = F.transform(F.sequence(F.lit(1), F.octet_length("sketch")), lambda i: F.ascii(F.substring("sketch", i, F.lit(1))))
-    return sketches.select(*keys, F.posexplode(cells).alias("idx", "rho")).where("rho > 0").select(*keys, "idx", F.col("rho").cast("tinyint").alias("rho"))
+    kinds = dict(sketches.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", idx int, rho tinyint"
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *key, sketch in pdf[[*keys, "sketch"]].itertuples(index=False):
+                cells = np.frombuffer(sketch, np.int8)
+                idx = np.flatnonzero(cells)
+                yield pd.DataFrame({**{k: [v] * len(idx) for k, v in zip(keys, key)}, "idx": idx.astype(np.int32), "rho": cells[idx]})
+
+    return sketches.mapInPandas(filled, schema)
 
 
 def merged_intervals(intervals: DataFrame, keys: Sequence[str], tile: int = 1 << 22) -> DataFrame:
@@ -150,42 +161,80 @@ def point_hashes(chrom: str, positions: np.ndarray, sep: str = "\t", seed: int =
     return out
 
 
-def point_registers(intervals: DataFrame, keys: Sequence[str], p: int, seed: int = SEED) -> DataFrame:
-    """Registers of all covered positions (mode B, every position) without a row per position.
-
-    Arrow batches of intervals become partial registers inside the task; only those are shuffled.
-    Chromosome names too long for the short-text kernel take the path through rows.
+def _fold(cells: np.ndarray, pdf: pd.DataFrame, p: int, seed: int) -> None:
+    """Folds the positions of a batch of intervals of one key into its registers."""
+    for chrom, part in pdf.groupby("chrom", sort=False):
+        starts, ends = part["start"].to_numpy(np.int64), part["end"].to_numpy(np.int64)
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        room = np.cumsum(ends - starts) // (PIECE * 8)
+        for group in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(room)) + 1):
+            n = ends[group] - starts[group]
+            at = np.repeat(starts[group] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            h = point_hashes(chrom, at, seed=seed)
+            rest = h >> np.uint64(p)
+            low = rest & (~rest + np.uint64(1))
+            rho = np.where(rest == 0, 64 - p + 1, np.log2(np.maximum(low, 1).astype(np.float64)) + 1).astype(np.uint8)
+            np.maximum.at(cells, (h & np.uint64(len(cells) - 1)).astype(np.int64), rho)
+
+
+def point_sketches(intervals: DataFrame, keys: Sequence[str], p: int, seed: int = SEED) -> DataFrame:
+    """(keys, sketch): dense sketches of all covered positions (mode B, every position), without a
+    row per position.
+
+    A task folds its intervals into one dense sketch per key and gives them out at its end, or when
+    it holds ``HELD_BYTES`` of them; a key's partial sketches are merged by maximum in two steps, so
+    that no group gathers more than a slice of them.  Chromosome names too long for the short-text
+    kernel take the path through rows.
     """
     from overlapse.operators.elements import point_elements
 
     size = 1 << checked_precision(p)
     kinds = dict(intervals.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", idx int, rho tinyint"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", sketch binary"
     fits = F.octet_length("chrom") <= 10
-    whole = merged_intervals(intervals, keys)
+    whole = merged_intervals(intervals.where(fits), keys)
     cuts = F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(PIECE * 8).cast("bigint"))).alias("start")
     cut = whole.select(*keys, "chrom", "end", cuts).withColumn("end", F.least(F.col("end"), F.col("start") + PIECE * 8))
 
+    def rows(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        named = {k: [key[i] for key in held] for i, k in enumerate(keys)}
+        return pd.DataFrame({**named, "sketch": [c.tobytes() for c in held.values()]})
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for key, own in pdf.groupby(list(keys), sort=False, dropna=False):
-                cells = np.zeros(size, np.uint8)
-                for chrom, part in own.groupby("chrom", sort=False):
-                    starts, ends = part["start"].to_numpy(np.int64), part["end"].to_numpy(np.int64)
-                    order = np.argsort(starts, kind="stable")
-                    starts, ends = starts[order], ends[order]
-                    room = np.cumsum(ends - starts) // (PIECE * 8)
-                    for group in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(room)) + 1):
-                        n = ends[group] - starts[group]
-                        at = np.repeat(starts[group] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                        h = point_hashes(chrom, at, seed=seed)
-                        rest = h >> np.uint64(p)
-                        low = rest & (~rest + np.uint64(1))
-                        rho = np.where(rest == 0, 64 - p + 1, np.log2(np.maximum(low, 1).astype(np.float64)) + 1).astype(np.uint8)
-                        np.maximum.at(cells, (h & np.uint64(size - 1)).astype(np.int64), rho)
-                idx = np.flatnonzero(cells)
-                yield pd.DataFrame({**dict(zip(keys, key)), "idx": idx.astype(np.int32), "rho": cells[idx].astype(np.int8)})
+            for key, own in pdf.groupby(list(keys), sort=False):
+                if key not in held:
+                    if len(held) * size >= HELD_BYTES:
+                        yield rows(held)
+                        held = {}
+                    held[key] = np.zeros(size, np.uint8)
+                _fold(held[key], own, p, seed)
+        if held:
+            yield rows(held)
+
+    parts = cut.mapInPandas(partial, schema)
+    long = dense(registers(point_elements(intervals.where(~fits), keys), keys, p, "xxh64", seed), keys, p)
+    return merged_sketches(parts.unionByName(long), keys)
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One dense sketch per key: the union of all it has."""
+    kinds = dict(sketches.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
-    short = merge(cut.where(fits).mapInPandas(partial, schema), keys)
-    long = registers(point_elements(intervals.where(~fits), keys), keys, p, "xxh64", seed)
-    return merge(short.unionByName(long), keys)
+    def union(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = np.frombuffer(pdf["sketch"].iloc[0], np.uint8).copy()
+        for other in pdf["sketch"].iloc[1:]:
+            np.maximum(cells, np.frombuffer(other, np.uint8), out=cells)
+        return pd.DataFrame([[*key[: len(keys)], cells.tobytes()]], columns=[*keys, "sketch"])
+
+    sliced = sketches.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(32)))
+    once = sliced.groupBy(*keys, "_slice").applyInPandas(union, schema + ", sketch binary")
+    return once.groupBy(*keys).applyInPandas(union, schema + ", sketch binary")
+
+
+def point_registers(intervals: DataFrame, keys: Sequence[str], p: int, seed: int = SEED) -> DataFrame:
+    """The filled registers of ``point_sketches``."""
+    return sparse(point_sketches(intervals, keys, p, seed), keys)

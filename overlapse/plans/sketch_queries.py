@@ -120,7 +120,7 @@ def pair_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_points_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode B as run in production: fused point sketches by xxHash, dense pairs, all metrics."""
     p = 14
-    sketches = written(R.dense(R.point_registers(lines(spark, sf_dir), ["file_id"], p), ["file_id"], p), "sketches")
+    sketches = written(R.point_sketches(lines(spark, sf_dir), ["file_id"], p), "sketches")
     found = pairwise.dense_pairs(sketches.where(f"file_id % {QUERY_STEP} = 0"), sketches, ["file_id"], p)
     return pairwise.shaped(found, "full", ["file_id_1", "file_id_2"])
 
