@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,13 @@ def series_faults(rows: DataFrame, by: Sequence[str], at: str) -> DataFrame:
     of arrival given by ``seq``."""
     order = Window.partitionBy(*by).orderBy("seq")
     return rows.withColumn("_before", F.lag(at).over(order)).where(F.col(at).isNull() | (F.col(at) <= F.col("_before"))).drop("_before")
+
+
+def read_records(spark: SparkSession, path: str, lists: Sequence[str] = ("experiments", "data", "results")) -> DataFrame:
+    """Records of a JSON file that is a list of objects, or an object with such a list under one of
+    ``lists``."""
+    rows = spark.read.option("multiLine", True).json(path)
+    for name in lists:
+        if dict(rows.dtypes).get(name, "").startswith("array<struct"):
+            return rows.select(F.inline(name))
+    return rows

@@ -69,3 +69,17 @@ def evolve(intervals: DataFrame, keys: Sequence[str], rate: float, generations:
             now = cut(now)
             out = out.unionByName(now.withColumn("generation", F.lit(g)))
     return out.select("generation", *keys, "chrom", "start", "end")
+
+
+def mutated(records: DataFrame, keys: Sequence[str], rate: float, label: str = "mutate", seq: str = "seq") -> DataFrame:
+    """(keys, seq): each base replaced, with chance ``rate``, by one of the other three; the draw
+    depends on the record's text, the position and the label only."""
+    draw = lambda tag, i: F.shiftrightunsigned(F.xxhash64(F.lit(f"{label}-{tag}"), F.col(seq), i), 11) / float(1 << 53)
+    bases = F.split(seq, "")
+
+    def change(base: Column, i: Column) -> Column:
+        place = F.instr(F.lit("ACGT"), F.upper(base)) - 1
+        other = F.substring(F.lit("ACGT"), ((place + 1 + F.floor(draw("base", i) * 3).cast("int")) % 4) + 1, F.lit(1))
+        return F.when((place >= 0) & (draw("hit", i) < rate), other).otherwise(base)
+
+    return records.select(*keys, F.array_join(F.transform(bases, change), "").alias(seq))

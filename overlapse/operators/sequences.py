@@ -16,8 +16,8 @@ from overlapse.functions.hashing import hashed
 from overlapse.sources.files import CHUNK
 
 COMPLEMENT = ("ACGT", "TGCA")
-#: Bases of a record that one row handles.
-PIECE = 4096
+#: Bases of a record that one row handles: substrings are found from the row's start.
+PIECE = 256
 
 
 def _record_pieces(records: DataFrame, keys: Sequence[str], seq: str, overlap: int, piece: int = PIECE) -> DataFrame:
@@ -52,13 +52,26 @@ def minimizers(records: DataFrame, keys: Sequence[str], k: int = 8, w: int = 40,
     pieces = _record_pieces(records, keys, seq, k + w - 2)
     low = F.lit((1 << 32) - 1).cast("bigint")
     hashes = F.transform(_kmer_array("part", k), lambda s: hashed(s, kind, seed).bitwiseAND(low))
-    windows = F.when(F.size("_h") >= w, F.sequence(F.lit(1), F.size("_h") - w + 1)).otherwise(F.array().cast("array<int>"))
-    least = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice("_h", i, w))))
-    found = pieces.where(f"record_length >= {k + w - 1}").withColumn("_h", hashes).select(*keys, F.explode(least).alias("h"))
+    hashed_pieces = pieces.where(f"record_length >= {k + w - 1}").withColumn("_h", hashes).where(F.size("_h") >= w)
+    found = window_minima(hashed_pieces, "_h", w).select(*keys, F.explode(F.array_distinct("_h")).alias("h"))
     short = records.where((F.length(seq) < k + w - 1) & (F.col(seq) != "")).select(*keys, hashed(F.upper(seq), kind, seed).alias("h"))
     return found.unionByName(short).distinct()
 
 
+def window_minima(rows: DataFrame, column: str, w: int) -> DataFrame:
+    """Replaces an array of at least ``w`` entries by the minima of its windows of ``w``, by doubling:
+    windows of 2n are pairs of windows of n."""
+
+    def widened(df: DataFrame, by: int) -> DataFrame:
+        rest = F.size(column) - by
+        return df.withColumn(column, F.zip_with(F.slice(column, F.lit(1), rest), F.slice(column, F.lit(by + 1), rest), lambda a, b: F.least(a, b)))
+
+    span = 1
+    while span * 2 <= w:
+        rows, span = widened(rows, span), span * 2
+    return widened(rows, w - span) if span < w else rows
+
+
 def extract(intervals: DataFrame, reference: DataFrame, keys: Sequence[str], width: int = CHUNK) -> DataFrame:
     """(keys, chrom, start, end, seq): the bases [start, end) of each interval from a chunked
     reference.  An interval meets only the chunks it covers; a part beyond the chromosome's end is

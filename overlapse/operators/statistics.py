@@ -217,3 +217,71 @@ def same_pair_sets(rows: DataFrame, cells: Sequence[str], pair: Sequence[str]) -
     return each.join(F.broadcast(most)).select(
         *cells, "n_pairs", "checksum", ((F.col("n_pairs") == F.col("m.n_pairs")) & (F.col("checksum") == F.col("m.checksum"))).alias("complete")
     )
+
+
+def rescaled_errors(rows: DataFrame, estimate: str, truth: str, edges: Sequence[float] = (0.05, 0.2)) -> DataFrame:
+    """(stratum, n, sd, sd_rescaled): spread of the errors by stratum of the truth, and what it is once
+    the estimate's floor c, by the constrained fit over all rows, is taken out: sd / (1 - c)."""
+    known = rows.where(F.col(estimate).isNotNull() & F.col(truth).isNotNull())
+    fit = floor_fits(known, [], truth, estimate).select(F.col("constrained").alias("c"))
+    # One row: the floor.
+    each = binned_errors(known, estimate, truth, edges).join(F.broadcast(fit))
+    return each.select("stratum", "n", "sd", F.when(F.col("c") < 1, F.col("sd") / (1 - F.col("c"))).alias("sd_rescaled"))
+
+
+def replicate_spread(rows: DataFrame, by: Sequence[str], replicate: str, value: Column) -> DataFrame:
+    """(by, n_replicates, mean, least, most): the mean, and its range when one replicate at a time is
+    left out, from the replicates' own sums."""
+    own = rows.select(*by, F.col(replicate).alias("r"), value.alias("v")).where("v is not null and r is not null")
+    sums = own.groupBy(*by, "r").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
+    total = sums.groupBy(*by).agg(F.sum("s").alias("all_sum"), F.sum("c").alias("all_n"), F.count(F.lit(1)).alias("n_replicates"))
+    left = sums.join(total, list(by)).where("all_n > c").withColumn("m", (F.col("all_sum") - F.col("s")) / (F.col("all_n") - F.col("c")))
+    return left.groupBy(*by, "n_replicates", (F.col("all_sum") / F.col("all_n")).alias("mean")).agg(F.min("m").alias("least"), F.max("m").alias("most"))
+
+
+def quantile_bins(rows: DataFrame, value: str, bins: int, measure: str) -> DataFrame:
+    """(bin, n, least, most, mean): rows parted by exact quantiles of ``value``; equal values share a
+    bin.  Quantiles are those of the average ranks, so no window goes over all rows."""
+    known = rows.where(F.col(value).isNotNull())
+    ranked = average_ranks(known.withColumn("_all", F.lit(0)), ["_all"], value, "_rank")
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
+    placed = known.join(ranked.drop("_all"), value).join(F.broadcast(total))
+    number = F.least(F.lit(bins), F.ceil(F.col("_rank") / F.col("_total") * bins)).cast("int")
+    return placed.groupBy(number.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(measure).alias("mean")
+    )
+
+
+def size_residuals(rows: DataFrame, by: Sequence[str], truth: str, register_equality: str, ab: str, ba: str) -> DataFrame:
+    """(by, n, residual_size, truth_size, truth_residual): correlations of the floor-corrected residual
+    and of the truth with the log of the sets' size ratio, which the two containments give."""
+    known = rows.where((F.col(ab) > 0) & (F.col(ba) > 0) & F.col(truth).isNotNull() & F.col(register_equality).isNotNull())
+    size = F.abs(F.ln(F.col(ab) / F.col(ba)))
+    residual = F.col(register_equality) - F.col(truth) - 0.17 * (1 - F.col(truth))
+    flat = known.select(*by, size.alias("s"), residual.alias("e"), F.col(truth).alias("t"))
+    return flat.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        pearson(F.col("e"), F.col("s")).alias("residual_size"),
+        pearson(F.col("t"), F.col("s")).alias("truth_size"),
+        pearson(F.col("t"), F.col("e")).alias("truth_residual"),
+    )
+
+
+def zero_share(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, n, share_zero, share_above_one): how many estimates are exactly 0 or exceed 1."""
+    v = F.col(value)
+    return rows.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((v == 0).cast("double")).alias("share_zero"), F.avg((v > 1).cast("double")).alias("share_above_one")
+    )
+
+
+def interpolation(rows: DataFrame, reference_a: DataFrame, reference_b: DataFrame, pair: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
+    """(by, n, and mean and quartiles of the absolute distance to A and to B): how far a mode's values
+    lie from two others' for the same pairs."""
+    named = lambda df, n: df.select(*pair, F.col(value).alias(n))
+    both = rows.join(named(reference_a, "_a"), list(pair)).join(named(reference_b, "_b"), list(pair))
+    out = [F.count(F.lit(1)).alias("n")]
+    for tag in ("a", "b"):
+        d = F.abs(F.col(value) - F.col(f"_{tag}"))
+        out += [F.avg(d).alias(f"mean_{tag}"), F.percentile(d, F.lit(0.25)).alias(f"q1_{tag}"), F.percentile(d, F.lit(0.75)).alias(f"q3_{tag}")]
+    return both.groupBy(*by).agg(*out)

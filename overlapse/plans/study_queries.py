@@ -59,6 +59,35 @@ def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.unordered_pairs(_pairs(spark, sf_dir), "file1", "file2", RE))
 
 
+def rescaled_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.rescaled_errors(_pairs(spark, sf_dir), RE, J), 8)
+
+
+def replicate_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean floor of each mode with one run left out at a time."""
+    return _rounded(S.replicate_spread(_pairs(spark, sf_dir), ["sketch_mode"], "run_id", F.col(RE) - F.col(J)))
+
+
+def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deciles of Jaccard with the mean register equality in each."""
+    return _rounded(S.quantile_bins(_pairs(spark, sf_dir), J, 10, RE))
+
+
+def size_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.size_residuals(_pairs(spark, sf_dir), ["sketch_precision"], J, RE, "containment_ab", "containment_ba"), 8)
+
+
+def zero_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.zero_share(_pairs(spark, sf_dir), ["sketch_mode", "sketch_precision"], J))
+
+
+def interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far Jaccard of mode C lies from what modes B and D measured for the same pairs."""
+    best = _pairs(spark, sf_dir).where(f"{J} is not null").groupBy("sketch_mode", "file1", "file2").agg(F.max(J).alias(J))
+    mode = lambda m: best.where(F.col("sketch_mode") == m)
+    return _rounded(S.interpolation(mode("C"), mode("B"), mode("D"), ["file1", "file2"], ["sketch_mode"], J))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.upper(F.regexp_replace("mark", "[^A-Za-z0-9]", ""))
     return load(spark, sf_dir, "sample_meta").select("sample_id", "tissue", mark.alias("mark"), "species", F.col("ref_name").alias("sample_ref"))
@@ -246,6 +275,28 @@ SELECT count(*) AS n_files, max(big_n) AS n_pairs, round(max(big_s / big_n), 9)
     "floor_fits": f"""SELECT sketch_precision, count(*) AS n, round(regr_intercept({RE}, {J}), 8) AS intercept,
  round(sum((1 - {J}) * ({RE} - {J})) / sum((1 - {J}) * (1 - {J})), 8) AS constrained, round(avg(({RE} - {J}) / (1 - {J})), 8) AS pointwise
  FROM pair_results WHERE {_BOTH} AND {J} < 1 GROUP BY ALL""",
+    "rescaled_errors": f"""WITH k AS (SELECT {J} AS j, {RE} AS r FROM pair_results WHERE {_BOTH}),
+c AS (SELECT sum((1 - j) * (r - j)) / sum((1 - j) * (1 - j)) AS c FROM k WHERE j < 1),
+b AS (SELECT CASE WHEN j >= 0.2 THEN 2 WHEN j >= 0.05 THEN 1 ELSE 0 END AS stratum, count(*) AS n, stddev_pop(r - j) AS sd FROM k GROUP BY ALL)
+SELECT stratum, n, round(sd, 8) AS sd, CASE WHEN c < 1 THEN round(sd / (1 - c), 8) END AS sd_rescaled FROM b, c""",
+    "replicate_spread": f"""WITH s AS (SELECT sketch_mode, run_id, sum({RE} - {J}) AS s, count(*) AS c FROM pair_results WHERE {_BOTH} GROUP BY ALL),
+t AS (SELECT sketch_mode, sum(s) AS big_s, sum(c) AS big_n, count(*) AS n_replicates FROM s GROUP BY sketch_mode)
+SELECT sketch_mode, n_replicates, round(max(big_s / big_n), 9) AS mean, round(min((big_s - s) / (big_n - c)), 9) AS least, round(max((big_s - s) / (big_n - c)), 9) AS most
+FROM s JOIN t USING (sketch_mode) WHERE big_n > c GROUP BY ALL""",
+    "quantile_bins": f"""WITH k AS (SELECT {J} AS j, {RE} AS r, rank() OVER (ORDER BY {J}) + (count(*) OVER (PARTITION BY {J}) - 1) / 2 AS rk, count(*) OVER () AS total
+ FROM pair_results WHERE {J} IS NOT NULL)
+SELECT CAST(least(10, ceil(rk / total * 10)) AS INTEGER) AS bin, count(*) AS n, round(min(j), 9) AS least, round(max(j), 9) AS most, round(avg(r), 9) AS mean FROM k GROUP BY ALL""",
+    "size_residuals": f"""WITH k AS (SELECT sketch_precision, abs(ln(containment_ab / containment_ba)) AS s, {RE} - {J} - 0.17e0 * (1 - {J}) AS e, {J} AS t FROM pair_results
+ WHERE containment_ab > 0 AND containment_ba > 0 AND {_BOTH})
+SELECT sketch_precision, count(*) AS n, {_corr('e', 's').replace(', 9)', ', 8)')} AS residual_size, {_corr('t', 's').replace(', 9)', ', 8)')} AS truth_size,
+ {_corr('t', 'e').replace(', 9)', ', 8)')} AS truth_residual FROM k GROUP BY ALL""",
+    "zero_share": f"""SELECT sketch_mode, sketch_precision, count(*) AS n, round(avg(({J} = 0)::INT), 9) AS share_zero, round(avg(({J} > 1)::INT), 9) AS share_above_one
+ FROM pair_results WHERE {J} IS NOT NULL GROUP BY ALL""",
+    "interpolation": f"""WITH b AS (SELECT sketch_mode, file1, file2, max({J}) AS j FROM pair_results WHERE {J} IS NOT NULL GROUP BY ALL),
+m AS (SELECT c.sketch_mode, abs(c.j - x.j) AS a, abs(c.j - y.j) AS b FROM b c JOIN b x USING (file1, file2) JOIN b y USING (file1, file2)
+ WHERE c.sketch_mode = 'C' AND x.sketch_mode = 'B' AND y.sketch_mode = 'D')
+SELECT sketch_mode, count(*) AS n, round(avg(a), 9) AS mean_a, round(quantile_cont(a, 0.25), 9) AS q1_a, round(quantile_cont(a, 0.75), 9) AS q3_a,
+ round(avg(b), 9) AS mean_b, round(quantile_cont(b, 0.25), 9) AS q1_b, round(quantile_cont(b, 0.75), 9) AS q3_b FROM m GROUP BY sketch_mode""",
     "unordered_pairs": f"""SELECT least(file1, file2) AS a, greatest(file1, file2) AS b, count(*) AS n, round(min({RE}), 9) AS low, round(max({RE}), 9) AS high
  FROM pair_results WHERE file1 <> file2 GROUP BY ALL""",
     "label_agreement": f"""WITH {_CAT}, x AS (SELECT tissue AS a, mark AS b, count(*) AS n FROM cat WHERE tissue IS NOT NULL AND mark IS NOT NULL GROUP BY ALL),
@@ -316,7 +367,8 @@ SELECT chrom, count(*) AS n, sum(s)::BIGINT AS sum_start, sum(s + n)::BIGINT AS
 QUERIES = {
     q.__name__: q
     for q in (
-        error_stats, pearson, spearman_ties, kendall, binned_errors, jackknife_se, floor_fits, unordered_pairs, label_agreement,
+        error_stats, pearson, spearman_ties, kendall, binned_errors, jackknife_se, floor_fits, rescaled_errors,
+        replicate_spread, quantile_bins, size_residuals, zero_share, interpolation, unordered_pairs, label_agreement,
         median_strata, matrix_pivot, tissue_clusters, tissue_tree, catalog_rollup, catalog_topn, catalog_last, catalog_best,
         catalog_paths, median_intervals, load_factor_floor, exact_kmer_jaccard, minimizers, bed_to_sequence, evolve_delete,
         evolve_jitter, evolve_replace, evolve_generations, synthetic_files,
