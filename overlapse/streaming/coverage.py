@@ -211,12 +211,12 @@ def gaps(table: DataFrame) -> DataFrame:
     return between.unionByName(inner)
 
 
-def periods(table: DataFrame) -> DataFrame:
+def periods(table: DataFrame, width: int = TILE_WIDTH) -> DataFrame:
     """(entity, period_start, period_end): the largest continuous covered stretches.
 
     A stretch starts at each entity's first position and at each gap's end; it ends where the next
-    gap starts or at the entity's last position.  Built from the gaps by one window per entity
-    over gap boundaries, tile by tile.
+    gap starts or at the entity's last position.  Starts and ends alternate, so a start's end is the
+    next edge of its tile of the axis, or else the first edge of the next tile that has any.
     """
     whole = table.groupBy("entity").agg(
         F.min(F.get("starts", F.lit(0))).alias("s"), F.max(F.element_at("ends", -1)).alias("e")
@@ -225,9 +225,9 @@ def periods(table: DataFrame) -> DataFrame:
     starts = whole.select("entity", F.col("s").alias("at")).unionByName(holes.select("entity", F.col("gap_end").alias("at")))
     ends = whole.select("entity", F.col("e").alias("at")).unionByName(holes.select("entity", F.col("gap_start").alias("at")))
     both = starts.withColumn("edge", F.lit(0)).unionByName(ends.withColumn("edge", F.lit(1)))
-    ordered = Window.partitionBy("entity").orderBy("at", "edge")
-    return (
-        both.withColumn("upto", F.lead("at").over(ordered))
-        .where("edge = 0")
-        .select("entity", F.col("at").alias("period_start"), F.col("upto").alias("period_end"))
-    )
+    both = both.withColumn("tile", F.expr(f"at div {width}"))
+    inside = Window.partitionBy("entity", "tile").orderBy("at", "edge")
+    tiles = Window.partitionBy("entity").orderBy("tile")
+    later = both.groupBy("entity", "tile").agg(F.min("at").alias("first")).withColumn("later", F.lead("first").over(tiles)).drop("first")
+    placed = both.withColumn("upto", F.lead("at").over(inside)).where("edge = 0").join(later, ["entity", "tile"])
+    return placed.select("entity", F.col("at").alias("period_start"), F.coalesce("upto", "later").alias("period_end"))

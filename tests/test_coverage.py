@@ -51,8 +51,8 @@ def stream(spark, tmp_path, parts, name, **options):
     )
 
 
-def results(table):
-    gaps, periods = C.gaps(table).collect(), C.periods(table).collect()
+def results(table, width=256):
+    gaps, periods = C.gaps(table).collect(), C.periods(table, width).collect()
     out = {}
     for r in periods:
         out.setdefault(r.entity, (set(), set()))[0].add((r.period_start, r.period_end))
