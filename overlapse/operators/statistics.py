@@ -277,9 +277,10 @@ def zero_share(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def interpolation(rows: DataFrame, reference_a: DataFrame, reference_b: DataFrame, pair: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
     """(by, n, and mean and quartiles of the absolute distance to A and to B): how far a mode's values
-    lie from two others' for the same pairs."""
+    lie from two others' for the same pairs.  A pair counts where either has it."""
     named = lambda df, n: df.select(*pair, F.col(value).alias(n))
-    both = rows.join(named(reference_a, "_a"), list(pair)).join(named(reference_b, "_b"), list(pair))
+    both = rows.join(named(reference_a, "_a"), list(pair), "left").join(named(reference_b, "_b"), list(pair), "left")
+    both = both.where("_a is not null or _b is not null")
     out = [F.count(F.lit(1)).alias("n")]
     for tag in ("a", "b"):
         d = F.abs(F.col(value) - F.col(f"_{tag}"))

@@ -293,8 +293,10 @@ SELECT sketch_precision, count(*) AS n, {_corr('e', 's').replace(', 9)', ', 8)')
     "zero_share": f"""SELECT sketch_mode, sketch_precision, count(*) AS n, round(avg(({J} = 0)::INT), 9) AS share_zero, round(avg(({J} > 1)::INT), 9) AS share_above_one
  FROM pair_results WHERE {J} IS NOT NULL GROUP BY ALL""",
     "interpolation": f"""WITH b AS (SELECT sketch_mode, file1, file2, max({J}) AS j FROM pair_results WHERE {J} IS NOT NULL GROUP BY ALL),
-m AS (SELECT c.sketch_mode, abs(c.j - x.j) AS a, abs(c.j - y.j) AS b FROM b c JOIN b x USING (file1, file2) JOIN b y USING (file1, file2)
- WHERE c.sketch_mode = 'C' AND x.sketch_mode = 'B' AND y.sketch_mode = 'D')
+m AS (SELECT c.sketch_mode, abs(c.j - x.j) AS a, abs(c.j - y.j) AS b FROM b c
+ LEFT JOIN b x ON x.file1 = c.file1 AND x.file2 = c.file2 AND x.sketch_mode = 'B'
+ LEFT JOIN b y ON y.file1 = c.file1 AND y.file2 = c.file2 AND y.sketch_mode = 'D'
+ WHERE c.sketch_mode = 'C' AND (x.j IS NOT NULL OR y.j IS NOT NULL))
 SELECT sketch_mode, count(*) AS n, round(avg(a), 9) AS mean_a, round(quantile_cont(a, 0.25), 9) AS q1_a, round(quantile_cont(a, 0.75), 9) AS q3_a,
  round(avg(b), 9) AS mean_b, round(quantile_cont(b, 0.25), 9) AS q1_b, round(quantile_cont(b, 0.75), 9) AS q3_b FROM m GROUP BY sketch_mode""",
     "unordered_pairs": f"""SELECT least(file1, file2) AS a, greatest(file1, file2) AS b, count(*) AS n, round(min({RE}), 9) AS low, round(max({RE}), 9) AS high
