@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.plans.session import load, written
-from overlapse.sources.drift import changes, consistent, path_values
+from overlapse.sources.drift import changes, consistent, name_classes, path_values, type_statistics
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,20 +18,67 @@ def p2_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("field_name", "change_kind").agg(F.count(F.lit(1)).alias("n_dumps"))
 
 
+#: Columns of the table, by any name they go by.
+_COLUMNS = ("file1", "file2", "mode", "precision", "reg_eq_similarity", "jaccard_similarity_ie", "containment_AB", "containment_BA")
+
+
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of all files, each column under the name it has in most files."""
-    dumps = load(spark, sf_dir, "run_dumps")
-    rows = path_values(dumps.dropDuplicates(["dump_id"]), "dump_id", "body")
-    columns = {
-        "file1": ("string", ["file1"]),
-        "file2": ("string", ["file2"]),
-        "sketch_mode": ("string", ["mode", "sketch_mode"]),
-        "sketch_precision": ("int", ["precision", "sketch_precision"]),
-        "reg_eq_similarity": ("double", ["reg_eq_similarity", "regEqSimilarity", "jaccard_similarity"]),
-        "jaccard_similarity_ie": ("double", ["jaccard_similarity_ie"]),
-    }
-    return consistent(rows, columns).withColumnRenamed("id", "dump_id")
+    """All rows of all files in one table, each column under one name whatever a file calls it."""
+    dumps = load(spark, sf_dir, "run_dumps").dropDuplicates(["dump_id"])
+    found = written(changes(dumps, "dump_id", "feed_name", "written_at", "body", ["file1", "file2"]), "changes")
+    rows = written(path_values(dumps, "dump_id", "body"), "rows")
+    classes = name_classes(found, type_statistics(rows))
+    known = {n: (kind, names) for kind, names in classes.values() for n in names}
+    kinds = {"file1": "string", "file2": "string", "mode": "string"}
+    columns = {c: (kinds.get(c, "double"), known[c][1] if c in known else [c]) for c in _COLUMNS}
+    table = consistent(rows, columns).withColumnRenamed("id", "dump_id")
+    return table.withColumn("failed_casts", F.array_join("failed_casts", ","))
 
 
 QUERIES = {"p2_found": p2_found, "p2_change_counts": p2_change_counts, "p2_table": p2_table}
-SQL: dict[str, str] = {}
+
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_BARE = f"""list_transform(list_transform(list_transform({{0}}, lambda x: trim(replace(x, chr(65279), ''), {_TRIM})),
+ lambda x: CASE WHEN len(x) >= 2 AND x[1] IN (chr(34), chr(39)) AND x[1] = x[-1] THEN x[2:len(x) - 1] ELSE x END), lambda x: trim(x, {_TRIM}))"""
+_PARSED = f"""
+WITH d AS (SELECT dump_id, feed_name, written_at, replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS b FROM run_dumps),
+l AS (SELECT dump_id, feed_name, written_at, list_filter(string_split(b, chr(10)), lambda x: trim(replace(x, chr(65279), '')) <> '') AS ls FROM d),
+s AS (SELECT *, CASE WHEN contains(ls[1], chr(9)) THEN chr(9) WHEN contains(ls[1], ',') THEN ',' WHEN contains(ls[1], ';') THEN ';'
+      WHEN contains(ls[1], '|') THEN '|' ELSE chr(9) END AS sep FROM l),
+h AS (SELECT *, {_BARE.format("string_split(ls[1], sep)")} AS hd FROM s),
+r AS (SELECT dump_id, hd, unnest(range(1, len(ls))) AS i, ls, sep FROM h),
+c AS (SELECT dump_id, hd, i, {_BARE.format("string_split(ls[i + 1], sep)")} AS cells FROM r),
+v AS (SELECT dump_id, i, unnest(hd) AS name, unnest(list_resize(cells, len(hd))) AS v FROM c)"""
+_FOUND = (
+    _PARSED
+    + """,
+t AS (SELECT dump_id, i, name, v, CASE WHEN v IS NULL OR v IN ('', 'NA') THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'integer'
+      WHEN regexp_full_match(v, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+|[0-9]+(?:[.][0-9]*)?[eE][+-]?[0-9]+)([eE][+-]?[0-9]+)?') THEN 'real'
+      WHEN regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)%') THEN 'percentage' ELSE 'text' END AS t FROM v),
+k AS (SELECT dump_id, name, list_sort(list(DISTINCT t) FILTER (t IS NOT NULL)) AS ts FROM t GROUP BY ALL),
+y AS (SELECT dump_id, name, CASE WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['integer', 'real'] THEN 'real' WHEN len(ts) > 1 THEN 'text' END AS t FROM k),
+ch AS (SELECT dump_id, lag(dump_id) OVER (PARTITION BY feed_name ORDER BY written_at, dump_id) AS prev FROM run_dumps),
+nw AS (SELECT ch.dump_id, prev, name, t FROM ch JOIN y USING (dump_id) WHERE prev IS NOT NULL),
+od AS (SELECT ch.dump_id, prev, name, t FROM ch JOIN y ON y.dump_id = prev),
+gain AS (SELECT * FROM nw ANTI JOIN od USING (dump_id, name)), lost AS (SELECT * FROM od ANTI JOIN nw USING (dump_id, name)),
+q AS (SELECT dump_id, i, name, CASE WHEN t IS NULL THEN NULL WHEN t = 'text' THEN v WHEN t = 'percentage' THEN printf('%.7e', CAST(rtrim(v, '%') AS DOUBLE) / 100)
+      ELSE printf('%.7e', CAST(v AS DOUBLE)) END AS v FROM t),
+key AS (SELECT dump_id, i, max(v) FILTER (name = 'file1') AS f1, max(v) FILTER (name = 'file2') AS f2 FROM v GROUP BY ALL),
+m AS (SELECT g.dump_id, g.name, o.name AS gone, count(*) FILTER (a.v = b.v) AS eq, count(*) FILTER (a.v <> b.v) AS ne
+      FROM gain g JOIN lost o ON o.dump_id = g.dump_id JOIN key x ON x.dump_id = g.dump_id JOIN key z ON z.dump_id = g.prev AND z.f1 = x.f1 AND z.f2 = x.f2
+      JOIN q a ON a.dump_id = g.dump_id AND a.i = x.i AND a.name = g.name JOIN q b ON b.dump_id = g.prev AND b.i = z.i AND b.name = o.name
+      GROUP BY ALL HAVING count(*) FILTER (a.v = b.v) > 0 AND count(*) FILTER (a.v <> b.v) = 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY dump_id, name ORDER BY eq DESC, gone) AS p, row_number() OVER (PARTITION BY dump_id, gone ORDER BY eq DESC, name) AS r FROM m),
+mt AS (SELECT dump_id, name, gone FROM w WHERE p = 1 AND r = 1),
+f AS (SELECT dump_id, name AS field_name, 'renamed' AS change_kind FROM mt
+UNION ALL SELECT dump_id, name, 'added' FROM gain ANTI JOIN mt USING (dump_id, name)
+UNION ALL SELECT lost.dump_id, lost.name, 'removed' FROM lost ANTI JOIN mt ON mt.dump_id = lost.dump_id AND mt.gone = lost.name
+UNION ALL SELECT nw.dump_id, nw.name, 'type_changed' FROM nw JOIN od ON od.dump_id = nw.dump_id AND od.name = nw.name WHERE nw.t <> od.t)
+"""
+)
+
+
+SQL = {
+    "p2_found": _FOUND + "SELECT * FROM f",
+    "p2_change_counts": _FOUND + "SELECT field_name, change_kind, count(*) AS n_dumps FROM f GROUP BY ALL",
+}

@@ -174,6 +174,35 @@ def changes(dumps: DataFrame, id_col: str, feed_col: str, time_col: str, body_co
     return retyped.unionByName(renamed).unionByName(added).unionByName(removed)
 
 
+def name_classes(found: DataFrame, stats: DataFrame) -> dict[str, tuple[str, list[str]]]:
+    """The columns of all files under one name each: {name: (Spark type, names it went by)}.
+
+    Names that a rename links, in any feed, are one column, called by the name most files have (the
+    lesser at a tie); its type is the widest judged for any of them.  Only the distinct renames and
+    names come to the driver: as many as there are column names.
+    """
+    parent: dict[str, str] = {}
+
+    def root(n: str) -> str:
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for r in found.where("kind = 'renamed'").select("name", "was").distinct().collect():
+        parent[root(r["name"])] = root(r["was"])
+    uses = stats.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.collect_set("type").alias("types")).collect()
+    classes: dict[str, list] = {}
+    for r in uses:
+        classes.setdefault(root(r["name"]), []).append((-r["n"], r["name"], set(r["types"])))
+    out = {}
+    for rows in classes.values():
+        rows.sort(key=lambda r: r[:2])
+        types = set().union(*(t for _, _, t in rows))
+        kind = "string" if "text" in types or not types else "double" if types != {"integer"} else "bigint"
+        out[rows[0][1]] = (kind, [name for _, name, _ in rows])
+    return dict(sorted(out.items()))
+
+
 def consistent(rows: DataFrame, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
     """All rows in one table: id, row_no, the typed columns and ``failed_casts``.
 

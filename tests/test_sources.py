@@ -96,6 +96,16 @@ def test_consistent_table_reports_failed_casts(spark):
     assert got == {"a": (12, 0.5, []), "b": (None, 0.5, ["p"]), "c": (None, None, []), "d": (14, None, [])}
 
 
+def test_renamed_columns_are_one(spark):
+    table = dumps(spark, "file1,file2,j,k\na,b,0.5,1\n", "file1,file2,ie,k\na,b,50%,1\n", "file1,file2,ie,k\nc,d,60%,2\n", "file1,file2,k,x\na,b,3,zz\n")
+    rows = D.path_values(table, "dump_id", "body")
+    stats = D.type_statistics(rows)
+    classes = D.name_classes(D.changes(table, "dump_id", "feed", "at", "body", ["file1", "file2"]), stats)
+    assert classes == {"file1": ("string", ["file1"]), "file2": ("string", ["file2"]), "ie": ("double", ["ie", "j"]), "k": ("bigint", ["k"]), "x": ("string", ["x"])}
+    got = [(r.id, r.ie, r.k, r.failed_casts) for r in D.consistent(rows, classes).orderBy("id").collect()]
+    assert got == [(0, 0.5, 1, []), (1, 0.5, 1, []), (2, 0.6, 2, []), (3, None, 3, [])]
+
+
 def copies(spark):
     schema = "k1 long, k2 string, x double, n int, extra string"
     left = [(1, "a", 1.0, 1, "l"), (1, "a", 1.0, 1, "m"), (2, None, None, 2, "l"), (None, "c", float("nan"), 3, "l"), (4, "d", 1.0, None, "l"), (5, "e", 5.0, 5, "l"), (7, "", 1.0, 1, "l")]
