@@ -70,8 +70,10 @@ def row_share(lines: list[str]) -> float:
         return 0.0
     short = [line for line in lines if len(line.split()) < 16]
     most = sum(_BULLET.search(line) is not None and line[-1] not in ".!?…" for line in short)
-    for cells in _CELLS:
+    for cells in _CELLS[:-1]:
         most = max(most, sum(cells.search(line) is not None for line in short))
+    # Commas stand in sentences too.
+    most = max(most, sum(_CELLS[-1].search(line) is not None and line.rstrip(_CLOSING)[-1:] not in ".!?…" for line in short))
     return most / len(lines)
 
 
