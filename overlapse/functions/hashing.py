@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -148,7 +147,3 @@ def xxh64_bytes(rows: np.ndarray, seed: int = SEED) -> np.ndarray:
         h = (h ^ (h >> u(33))) * u(P64_2)
         h = (h ^ (h >> u(29))) * u(P64_3)
     return h ^ (h >> u(32))
-
-
-def as_signed(seed: int) -> int:
-    return struct.unpack("<q", struct.pack("<Q", seed & _ALL))[0]
