@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.plans.session import load, written
-from overlapse.sources.drift import changes, consistent, name_classes, path_values, type_statistics
+from overlapse.sources.drift import changes, consistent, distinct_columns, held_beside, name_classes, numeric_names, path_values, type_statistics
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,21 +18,36 @@ def p2_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("field_name", "change_kind").agg(F.count(F.lit(1)).alias("n_dumps"))
 
 
-#: Columns of the table, by any name they go by.
-_COLUMNS = ("file1", "file2", "mode", "precision", "reg_eq_similarity", "jaccard_similarity_ie", "containment_AB", "containment_BA")
+PAIR = ("file1", "file2")
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of all files in one table, each column under one name whatever a file calls it."""
+    """All rows of all files in one table, each column under one name whatever a file calls it.
+
+    Every column of any file is there with its judged type, so mixed ones as text; these have their
+    numbers in a second column, NAME_value.  Where a file holds two names of one column, the later one
+    also has a column of its own.  ``failed_casts`` is a JSON list of the values that aren't in a
+    column as its type.
+    """
     dumps = load(spark, sf_dir, "run_dumps").dropDuplicates(["dump_id"])
-    found = written(changes(dumps, "dump_id", "feed_name", "written_at", "body", ["file1", "file2"]), "changes")
+    found = written(changes(dumps, "dump_id", "feed_name", "written_at", "body", list(PAIR)), "changes")
     rows = written(path_values(dumps, "dump_id", "body"), "rows")
-    classes = name_classes(found, type_statistics(rows))
-    known = {n: (kind, names) for kind, names in classes.values() for n in names}
-    kinds = {"file1": "string", "file2": "string", "mode": "string"}
-    columns = {c: (kinds.get(c, "double"), known[c][1] if c in known else [c]) for c in _COLUMNS}
-    table = consistent(rows, columns).withColumnRenamed("id", "dump_id")
-    return table.withColumn("failed_casts", F.array_join("failed_casts", ","))
+    stats = written(type_statistics(rows), "types")
+    classes = name_classes(found, stats)
+    twice, numeric = held_beside(stats, classes), numeric_names(rows)
+    wanted: list[tuple[str, str, list[str], list[str]]] = []
+    for c, (kind, names) in classes.items():
+        each = [(c, names, []), *((n, [n], names[:i]) for i, n in enumerate(names) if n in twice)]
+        for name, own, others in each:
+            wanted.append((name, kind, own, others))
+            if kind == "string" and name not in PAIR and numeric & set(own):
+                wanted.append((f"{name}_value", "double", own, others))
+    labels = distinct_columns([w[0] for w in wanted], ["id", "dump_id", "row_no", "header", "values", "failed_casts", "failed_values"])
+    columns = {label: (kind, own) for label, (_, kind, own, _) in zip(labels, wanted)}
+    beside = {label: others for label, (_, _, _, others) in zip(labels, wanted) if others}
+    table = consistent(rows, columns, beside).withColumnRenamed("id", "dump_id")
+    failed = F.when(F.size("failed_values") > 0, F.to_json("failed_values")).otherwise("")
+    return table.withColumn("failed_casts", failed).drop("failed_values")
 
 
 QUERIES = {"p2_found": p2_found, "p2_change_counts": p2_change_counts, "p2_table": p2_table}

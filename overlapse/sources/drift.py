@@ -203,23 +203,74 @@ def name_classes(found: DataFrame, stats: DataFrame) -> dict[str, tuple[str, lis
     return dict(sorted(out.items()))
 
 
-def consistent(rows: DataFrame, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
-    """All rows in one table: id, row_no, the typed columns and ``failed_casts``.
-
-    ``columns`` maps a column to its Spark type and the names it went by, of which the first present
-    in a row counts.  Numbers written as percentages become fractions.  A value that doesn't cast is
-    null, and its column stands in ``failed_casts``.
+def held_beside(stats: DataFrame, classes: Mapping[str, tuple[str, Sequence[str]]]) -> set[str]:
+    """The names that some file holds beside an earlier name of their class."""
+    places = [(n, c, i) for c, (_, names) in classes.items() for i, n in enumerate(names) if len(names) > 1]
+    if not places:
+        return set()
+    known = stats.sparkSession.createDataFrame(places, "name string, class string, place int")
+    own = stats.select("id", "name").join(F.broadcast(known), "name")
+    first = F.min("place").over(Window.partitionBy("id", "class"))
+    later = own.withColumn("first", first).where("place > first").select("name").distinct()
+    return {r["name"] for r in later.collect()}
+
+
+def numeric_names(rows: DataFrame) -> set[str]:
+    """The names under which some value is a number or a percentage."""
+    seen = rows.where("row_no is not null").select(F.explode("values").alias("name", "v"))
+    return {r["name"] for r in seen.where(value_type(F.col("v")) != "text").select("name").distinct().collect()}
+
+
+def distinct_columns(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """``names`` made distinct whatever their case, from each other and from ``taken``, by a number at
+    the end; a name that needs none keeps its own."""
+    used, own = {n.lower() for n in taken}, {n.lower() for n in names}
+    out = []
+    for n in names:
+        c, i = n, 2
+        while c.lower() in used or (c != n and c.lower() in own):
+            c, i = f"{n}_{i}", i + 1
+        used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def consistent(
+    rows: DataFrame, columns: Mapping[str, tuple[str, Sequence[str]]], beside: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """All rows in one table: id, row_no, the typed columns, ``failed_casts`` and ``failed_values``.
+
+    ``columns`` maps a column to its Spark type and the names it went by, of which the first whose
+    value is present and casts counts.  Columns in ``beside`` have values only in files that also hold
+    one of the names given there.  Numbers written as percentages become fractions.  A value that
+    doesn't cast is null; its column stands in ``failed_casts``, and ``failed_values`` has the column,
+    the name and the raw text of each.
     """
-    raw = {c: F.coalesce(*(F.element_at("values", n) for n in names)) for c, (_, names) in columns.items()}
-    present = {c: F.when(~v.isin(*MISSING), v) for c, v in raw.items()}
+    beside = beside or {}
+
+    def raw(c: str, n: str) -> Column:
+        v = F.element_at("values", n)
+        if c in beside:
+            v = F.when(F.arrays_overlap(F.col("header"), F.array(*map(F.lit, beside[c]))), v)
+        return F.when(~v.isin(*MISSING), v)
 
-    def cast(c: str) -> Column:
-        kind = columns[c][0]
-        v = present[c]
+    def cast(v: Column, kind: str) -> Column:
         if kind == "string":
             return v
         percent = F.rtrim(v, F.lit("%")).try_cast("double") / 100
         return F.when(v.endswith("%"), percent.cast(kind)).otherwise(v.try_cast(kind))
 
-    failed = F.array_compact(F.array(*(F.when(present[c].isNotNull() & cast(c).isNull(), F.lit(c)) for c in columns)))
-    return rows.where("row_no is not null").select("id", "row_no", *(cast(c).alias(c) for c in columns), failed.alias("failed_casts"))
+    out = {c: F.coalesce(*(cast(raw(c, n), kind) for n in names)).alias(c) for c, (kind, names) in columns.items()}
+    failed = [
+        F.when(raw(c, n).isNotNull() & cast(raw(c, n), kind).isNull(), F.struct(F.lit(c).alias("column"), F.lit(n).alias("name"), raw(c, n).alias("text")))
+        for c, (kind, names) in columns.items()
+        for n in names
+        if kind != "string"
+    ]
+    none = F.array().cast("array<struct<column:string,name:string,text:string>>")
+    values = F.array_compact(F.array(*failed)) if failed else none
+    return (
+        rows.where("row_no is not null")
+        .select("id", "row_no", *out.values(), values.alias("failed_values"))
+        .withColumn("failed_casts", F.array_distinct(F.transform("failed_values", lambda f: f["column"])))
+    )

@@ -1,9 +1,12 @@
 """Faulty lines, drifting files and differing copies."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from overlapse.operators.reconcile import compare_copies
+from overlapse.plans.dump_queries import p2_table
 from overlapse.sources import delimited as L
 from overlapse.sources import drift as D
 
@@ -106,6 +109,28 @@ def test_renamed_columns_are_one(spark):
     assert got == [(0, 0.5, 1, []), (1, 0.5, 1, []), (2, 0.6, 2, []), (3, None, 3, [])]
 
 
+def test_table_holds_every_value(spark, tmp_path):
+    bodies = [
+        "file1,file2,j,k,corpus,n\na,b,0.5,1,set_a,3\n",
+        "file1,file2,ie,k,corpus,n,N\na,b,50%,1,set_b,99999999999999999999,7\n",  # j is now ie; N isn't n; n fits no column
+        "file1,file2,ie,j,k,n\na,b,0.5,est:0.6,1,NA\nc,d,NA,0.7,2,4\n",  # ie and j in one file
+        "file1,file2,ie,k,x.y\na,b,0.5*,p1,zz\n",
+    ]
+    rows = [(i, "f", i, b) for i, b in enumerate(bodies)]
+    spark.createDataFrame(rows, "dump_id long, feed_name string, written_at long, body string").write.parquet(f"{tmp_path}/run_dumps.parquet")
+    p2_table(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")  # column names that differ in case only can't be written
+    got = {(r["dump_id"], r["file1"]): r.asDict() for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 5
+    first, second, third, fourth, fifth = (got[k] for k in [(0, "a"), (1, "a"), (2, "a"), (2, "c"), (3, "a")])
+    assert [(r["ie"], r["ie_value"]) for r in (first, second, third, fourth, fifth)] == [("0.5", 0.5), ("50%", 0.5), ("0.5", 0.5), ("0.7", 0.7), ("0.5*", None)]
+    assert [(r["j"], r["j_value"]) for r in (first, second, third, fourth)] == [(None, None), (None, None), ("est:0.6", None), ("0.7", 0.7)]
+    assert [r["corpus"] for r in (first, second, third)] == ["set_a", "set_b", None]
+    assert (first["n_2"], second["n_2"], second["N"], fifth["x.y"], fifth["k"], fourth["k_value"]) == (3, None, 7, "zz", "p1", 2.0)
+    assert json.loads(second["failed_casts"]) == [{"column": "n_2", "name": "n", "text": "99999999999999999999"}]
+    assert {(f["column"], f["text"]) for f in json.loads(fifth["failed_casts"])} == {("ie_value", "0.5*"), ("k_value", "p1")}
+    assert first["failed_casts"] == ""
+
+
 def copies(spark):
     schema = "k1 long, k2 string, x double, n int, extra string"
     left = [(1, "a", 1.0, 1, "l"), (1, "a", 1.0, 1, "m"), (2, None, None, 2, "l"), (None, "c", float("nan"), 3, "l"), (4, "d", 1.0, None, "l"), (5, "e", 5.0, 5, "l"), (7, "", 1.0, 1, "l")]
