@@ -42,6 +42,16 @@ def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.kendall(_pairs(spark, sf_dir), ["sketch_mode"], J, RE, 2))
 
 
+def spearman_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the values as written; ``spearman_ties`` rounds them to two decimals, as its SQL does."""
+    return _rounded(S.spearman(_pairs(spark, sf_dir), ["sketch_mode"], J, RE))
+
+
+def kendall_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the values as written; ``kendall`` rounds them to two decimals, as its SQL does."""
+    return _rounded(S.kendall(_pairs(spark, sf_dir), ["sketch_mode"], J, RE))
+
+
 def binned_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.binned_errors(_pairs(spark, sf_dir), RE, J))
 
@@ -369,7 +379,7 @@ SELECT chrom, count(*) AS n, sum(s)::BIGINT AS sum_start, sum(s + n)::BIGINT AS
 QUERIES = {
     q.__name__: q
     for q in (
-        error_stats, pearson, spearman_ties, kendall, binned_errors, jackknife_se, floor_fits, rescaled_errors,
+        error_stats, pearson, spearman_ties, kendall, spearman_raw, kendall_raw, binned_errors, jackknife_se, floor_fits, rescaled_errors,
         replicate_spread, quantile_bins, size_residuals, zero_share, interpolation, unordered_pairs, label_agreement,
         median_strata, matrix_pivot, tissue_clusters, tissue_tree, catalog_rollup, catalog_topn, catalog_last, catalog_best,
         catalog_paths, median_intervals, load_factor_floor, exact_kmer_jaccard, minimizers, bed_to_sequence, evolve_delete,

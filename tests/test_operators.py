@@ -49,6 +49,16 @@ def test_rank_statistics(scores):
         assert e["c"].pearson is None and e["c"].n == 1
 
 
+def test_kendall_counts_close_values_apart(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0.5, rng.random()]) / 50, rng.choice([0.25, 0.75, rng.random()]) / 50) for _ in range(400)]  # all closer than 0.02, two heavy values
+    met = [(a[0] - b[0]) * (a[1] - b[1]) for i, a in enumerate(rows) for b in rows[:i]]
+    df = spark.createDataFrame(rows, "x double, y double")
+    for slices in (1, 7, 256):
+        k = S.kendall(df, [], "x", "y", slices=slices).first()
+        assert (k.concordant, k.discordant) == (sum(m > 0 for m in met), sum(m < 0 for m in met))
+
+
 def test_jackknife_leaves_each_file_out(spark):
     pairs = [("a", "b", 1.0), ("a", "c", 2.0), ("b", "c", 4.0), ("c", "d", 8.0), ("a", "a", 3.0)]
     got = S.jackknife(spark.createDataFrame(pairs, "f string, g string, v double"), "f", "g", F.col("v")).first()
