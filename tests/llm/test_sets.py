@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from overlapse.llm import bottomk as B
 from overlapse.llm import distinct as D
+from overlapse.llm.set_queries import p5_overlaps
 
 
 def exact_pairs(sets, least):
@@ -41,6 +42,16 @@ def test_pairs_of_small_large_and_equal_sets(spark):
         assert math.isclose(r.jaccard, r.shared / r.union_size)
 
 
+def test_small_shares_are_estimated(spark, tmp_path):
+    sets = {1: range(3000), 2: range(2700, 6000), 3: range(5990, 6200), 4: range(10**6, 10**6 + 50)}  # 1 and 2 share 0.1, 2 and 3 share 10 of 210
+    rows = [(f, "c", e, e + 1) for f, s in sets.items() for e in s]
+    spark.createDataFrame(rows, "file_id long, chrom string, start_pos long, end_pos long").write.parquet(f"{tmp_path}/intervals.parquet")
+    got = {tuple(sorted((r.file_id_1, r.file_id_2))): r for r in p5_overlaps(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (2, 3)}
+    assert abs(got[1, 2].containment_12 - 0.1) <= 5 * got[1, 2].error and got[1, 2].error > 0
+    assert (got[2, 3].shared, got[2, 3].error) == (10.0, 0.0)
+
+
 def test_no_sets_no_overlaps_and_null_elements(spark):
     empty = spark.createDataFrame([], "set long, e long")
     assert B.at_least(B.distinct_elements(empty, "set", ["e"]), 0.3).count() == 0
