@@ -117,14 +117,36 @@ def pair_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pairwise.sparse_pairs(one, two, ["file_id"], P, BITS).select("file_id_1", "file_id_2", *pairwise.SHAPES["full"]))
 
 
-def pair_points_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mode B as run in production: fused point sketches by xxHash, dense pairs, all metrics."""
-    p = 14
-    sketches = written(R.point_sketches(lines(spark, sf_dir), ["file_id"], p), "sketches")
-    found = pairwise.dense_pairs(sketches.where(f"file_id % {QUERY_STEP} = 0"), sketches, ["file_id"], p)
+def _listed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What belongs to interval files of list 1, and of list 2."""
+    sides = load(spark, sf_dir, "bed_files").where("file_kind = 'interval'").select("file_id", "list_side")
+    known = rows.join(sides, "file_id")
+    return known.where("list_side = 'list1'").drop("list_side"), known.where("list_side = 'list2'").drop("list_side")
+
+
+def _listed_pairs(spark: SparkSession, sf_dir: str, sketches: DataFrame, p: int) -> DataFrame:
+    found = pairwise.dense_pairs(*_listed(spark, sf_dir, written(sketches, "sketches")), ["file_id"], p)
     return pairwise.shaped(found, "full", ["file_id_1", "file_id_2"])
 
 
+def pair_points_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode B as run in production: fused point sketches by xxHash of the interval files, those of list 1
+    with those of list 2, all metrics."""
+    return _listed_pairs(spark, sf_dir, R.point_sketches(files_intervals(spark, sf_dir), ["file_id"], 14), 14)
+
+
+def pair_hybrid_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode C in the same way: whole intervals and every position."""
+    rows, p = files_intervals(spark, sf_dir), 14
+    whole = R.dense(R.registers(E.interval_elements(rows, ["file_id"]), ["file_id"], p), ["file_id"], p)
+    return _listed_pairs(spark, sf_dir, R.merged_sketches(whole.unionByName(R.point_sketches(rows, ["file_id"], p)), ["file_id"]), p)
+
+
+def exact_files_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base-pair Jaccard of the interval files of list 1 with those of list 2 that overlap."""
+    return _rounded(exact.interval_jaccard(*_listed(spark, sf_dir, files_intervals(spark, sf_dir)), ["file_id"]))
+
+
 def exact_interval_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir)
     return _rounded(exact.interval_jaccard(rows.where(f"file_id % {QUERY_STEP} = 0"), rows, ["file_id"]))
@@ -303,6 +325,8 @@ QUERIES = {
     "pair_sparse": pair_sparse,
     **{name: partial(_pair_query, cols) for name, cols in _SHAPE.items()},
     "pair_points_xxh64": pair_points_xxh64,
+    "pair_hybrid_xxh64": pair_hybrid_xxh64,
+    "exact_files_jaccard": exact_files_jaccard,
     "exact_interval_jaccard": exact_interval_jaccard,
     "exact_set_jaccard": exact_set_jaccard,
     "stream_registers": stream_registers,
