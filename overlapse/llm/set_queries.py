@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.llm import distinct as D
-from overlapse.llm.bottomk import at_least, distinct_elements, overlaps
+from overlapse.llm.bottomk import K, SPAN, at_least, distinct_elements, indexed, overlaps
+from overlapse.plans.hash_sql import xxh64
 from overlapse.plans.session import load, written
 
 LEAST = 0.3
@@ -31,14 +32,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated shared records and both containments of every pair whose sketches meet in a hash.
 
-    The bound of ``p5_found`` doesn't hold here.  Sets of at most k records are their own sketches, so
-    all their overlaps are there; of a larger smaller set, k hashes show an overlap of a share c with
+    The bound of ``p5_found`` doesn't hold here.  Of sets of fewer than 2 k records the sketch is the whole set,
+    so all their overlaps are there; of a larger smaller set, k hashes show an overlap of a share c with
     probability 1 - (1 - c)^k: 95 % from c = 3 / k = 0.003 on.
     """
-    return overlaps(_elements(spark, sf_dir), 0.0).select(
-        F.col("set_1").alias("file_id_1"), F.col("set_2").alias("file_id_2"),
-        "n_1", "n_2", "shared", "union_size", "jaccard", "containment_12", "containment_21", "error",
-    )
+    found = overlaps(indexed(_elements(spark, sf_dir)), 0.0).withColumnsRenamed({"set_1": "file_id_1", "set_2": "file_id_2"})
+    return found.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes))
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +77,23 @@ def p6_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALID = "chrom IS NOT NULL AND start_pos >= 0 AND end_pos > start_pos AND file_id IS NOT NULL"
+# Layers are the leading zeros of the 63-bit hash; a set's level the highest layer with k hashes in it and above.
+_SKETCHED = f"""WITH v AS (SELECT DISTINCT file_id, chrom, start_pos, end_pos FROM intervals WHERE {_VALID}),
+e AS (SELECT file_id AS s, CAST({xxh64("chrom", "start_pos", "end_pos")} >> 1 AS BIGINT) AS h FROM v),
+l AS (SELECT s, h, CASE WHEN h = 0 THEN 63 ELSE 63 - length(ltrim(bin(h), '0')) END AS j FROM e),
+g AS (SELECT s, j, count(*) AS n, max(h) AS last FROM l GROUP BY ALL),
+up AS (SELECT s, j, sum(n) OVER (PARTITION BY s ORDER BY j DESC) AS n FROM g),
+z AS (SELECT s, sum(n) AS n, coalesce(max(j) FILTER (un >= {K}), 0) AS lv FROM (SELECT g.*, up.n AS un FROM g JOIN up USING (s, j)) GROUP BY s),
+m AS (SELECT a.s AS s1, b.s AS s2, x.n AS n1, y.n AS n2, x.lv, count(*) AS met FROM l a JOIN l b USING (h) JOIN z x ON x.s = a.s JOIN z y ON y.s = b.s
+      WHERE a.j >= x.lv AND (x.n < y.n OR (x.n = y.n AND a.s < b.s)) GROUP BY ALL),
+b AS (SELECT m.*, (SELECT sum(n) FROM g WHERE s = s1 AND j >= lv) + (SELECT sum(n) FROM g WHERE s = s2 AND j >= lv) - met AS merged,
+      greatest((SELECT max(last) FROM g WHERE s = s1 AND j >= lv), (SELECT max(last) FROM g WHERE s = s2 AND j >= lv)) AS last FROM m),
+u AS (SELECT *, met / merged AS jaccard, CASE WHEN lv = 0 THEN merged::DOUBLE ELSE (merged - 1) / ((last + 1) / {float(SPAN)!r}) END AS union_size FROM b)
+SELECT s1 AS file_id_1, s2 AS file_id_2, n1::BIGINT AS n_1, n2::BIGINT AS n_2, merged::BIGINT AS merged, round(jaccard * union_size, 6) AS shared,
+ round(union_size, 6) AS union_size, round(jaccard, 6) AS jaccard, round(jaccard * union_size / n1, 6) AS containment_12, round(jaccard * union_size / n2, 6) AS containment_21,
+ round((sqrt(jaccard * (1 - jaccard) / merged + jaccard * jaccard / merged) + 0.5 / merged) * union_size * sqrt(1 - 0.5 ^ lv) / n1, 6) AS error FROM u"""
 SQL = {
+    "p5_overlaps": _SKETCHED,
     "p5_found": f"""
 WITH v AS (SELECT DISTINCT file_id, chrom, start_pos, end_pos FROM intervals WHERE {_VALID}),
 n AS (SELECT file_id, count(*) AS n FROM v GROUP BY file_id),

@@ -35,11 +35,37 @@ def test_pairs_of_small_large_and_equal_sets(spark):
     for k in (64, 1024):
         got = {tuple(sorted((r.set_1, r.set_2))) for r in B.at_least(elements, 0.3, k).collect()}
         assert got == set(exact_pairs(sets, 0.3))
-    est = {tuple(sorted((r.set_1, r.set_2))): r for r in B.overlaps(elements, 0.3, 64).collect()}
+    est = {tuple(sorted((r.set_1, r.set_2))): r for r in B.overlaps(B.indexed(elements, 64), 0.3).collect()}
     for pair, shared in exact_pairs(sets, 0.3).items():
         r = est[pair]
         assert abs(r.containment_12 - shared / r.n_1) <= 5 * r.error + 1e-12
-        assert math.isclose(r.jaccard, r.shared / r.union_size)
+        assert math.isclose(r.shared, r.jaccard * r.union_size)
+
+
+def test_large_sets_are_estimated_from_merged_lists(spark):
+    rng = random.Random(8)
+    base = rng.sample(range(10**9), 30000)
+    sets = {i: set(base[500 * i : 500 * i + rng.choice([5000, 9000])]) for i in range(20)} | {99: set(base)}
+    elements = B.distinct_elements(rows_of(spark, sets), "set", ["e"]).cache()
+    rows = B.overlaps(B.indexed(elements, 256), 0.0).collect()
+    assert {tuple(sorted((r.set_1, r.set_2))) for r in rows} >= set(exact_pairs(sets, 0.05)) and all(r.error > 0 for r in rows)
+    off = []
+    for r in rows:
+        a, b = sets[r.set_1], sets[r.set_2]
+        off.append((r.containment_12 - len(a & b) / len(a)) / r.error)
+        assert abs(r.union_size / len(a | b) - 1) < 6 / math.sqrt(r.merged) and r.merged >= 256
+    assert max(map(abs, off)) < 5 and abs(sum(off) / len(off)) < 1.5
+    assert {tuple(sorted((r.set_1, r.set_2))) for r in B.at_least(elements, 0.3, 256).collect()} == set(exact_pairs(sets, 0.3))
+
+
+def test_sketches_merge_without_their_sets(spark):
+    sets = {1: range(9000), 2: range(8000, 8100), 3: range(7000, 30000), 4: range(50)}
+    elements = B.distinct_elements(spark.createDataFrame([(k, e) for k, s in sets.items() for e in s], "set long, e long"), "set", ["e"]).cache()
+    groups = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 11), (2, 11)], "set_id long, group long")
+    union = elements.join(groups, "set_id").select(F.col("group").alias("set_id"), "h").distinct()
+    parts = B.sketches(elements, 64)
+    assert parts.groupBy("set_id").count().where("count > 200").count() == 0
+    assert sorted(map(tuple, B.merged_sketches(parts, groups, 64).collect())) == sorted(map(tuple, B.sketches(union, 64).collect()))
 
 
 def test_small_shares_are_estimated(spark, tmp_path):
@@ -49,7 +75,7 @@ def test_small_shares_are_estimated(spark, tmp_path):
     got = {tuple(sorted((r.file_id_1, r.file_id_2))): r for r in p5_overlaps(spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 2), (2, 3)}
     assert abs(got[1, 2].containment_12 - 0.1) <= 5 * got[1, 2].error and got[1, 2].error > 0
-    assert (got[2, 3].shared, got[2, 3].error) == (10.0, 0.0)
+    assert (got[2, 3].shared, got[2, 3].error) == (10.0, 0.0) and got[2, 3].union_size == 210 + 3300 - 10
 
 
 def test_no_sets_no_overlaps_and_null_elements(spark):
