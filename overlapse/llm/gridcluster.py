@@ -1,12 +1,21 @@
 """Clusters of mutually similar items by grid density, from measured pair similarities.
 
-The features of an item are its similarities to the items it was measured with, so every item is
-also an axis of the feature space.  Similarities are quantised into levels; the histogram of levels
-over all pairs has a dense run at the top and one at the bottom, and the sparse levels between them
-part *near* from *far*.  A cell is one axis item with all items near to it, its density their number.
-Two cells whose axis items are near each other are adjacent when they also hold further members in
-common; a near pair that shares none (a stray value between groups that are otherwise unlike) joins
-nothing.  The smallest label is propagated over adjacent cells until nothing changes.
+An item's features are its similarities to the items it was measured with: every item is an axis of the
+feature space, and an item has coordinates on the few axes it was measured with.  Such a space is
+searched as subspace clustering does it, with cells of one axis first and then of two:
+
+1. Quantise.  A measured pair has the feature (measure, level of its similarity).  The pairs in each such cell
+   are counted; a cell is dense with at least ``DENSE_SHARE`` of the mean count.  Adjacent dense
+   cells of a measure join to zones.  The topmost zone is what *near* means, and its lower border lies midway
+   in the sparse cells beneath it.
+2. Cells of one axis.  Cell (a) holds the items near a, and a; its items are counted.
+3. Cells of two axes.  Cell (a, b), of items near each other, holds what cells (a) and (b) share; its items are
+   counted.  It is dense with at least ``DENSE`` items, or where it holds the whole of the thinner of its two
+   cells and that isn't much less than the other.  A stray value between groups that are otherwise unlike gives
+   a cell of two items, which is neither.
+4. Cells (a) and (b) are adjacent where (a, b) is dense.  Least labels are propagated over adjacent cells until
+   nothing changes; a cluster is what carries one label, and its most typical members are the items of the
+   densest cells.
 """
 
 from __future__ import annotations
@@ -17,30 +26,32 @@ from pyspark.sql import functions as F
 from overlapse.plans.session import cut, written
 
 WIDTH = 0.05
-#: A level is dense with at least this share of the mean number of pairs per level.
+#: A cell of similarities is dense with at least this share of the mean number of pairs per level.
 DENSE_SHARE = 0.05
+#: A cell of two axes is dense with this many items.
+DENSE = 3
 
 
-def near_bound(pairs: DataFrame, value: str, default: float, width: float = WIDTH) -> float:
-    """The middle of the sparse levels below the topmost dense run of ``value``, or ``default``
-    where the levels show no such valley.  Collects one count per level: 1 / width rows at most."""
-    level = F.floor(F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0 - 1e-9)) / width)
-    counts = dict(
-        pairs.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(level.cast("int").alias("level")).count().collect()
-    )
-    if not counts:
-        return default
-    levels = round(1 / width)
-    floor = DENSE_SHARE * sum(counts.values()) / levels
-    dense = [counts.get(i, 0) >= floor for i in range(levels)]
-    top = next((i for i in reversed(range(levels)) if dense[i]), None)
-    if top is None:
-        return default
-    low = top
-    while low > 0 and dense[low - 1]:
-        low -= 1
-    below = next((i for i in reversed(range(low)) if dense[i]), None)
-    return default if below is None else (below + 1 + low) / 2 * width
+def similarity_cells(pairs: DataFrame, width: float = WIDTH) -> DataFrame:
+    """(measure, level, n, dense): the pairs in each cell; ``measure`` is 'value', or 'fallback' where that
+    alone was written.  At most 1 / width cells a measure."""
+    measure = F.when(F.col("value").isNotNull(), "value").otherwise("fallback")
+    level = F.floor(F.least(F.greatest(F.coalesce("value", "fallback"), F.lit(0.0)), F.lit(1.0 - 1e-9)) / width).cast("int")
+    counts = pairs.groupBy(measure.alias("measure"), level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("measure"))
+    return counts.withColumn("dense", F.col("n") >= DENSE_SHARE * total * width)
+
+
+def near_bounds(cells: DataFrame, default: float, fallback_default: float, width: float = WIDTH) -> DataFrame:
+    """(measure, bound): one row a measure, the lower border of its topmost zone of adjacent dense cells; the
+    default where there is no other zone beneath it."""
+    order = Window.partitionBy("measure").orderBy("level")
+    dense = cells.where("dense").withColumn("below", F.lag("level").over(order))
+    # A zone starts at a dense cell whose lower neighbour isn't dense; the last start is the topmost zone's.
+    starts = dense.where("below is null or below < level - 1").groupBy("measure").agg(F.max_by(F.struct("level", "below"), "level").alias("top"))
+    usual = F.when(F.col("measure") == "value", F.lit(default)).otherwise(F.lit(fallback_default))
+    middle = (F.col("top.below") + 1 + F.col("top.level")) / 2 * width
+    return starts.select("measure", F.coalesce(middle, usual).alias("bound"))
 
 
 def measured(pairs: DataFrame, a: str, b: str, value: str, fallback: str, weight: Column) -> DataFrame:
@@ -60,13 +71,13 @@ def measured(pairs: DataFrame, a: str, b: str, value: str, fallback: str, weight
 
 
 def near_pairs(pairs: DataFrame, default: float = 0.35, fallback_default: float = 0.45) -> DataFrame:
-    """(a, b, near, value): ``measured`` pairs with the verdict of their level; ``fallback`` counts
-    only where ``value`` is null, and is parted at its own valley."""
-    rest = pairs.where("value is null")
-    bound = near_bound(pairs, "value", default)
-    other = near_bound(rest, "fallback", fallback_default)
-    near = F.when(F.col("value").isNotNull(), F.col("value") >= bound).otherwise(F.col("fallback") >= other)
-    return pairs.select("a", "b", near.alias("near"), F.coalesce("value", "fallback").alias("value"))
+    """(a, b, near, value): ``measured`` pairs with the verdict of their cell; ``fallback`` counts only where
+    ``value`` is null, and has cells of its own."""
+    bounds = near_bounds(similarity_cells(pairs), default, fallback_default)
+    measure = F.when(F.col("value").isNotNull(), "value").otherwise("fallback")
+    # One row for each of the two measures.
+    placed = pairs.withColumn("measure", measure).join(F.broadcast(bounds), "measure")
+    return placed.select("a", "b", (F.coalesce("value", "fallback") >= F.col("bound")).alias("near"), F.coalesce("value", "fallback").alias("value"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -75,79 +86,76 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def _densities(edges: DataFrame) -> DataFrame:
-    """Members of each cell besides the axis item."""
-    return _both_ways(edges).groupBy("item").agg(F.count(F.lit(1)).alias("density"))
+def axis_cells(near: DataFrame) -> DataFrame:
+    """(item, n): how many items the cell of each axis holds, its own one included."""
+    return _both_ways(near).groupBy("item").agg((F.count(F.lit(1)) + 1).alias("n"))
 
 
-def _with_densities(edges: DataFrame) -> DataFrame:
-    d = _densities(edges)
-    return edges.join(d.select(F.col("item").alias("a"), F.col("density").alias("da")), "a").join(
-        d.select(F.col("item").alias("b"), F.col("density").alias("db")), "b"
-    )
+def _counted(edges: DataFrame) -> DataFrame:
+    n = axis_cells(edges)
+    return edges.join(n.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
 
 
 def adjacent_cells(pairs: DataFrame) -> DataFrame:
-    """(a, b): near pairs whose cells are adjacent.
+    """(a, b): near pairs whose cells are adjacent, by the items in cell (a, b).
 
-    The cells must share a member besides the two axis items; where a cell has no other member
-    (groups of two, or chains of three that weren't measured all round) nothing can be shared, and
-    the pair stands unless the other cell is denser.  Shared members are looked up from the thinner
-    of the two cells, so a hot item costs no more than its partners' own cells.
+    What the two cells share is looked up from the thinner one, so a hot axis costs no more than its partners'
+    own cells.  Cells of two items can be dense only where one of theirs has no third (groups of two, and
+    chains of three that weren't measured all round); cells are counted again without the sparse ones for them.
     """
-    near = written(_with_densities(pairs.where("near").select("a", "b")), "near")
-    from_thin = near.select(
-        "a",
-        "b",
-        F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("thin"),
-        F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("thick"),
-    )
-    cells = _both_ways(near.select("a", "b"))
-    shared = (
-        from_thin.join(cells.select(F.col("item").alias("thin"), F.col("other").alias("z")), "thin")
+    near = written(_counted(pairs.where("near").select("a", "b")), "near")
+    thin = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))
+    thick = F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))
+    members = _both_ways(near.select("a", "b"))
+    further = (
+        near.select("a", "b", thin.alias("thin"), thick.alias("thick"))
+        .join(members.select(F.col("item").alias("thin"), F.col("other").alias("z")), "thin")
         .where("z <> thick")
-        .join(cells.select(F.col("item").alias("thick"), F.col("other").alias("z")), ["thick", "z"])
-        .select("a", "b")
-        .distinct()
+        .join(members.select(F.col("item").alias("thick"), F.col("other").alias("z")), ["thick", "z"])
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("further"))
     )
-    held = shared.withColumn("held", F.lit(True))
-    first = written(near.select("a", "b", "da", "db").join(held, ["a", "b"], "left"), "cells")
-    left = first.where("held or least(da, db) = 1").select("a", "b", "held")
-    return _with_densities(left).where("held or greatest(da, db) <= 2").select("a", "b")
+    # Both axis items are in the cell.
+    counted = near.join(further, ["a", "b"], "left").withColumn("n", F.coalesce("further", F.lit(0)) + 2)
+    kept = written(counted.where((F.col("n") >= DENSE) | (F.col("n") == F.least("na", "nb"))).select("a", "b", "n"), "cells")
+    return _counted(kept).where((F.col("n") >= DENSE) | (F.col("n") >= F.greatest("na", "nb") - 1)).select("a", "b")
 
 
-def labels(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def labels(edges: DataFrame) -> DataFrame:
     """(item, label): the smallest item of each connected component.
 
-    Each round takes the least label among an item and its neighbours, and then that label's own
-    label, so long chains shorten by more than a step a round; every round is checkpointed.
+    Each round an item takes the least label of its own label and of its neighbours' labels' labels, and
+    offers the latter to its label too, so rounds grow with the logarithm of a component's size.  Every round
+    is checkpointed; it ends when none changes.
     """
     both = written(_both_ways(edges), "adjacent")
     now = cut(both.groupBy("item").agg(F.least(F.col("item"), F.min("other")).alias("label")))
-    for _ in range(rounds):
-        offered = both.join(now.select(F.col("item").alias("other"), "label"), "other").select("item", "label")
-        least = now.unionByName(offered).groupBy("item").agg(F.min("label").alias("label"))
-        jumped = least.join(now.select(F.col("item").alias("label"), F.col("label").alias("further")), "label", "left")
-        then = cut(jumped.select("item", F.least("label", "further").alias("label")))
-        moved = then.join(now.withColumnRenamed("label", "was"), "item").where("label <> was").limit(1).count()
-        now = then
+    while True:
+        jumped = now.join(now.select(F.col("item").alias("label"), F.col("label").alias("top")), "label")
+        offered = both.join(jumped.select(F.col("item").alias("other"), "top"), "other").groupBy("item").agg(F.min("top").alias("top"))
+        offered = offered.join(now, "item")
+        every = (
+            jumped.select("item", F.col("top").alias("label"), F.col("label").alias("was"))
+            .unionByName(offered.select("item", F.col("top").alias("label"), F.lit(None).alias("was")))
+            .unionByName(offered.select(F.col("label").alias("item"), F.col("top").alias("label"), F.lit(None).alias("was")))
+        )
+        now = cut(every.groupBy("item").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+        moved = now.where("label <> was").limit(1).count()
+        now = now.select("item", "label")
         if not moved:
             return now
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """(item, cluster, size, density): members of clusters of two or more items.
 
-    ``density`` is the number of adjacent cells, by which a cluster's typical members are known.
+    ``density`` is the number of items in the item's cell after sparse cells are gone, itself not counted.
     Items in no cluster don't appear; an empty input gives no rows.
     """
     edges = written(adjacent_cells(pairs), "edges")
     named = labels(edges)
     size = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return (
-        named.join(size, "label").join(_densities(edges), "item").select("item", F.col("label").alias("cluster"), "size", "density")
-    )
+    return named.join(size, "label").join(axis_cells(edges), "item").select("item", F.col("label").alias("cluster"), "size", (F.col("n") - 1).alias("density"))
 
 
 def typical_members(members: DataFrame, top: int = 3) -> DataFrame:
