@@ -2,13 +2,13 @@
 
 Two physical forms give the same integers.  The sparse one joins filled registers on their index and
 suits sketches with few filled registers; its result holds the pairs that share one.  The dense one
-compares every query with every reference: the queries, a stated set, are broadcast in blocks of
-bounded size and each partition of references is compared with a block at a time.
+compares every query with every reference, a block of one side with a block of the other at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overlapse.functions import estimators
-from overlapse.operators.registers import counts_array, sketch_statistics
+from overlapse.operators.registers import checked, counts_array, sketch_statistics
 
 SHAPES = {
     "ie": ("jaccard_similarity_ie",),
     "re": ("reg_eq_similarity",),
     "full": ("reg_eq_similarity", "jaccard_similarity_ie", "containment_ab", "containment_ba", "cosketch_geom", "cosketch_arith", "cosketch_max"),
 }
-#: Bytes of query sketches in one broadcast block.
-BLOCK_BYTES = 64 << 20
+#: Bytes of sketches in a block, and registers of them that are compared at once.
+BLOCK_BYTES, COLUMNS = 32 << 20, 1 << 14
 LEAST = 1e-300
 
 
@@ -35,13 +35,17 @@ def jaccard_from_containments(ab: Column, ba: Column) -> Column:
     return F.when(ok, 1.0 / (1.0 / x + 1.0 / y - 1.0)).otherwise(0.0)
 
 
+def register_equality() -> Column:
+    return F.when(F.col("active") > 0, F.col("matching") / F.col("active")).otherwise(0.0)
+
+
 def with_metrics(pairs: DataFrame) -> DataFrame:
     """All metrics of pairs that hold matching, active, card_1, card_2 and card_union."""
     shared = F.greatest(F.col("card_1") + F.col("card_2") - F.col("card_union"), F.lit(0.0))
     share = lambda c: F.when(F.col(c) > 0, F.col("shared") / F.col(c)).otherwise(0.0)
     ab, ba = F.col("containment_ab"), F.col("containment_ba")
     return (
-        pairs.withColumn("reg_eq_similarity", F.when(F.col("active") > 0, F.col("matching") / F.col("active")).otherwise(0.0))
+        pairs.withColumn("reg_eq_similarity", register_equality())
         .withColumn("shared", shared)
         .withColumn("containment_ab", share("card_1"))
         .withColumn("containment_ba", share("card_2"))
@@ -63,8 +67,8 @@ def sparse_pairs(regs_1: DataFrame, regs_2: DataFrame, keys: Sequence[str], p: i
     smaller value: no union is materialised.
     """
     k1, k2 = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys]
-    one = _renamed(regs_1, keys, 1).withColumnRenamed("rho", "r1")
-    two = _renamed(regs_2, keys, 2).withColumnRenamed("rho", "r2")
+    one = _renamed(checked(regs_1, p, bits), keys, 1).withColumnRenamed("rho", "r1")
+    two = _renamed(checked(regs_2, p, bits), keys, 2).withColumnRenamed("rho", "r2")
     met = (
         one.join(two, "idx")
         .groupBy(*k1, *k2, F.least("r1", "r2").alias("low"))
@@ -87,60 +91,79 @@ def sparse_pairs(regs_1: DataFrame, regs_2: DataFrame, keys: Sequence[str], p: i
     return with_metrics(full).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])
 
 
-def compare_block(queries: np.ndarray, reference: np.ndarray, p: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(matching, active, union histogram) of every query row with one reference."""
-    union = np.maximum(queries, reference)
-    active = (union != 0).sum(axis=1)
-    matching = ((queries == reference) & (union != 0)).sum(axis=1)
-    top = bits - p + 2
-    offset = np.arange(len(queries), dtype=np.int64)[:, None] * top
-    histogram = np.bincount((union + offset).ravel(), minlength=len(queries) * top).reshape(len(queries), top)
-    return matching, active, histogram
+def compare_block(one: np.ndarray, two: np.ndarray, p: int, bits: int = 64, union: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(matching, active, union histograms) of every row of ``one`` with every row of ``two``.
 
-
-def dense_pairs(queries: DataFrame, references: DataFrame, keys: Sequence[str], p: int, bits: int = 64) -> DataFrame:
+    A union's register is at most v where both are, so the number of those is a product of two matrices of
+    flags; without the union only v = 0 is needed.
+    """
+    m, top = one.shape[1], bits - p + 2
+    upto = np.zeros((len(one), len(two), top if union else 1), np.float64)
+    for lo in range(0, m, COLUMNS):
+        a, b = one[:, lo : lo + COLUMNS], two[:, lo : lo + COLUMNS]
+        highest = max(int(a.max(initial=0)), int(b.max(initial=0)))
+        for v in range(upto.shape[2]):
+            if v >= highest:
+                upto[:, :, v] += a.shape[1]
+            else:
+                upto[:, :, v] += (a <= v).astype(np.float32) @ (b <= v).astype(np.float32).T
+    empty = upto[:, :, 0].astype(np.int64)
+    equal = np.stack([np.bitwise_count(np.packbits(two == row, axis=1)).sum(axis=1, dtype=np.int64) for row in one]) if len(one) else empty
+    histogram = np.diff(upto, axis=2, prepend=0).astype(np.int64) if union else None
+    return equal - empty, m - empty, histogram
+
+
+def _numbered(sketches: DataFrame, keys: Sequence[str], side: int, p: int) -> tuple[DataFrame, int]:
+    """A side's sketches with the number of their block, and how many blocks there are."""
+    n = sketches.count()
+    spread = math.isqrt(max(0, sketches.sparkSession.sparkContext.defaultParallelism - 1)) + 1
+    blocks = max(1, -(-(n << p) // BLOCK_BYTES), min(n, spread))
+    named = sketches.select(*(F.col(k).alias(f"{k}_{side}") for k in keys), F.col("sketch").alias(f"cells_{side}"))
+    return named.withColumn(f"_b{side}", F.pmod(F.xxhash64(*(f"{k}_{side}" for k in keys)), F.lit(blocks)).cast("int")), blocks
+
+
+def dense_pairs(
+    queries: DataFrame, references: DataFrame, keys: Sequence[str], p: int, bits: int = 64, shape: str = "full"
+) -> DataFrame:
     """Every query with every reference; both hold the key columns and ``sketch`` (2^p bytes).
 
-    Queries come to the driver a block at a time (``BLOCK_BYTES``) and are broadcast; references stay
-    where they are.
+    Both sides are cut into blocks of at most about ``BLOCK_BYTES``, and enough for all cores; a task compares one block with another, so
+    nothing passes through the driver and the plan is the same whatever the lists' lengths.  Both are counted
+    first and should be written tables.  A sketch of another length than 2^p is refused.  Shape ``re`` has no
+    union and no cardinalities.
     """
-    spark = queries.sparkSession
     kinds = dict(queries.dtypes)
     k1, k2 = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys]
+    union = shape != "re"
     schema = ", ".join(f"`{k}_{s}` {kinds[k]}" for s in (1, 2) for k in keys)
-    schema += ", matching long, active long, card_1 double, card_2 double, card_union double"
-    size, per_block = 1 << p, max(1, BLOCK_BYTES >> p)
-    found, block = None, []
-
-    def searched(rows: list) -> DataFrame:
-        names = pd.DataFrame([tuple(r[k] for k in keys) for r in rows], columns=k1)
-        cells = np.frombuffer(b"".join(bytes(r["sketch"]) for r in rows), np.uint8).reshape(len(rows), size)
-        shared = spark.sparkContext.broadcast((names, cells, _own(cells, p, bits)))
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, cells, cards = shared.value
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    ref = np.frombuffer(row.sketch, np.uint8)
-                    matching, active, union = compare_block(cells, ref, p, bits)
-                    out = names.copy()
-                    for k in keys:
-                        out[f"{k}_2"] = getattr(row, k)
-                    yield out.assign(
-                        matching=matching, active=active, card_1=cards, card_2=_own(ref[None, :], p, bits)[0],
-                        card_union=estimators.cardinalities(union, p, bits),
-                    )
-
-        return references.select(*keys, "sketch").mapInPandas(compare, schema)
-
-    for row in queries.select(*keys, "sketch").toLocalIterator():
-        block.append(row)
-        if len(block) == per_block:
-            part, block = searched(block), []
-            found = part if found is None else found.unionByName(part)
-    if block or found is None:
-        part = searched(block) if block else spark.createDataFrame([], schema)
-        found = part if found is None else found.unionByName(part)
+    schema += ", matching long, active long" + (", card_1 double, card_2 double, card_union double" if union else "")
+    size, names = 1 << p, [*k1, *k2, "matching", "active", *(["card_1", "card_2", "card_union"] if union else [])]
+    one, n1 = _numbered(queries, keys, 1, p)
+    two, n2 = _numbered(references, keys, 2, p)
+    one = one.withColumn("_b2", F.explode(F.sequence(F.lit(0), F.lit(n2 - 1))))
+    two = two.withColumn("_b1", F.explode(F.sequence(F.lit(0), F.lit(n1 - 1))))
+
+    def matrix(sketches: pd.Series) -> np.ndarray:
+        for other in set(map(len, sketches)) - {size}:
+            raise ValueError(f"a sketch of {other} registers stands among those of precision {p}")
+        return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), size)
+
+    def compare(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        x, y = matrix(a["cells_1"]), matrix(b["cells_2"])
+        each, other = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        out = {**{k: a[k].to_numpy()[each] for k in k1}, **{k: b[k].to_numpy()[other] for k in k2}}
+        matching, active, histogram = compare_block(x, y, p, bits, union)
+        out |= {"matching": matching.ravel(), "active": active.ravel()}
+        if union:
+            out |= {"card_1": _own(x, p, bits)[each], "card_2": _own(y, p, bits)[other]}
+            out["card_union"] = estimators.cardinalities(histogram.reshape(len(each), histogram.shape[2]), p, bits)
+        return pd.DataFrame(out)
+
+    found = one.groupBy("_b1", "_b2").cogroup(two.groupBy("_b1", "_b2")).applyInPandas(compare, schema)
+    if not union:
+        return found.select(*k1, *k2, "matching", "active", register_equality().alias("reg_eq_similarity"))
     return with_metrics(found).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])
 
 

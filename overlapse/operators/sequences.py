@@ -7,17 +7,23 @@ minimizer schemes aren't claimed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.functions.hashing import hashed
+from overlapse.functions.hashing import xxh64, xxh64_bytes
 from overlapse.sources.files import CHUNK
 
 COMPLEMENT = ("ACGT", "TGCA")
-#: Bases of a record that one row handles: substrings are found from the row's start.
-PIECE = 256
+#: Characters of a record that one row handles.
+PIECE = 1 << 20
+#: Characters of records a task handles at once.
+BATCH_CHARS = 1 << 21
 
 
 def _record_pieces(records: DataFrame, keys: Sequence[str], seq: str, overlap: int, piece: int = PIECE) -> DataFrame:
@@ -27,36 +33,122 @@ def _record_pieces(records: DataFrame, keys: Sequence[str], seq: str, overlap: i
     return (
         records.select(*keys, upper.alias("_s"))
         .select(*keys, "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-        .select(*keys, F.length("_s").alias("record_length"), F.substring("_s", F.col("_i") * piece + 1, F.lit(piece + overlap)).alias("part"))
+        .select(*keys, F.when(F.col("_i") + F.length("_s") <= piece, F.col("_s")).otherwise(F.substring("_s", F.col("_i") * piece + 1, F.lit(piece + overlap))).alias("part"))
     )
 
 
-def _kmer_array(part: str, k: int) -> Column:
-    starts = F.when(F.length(part) >= k, F.sequence(F.lit(1), F.length(part) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(part, i, F.lit(k)))
+class Joined:
+    """Texts of one batch end to end: UTF-8 bytes, where characters start in them, and where texts do."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.bytes = np.frombuffer("".join(texts).encode(), np.uint8)
+        self.starts = np.append(np.flatnonzero((self.bytes & 0xC0) != 0x80), len(self.bytes))
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.text_of = np.repeat(np.arange(len(texts)), self.lengths)
+        self.left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(len(self.text_of))
+
+    def places(self, span: int) -> np.ndarray:
+        """Characters with at least ``span`` left in their text, themselves included."""
+        return np.flatnonzero(self.left >= span)
+
+    def hashes(self, k: int, seed: int) -> np.ndarray:
+        """XXH64 of the k characters from each on, whatever text they belong to."""
+        n = len(self.starts) - k
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        at, sizes = self.starts[:n], self.starts[k:] - self.starts[:n]
+        out = np.empty(n, np.uint64)
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            windows = np.lib.stride_tricks.sliding_window_view(self.bytes, size)
+            for lo in range(0, len(mine), 1 << 15):
+                some = mine[lo : lo + (1 << 15)]
+                rows = windows[at[some]]
+                if size < 32:
+                    out[some] = xxh64_bytes(rows, seed)
+                else:
+                    out[some] = [xxhash.xxh64_intdigest(r.tobytes(), seed) for r in rows]
+        return out
+
+
+def _batches(table: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Joined]]:
+    """Slices of a batch of bounded text size; a longer piece is a slice of its own."""
+    texts = table.column(table.num_columns - 1).to_pylist()
+    ends = np.cumsum([len(t) for t in texts])
+    for no in np.unique(ends // BATCH_CHARS).tolist():
+        lo, hi = np.searchsorted(ends // BATCH_CHARS, [no, no + 1])
+        yield table.slice(lo, hi - lo), Joined(texts[lo:hi])
+
+
+def _keyed(part: pa.RecordBatch, at: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    kept = part.select(part.schema.names[:-1]).take(pa.array(at))
+    return pa.RecordBatch.from_arrays([*kept.columns, *columns.values()], [*kept.schema.names, *columns])
+
+
+def _schema(records: DataFrame, keys: Sequence[str], more: str) -> str:
+    kinds = dict(records.dtypes)
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), more])
 
 
 def kmers(records: DataFrame, keys: Sequence[str], k: int, seq: str = "seq", canonical: bool = True) -> DataFrame:
     """(keys, kmer): the distinct k-mers of each key; those with an N are left out, and of a k-mer and
     its reverse complement the smaller stands for both."""
-    rows = _record_pieces(records, keys, seq, k - 1).select(*keys, F.explode(_kmer_array("part", k)).alias("kmer"))
-    rows = rows.where(~F.contains("kmer", F.lit("N")))
-    if canonical:
-        rows = rows.withColumn("kmer", F.least(F.col("kmer"), F.reverse(F.translate("kmer", *COMPLEMENT))))
-    return rows.distinct()
 
-
-def minimizers(records: DataFrame, keys: Sequence[str], k: int = 8, w: int = 40, seq: str = "seq", kind: str = "xxh64", seed: int = 42) -> DataFrame:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, joined in _batches(batch):
+                at = joined.places(k)
+                if not len(at):
+                    continue
+                codes = np.frombuffer(joined.bytes.tobytes().decode().encode("utf-32-be"), ">u4").astype(np.uint32)
+                rows = np.lib.stride_tricks.sliding_window_view(codes, k)[at]
+                known = ~(rows == ord("N")).any(axis=1)
+                rows, of = rows[known], joined.text_of[at[known]]
+                text = lambda m: np.ascontiguousarray(m.astype(">u4")).view(f"S{4 * k}")[:, 0]
+                one = text(rows)
+                if canonical:
+                    other = rows[:, ::-1].copy()
+                    for base, pair in zip(*COMPLEMENT):
+                        other[rows[:, ::-1] == ord(base)] = ord(pair)
+                    other = text(other)
+                    one = np.where(other < one, other, one)
+                both = pd.DataFrame({"of": of, "kmer": one}).drop_duplicates()
+                whole = b"".join(x.ljust(4 * k, b"\0") for x in both["kmer"].tolist()).decode("utf-32-be")
+                yield _keyed(part, both["of"].to_numpy(), kmer=pa.array([whole[i : i + k] for i in range(0, len(whole), k)], pa.string()))
+
+    return _record_pieces(records, keys, seq, k - 1).mapInArrow(found, _schema(records, keys, "kmer string")).distinct()
+
+
+def window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w consecutive values, by least values up to and from the borders of blocks of w."""
+    n = len(h) - w + 1
+    if n <= 0:
+        return h[:0]
+    padded = np.concatenate([h, np.full(-len(h) % w, np.iinfo(h.dtype).max, h.dtype)]).reshape(-1, w)
+    upto = np.minimum.accumulate(padded, axis=1).ravel()
+    since = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(since[:n], upto[w - 1 : w - 1 + n])
+
+
+def minimizers(records: DataFrame, keys: Sequence[str], k: int = 8, w: int = 40, seq: str = "seq", seed: int = 42) -> DataFrame:
     """(keys, h): the distinct window minimizers of each key, and the whole hash of each record too
     short for any; empty records give nothing."""
-    pieces = _record_pieces(records, keys, seq, k + w - 2)
-    low = F.lit((1 << 32) - 1).cast("bigint")
-    hashes = F.transform(_kmer_array("part", k), lambda s: hashed(s, kind, seed).bitwiseAND(low))
-    windows = F.when(F.size("_h") >= w, F.sequence(F.lit(1), F.size("_h") - w + 1)).otherwise(F.array().cast("array<int>"))
-    least = F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice("_h", i, w))))
-    found = pieces.where(f"record_length >= {k + w - 1}").withColumn("_h", hashes).select(*keys, F.explode(least).alias("h"))
-    short = records.where((F.length(seq) < k + w - 1) & (F.col(seq) != "")).select(*keys, hashed(F.upper(seq), kind, seed).alias("h"))
-    return found.unionByName(short).distinct()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, joined in _batches(batch):
+                at = joined.places(k + w - 1)
+                if len(at):
+                    least = window_minima(joined.hashes(k, seed) & np.uint64(0xFFFFFFFF), w)[at].astype(np.int64)
+                    of = joined.text_of[at]
+                    fresh = np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1]))
+                    both = pd.DataFrame({"of": of[fresh], "h": least[fresh]}).drop_duplicates()
+                    yield _keyed(part, both["of"].to_numpy(), h=pa.array(both["h"].to_numpy()))
+
+    long = records.where(F.length(seq) >= k + w - 1)
+    short = records.where((F.length(seq) < k + w - 1) & (F.col(seq) != "")).select(*keys, xxh64(F.upper(seq), seed).alias("h"))
+    pieces = _record_pieces(long, keys, seq, k + w - 2)
+    return pieces.mapInArrow(found, _schema(records, keys, "h long")).unionByName(short).distinct()
 
 
 def extract(intervals: DataFrame, reference: DataFrame, keys: Sequence[str], width: int = CHUNK) -> DataFrame:

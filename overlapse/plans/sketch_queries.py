@@ -1,8 +1,7 @@
 """Elements, samplers, sketches and pair metrics over the order lines, and over interval files.
 
 An order line is read as an interval: its supplier is the file, its line number the chromosome, ten
-times its part the start and its quantity the length.  ``md5_60`` stands for the hash where a SQL
-engine computes the same; the xxHash path is tested against golden values.
+times its part the start and its quantity the length.  The SQL computes XXH64 and XXH32 as well.
 """
 
 from __future__ import annotations
@@ -13,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.operators import elements as E
-from overlapse.operators import exact, pairwise
+from overlapse.operators import exact, pairwise, sequences
 from overlapse.operators import registers as R
+from overlapse.plans import hash_sql
 from overlapse.plans.session import load, written
 from overlapse.sources.files import parse_records
 from overlapse.streaming.sketching import run_registers
 
-P, BITS, QUERY_STEP = 10, 60, 100
-MD5 = {"kind": "md5_60", "gate_kind": "md5_60"}
+P, BITS, QUERY_STEP = 10, 64, 100
+K, W = 8, 20
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,19 +59,15 @@ def point_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(E.hybrid_elements(lines(spark, sf_dir), ["file_id"], 0.5, 1.0, 0.5, **MD5))
+    return _counted(E.hybrid_elements(lines(spark, sf_dir), ["file_id"], 0.5, 1.0, 0.5))
 
 
 def sampled(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(E.point_elements(lines(spark, sf_dir), ["file_id"], 0.3, method, **MD5))
-
-
-def _line_registers(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    return R.registers(E.point_elements(lines(spark, sf_dir), list(keys)), list(keys), P, "md5_60")
+    return _counted(E.point_elements(lines(spark, sf_dir), ["file_id"], 0.3, method))
 
 
 def _interval_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.registers(E.interval_elements(files_intervals(spark, sf_dir), ["file_id"]), ["file_id"], P, "md5_60")
+    return R.registers(E.interval_elements(files_intervals(spark, sf_dir), ["file_id"]), ["file_id"], P)
 
 
 def hll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +75,7 @@ def hll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hll_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registers of whole tissues, from those of their files."""
+    """Registers of whole assemblies, from those of their files."""
     files = load(spark, sf_dir, "bed_files").select("file_id", "ref_name").where("ref_name is not null")
     merged = R.merge(_interval_registers(spark, sf_dir).join(files, "file_id"), ["ref_name"])
     return merged.withColumn("rho", F.col("rho").cast("int"))
@@ -101,7 +97,7 @@ def hll_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth file against all files, over dense sketches."""
-    sketches = written(R.dense(_line_registers(spark, sf_dir), ["file_id"], P), "sketches")
+    sketches = written(R.point_sketches(lines(spark, sf_dir), ["file_id"], P), "sketches")
     return pairwise.dense_pairs(sketches.where(f"file_id % {QUERY_STEP} = 0"), sketches, ["file_id"], P, BITS)
 
 
@@ -142,6 +138,16 @@ def pair_hybrid_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed_pairs(spark, sf_dir, R.merged_sketches(whole.unionByName(R.point_sketches(rows, ["file_id"], p)), ["file_id"]), p)
 
 
+def pair_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode D from sequences to metrics: minimizers of the documents' texts as sets of their sources, all sources
+    with all."""
+    rows = load(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("file_id"), F.col("text").alias("seq"))
+    regs = R.registers_of_hashes(sequences.minimizers(rows, ["file_id"], K, W), ["file_id"], P)
+    sketches = written(R.dense(regs, ["file_id"], P), "sketches")
+    found = pairwise.dense_pairs(sketches, sketches, ["file_id"], P)
+    return _rounded(found.where("file_id_1 < file_id_2").select("file_id_1", "file_id_2", "matching", "active", *pairwise.SHAPES["full"]))
+
+
 def exact_files_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base-pair Jaccard of the interval files of list 1 with those of list 2 that overlap."""
     return _rounded(exact.interval_jaccard(*_listed(spark, sf_dir, files_intervals(spark, sf_dir)), ["file_id"]))
@@ -164,7 +170,7 @@ def stream_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/intervals.parquet*")
     rows = rows.where("file_id is not null and chrom is not null and start_pos >= 0 and end_pos > start_pos")
     flat = rows.select("file_id", "chrom", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))
-    found = run_registers(E.interval_elements(flat, ["file_id"]), ["file_id"], P, "md5_60")
+    found = run_registers(E.interval_elements(flat, ["file_id"]), ["file_id"], P)
     return found.withColumn("rho", F.col("rho").cast("int"))
 
 
@@ -177,18 +183,13 @@ _FILES = """files AS (SELECT file_id, chrom || chr(9) || start_pos || chr(9) ||
 _COUNTED = "SELECT file_id, count(*) AS n_elements, count(DISTINCT element) AS n_distinct, min(element) AS least, max(element) AS greatest FROM {0} GROUP BY file_id"
 
 
-def _md5(x: str) -> str:
-    return f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
-
-
-def _gate(x: str) -> str:
-    return f"({_md5(f"'31337:' || {x}")} >> 28)"
+_gate = hash_sql.xxh32
 
 
-def _regs(source: str, key: str = "file_id") -> str:
+def _regs(source: str, key: str = "file_id", h: str = hash_sql.xxh64("element")) -> str:
     """CTE ``regs``: zeros at the end of the rest are found from its lowest set bit."""
-    return f"""hashes AS (SELECT {key}, {_md5("element")} AS h FROM {source}),
-split AS (SELECT {key}, CAST(h & {(1 << P) - 1} AS INTEGER) AS idx, h >> {P} AS rest FROM hashes),
+    return f"""hashes AS (SELECT {key}, {h} AS h FROM {source}),
+split AS (SELECT {key}, CAST(h & {(1 << P) - 1} AS INTEGER) AS idx, CAST(h >> {P} AS BIGINT) AS rest FROM hashes),
 regs AS (SELECT {key}, idx, CAST(max(CASE WHEN rest = 0 THEN {BITS - P + 1} ELSE bit_count((rest & -rest) - 1) + 1 END) AS INTEGER) AS rho
          FROM split GROUP BY ALL)"""
 
@@ -262,8 +263,22 @@ picked AS (SELECT file_id, chrom || chr(9) || pos AS element FROM (SELECT file_i
            JOIN dim USING (chrom) WHERE pos % stride = residue) """
 
 
+# Window minimizers of texts: CTE ``m`` ({key}, h) from ``docs`` ({key}, text).
+MINIMIZERS = f"""d AS (SELECT {{key}}, row_number() OVER () AS no, upper(text) AS s FROM docs WHERE length(text) >= {K + W - 1}),
+i AS (SELECT {{key}}, no, unnest(range(1, length(s) - {K - 2})) AS i, s FROM d),
+r AS MATERIALIZED (SELECT {{key}}, no, i, substr(s, i, {K}) AS kmer FROM i),
+h AS (SELECT {{key}}, no, i, CAST({hash_sql.xxh64("kmer")} & 4294967295 AS BIGINT) AS h FROM r),
+w AS (SELECT {{key}}, i, min(h) OVER (PARTITION BY no ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS h,
+ count(*) OVER (PARTITION BY no ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS n FROM h),
+m AS (SELECT DISTINCT {{key}}, h FROM w WHERE n = {W}
+ UNION SELECT {{key}}, {hash_sql.signed(hash_sql.xxh64("upper(text)", long_texts=True))} FROM docs WHERE length(text) < {K + W - 1} AND text <> '')"""
 _T = E.threshold(0.3)
 SQL = {
+    "pair_sequences": "WITH docs AS (SELECT source AS file_id, text FROM documents WHERE source IS NOT NULL), "
+    + MINIMIZERS.replace("{key}", "file_id")
+    + f", {_regs('m', h='list_transform([h], lambda h_v: CASE WHEN h_v < 0 THEN CAST(h_v AS HUGEINT) + 18446744073709551616 ELSE CAST(h_v AS HUGEINT) END)[1]')}, {_OWN_COUNTS}, "
+    + _pairs("SELECT * FROM regs", "SELECT * FROM regs", True)
+    + f" SELECT file_id_1, file_id_2, matching::BIGINT AS matching, active::BIGINT AS active, {', '.join(pairwise.SHAPES['full'])} FROM pairs WHERE file_id_1 < file_id_2",
     "bed_parse_filter": r"""
 WITH t AS (SELECT line_id, rtrim(line_text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line FROM bed_lines),
 m AS (SELECT line_id, regexp_extract(line, '^\s*(\S+)\s+([+-]?[0-9]+)(\s+[+-]?[0-9]+|[+-][0-9]+)', ['chrom', 's', 'e']) AS g FROM t
@@ -278,7 +293,7 @@ SELECT * FROM n WHERE start_pos >= 0 AND end_pos > start_pos""",
 kept AS (SELECT file_id, element || unnest(range(1, 4)) AS element FROM whole WHERE {_gate('element')} <= {E.threshold(0.5)}),
 every AS (SELECT * FROM kept UNION ALL SELECT file_id, element FROM points) """
     + _COUNTED.format("every"),
-    "sample_single_hash": f"WITH {_POINTS}, kept AS (SELECT * FROM points WHERE ({_md5('element')} >> 28) <= {_T}) " + _COUNTED.format("kept"),
+    "sample_single_hash": f"WITH {_POINTS}, kept AS (SELECT * FROM points WHERE ({hash_sql.xxh64('element')} >> 32) <= {_T}) " + _COUNTED.format("kept"),
     "sample_hash_threshold": f"WITH {_POINTS}, kept AS (SELECT * FROM points WHERE {_gate('element')} <= {_T}) " + _COUNTED.format("kept"),
     "sample_mixed_stride": _stride_sql() + _COUNTED.format("picked"),
     "hll_registers": f"WITH {_FILES}, {_regs('files')} SELECT * FROM regs",
@@ -324,6 +339,7 @@ QUERIES = {
     "hll_cardinality": hll_cardinality,
     "pair_sparse": pair_sparse,
     **{name: partial(_pair_query, cols) for name, cols in _SHAPE.items()},
+    "pair_sequences": pair_sequences,
     "pair_points_xxh64": pair_points_xxh64,
     "pair_hybrid_xxh64": pair_hybrid_xxh64,
     "exact_files_jaccard": exact_files_jaccard,

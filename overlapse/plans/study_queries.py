@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from overlapse.operators import catalog, evolution, exact, sequences, trees
 from overlapse.operators import statistics as S
 from overlapse.plans.session import load
-from overlapse.plans.sketch_queries import files_intervals
+from overlapse.plans.sketch_queries import K, MINIMIZERS, W, files_intervals
 from overlapse.sources.files import chunked
 
 J, RE = "jaccard_similarity_ie", "reg_eq_similarity"
-K, W = 8, 20
 
 
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -203,7 +202,7 @@ def exact_kmer_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct window minimizers of each document."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("seq"))
-    found = sequences.minimizers(rows, ["doc_id"], K, W, kind="md5_60")
+    found = sequences.minimizers(rows, ["doc_id"], K, W)
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_minimizers"), F.min("h").alias("least"), F.max("h").alias("greatest"))
 
 
@@ -350,14 +349,9 @@ n AS (SELECT file_id, count(*) AS n FROM c GROUP BY file_id),
 i AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, count(*) AS intersection FROM c a JOIN c b USING (kmer) WHERE a.file_id < b.file_id GROUP BY ALL)
 SELECT i.*, x.n + y.n - intersection AS union_size, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
 FROM i JOIN n x ON x.file_id = file_id_1 JOIN n y ON y.file_id = file_id_2""",
-    "minimizers": f"""WITH d AS (SELECT doc_id, upper(text) AS s FROM documents WHERE length(text) >= {K + W - 1}),
-r AS (SELECT doc_id, unnest(range(1, length(s) - {K - 2})) AS i, s FROM d),
-h AS (SELECT doc_id, i, CAST('0x' || substr(md5(substr(s, i, {K})), 1, 15) AS BIGINT) & 4294967295 AS h FROM r),
-w AS (SELECT doc_id, i, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS h,
- count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS n FROM h),
-m AS (SELECT DISTINCT doc_id, h FROM w WHERE n = {W}
- UNION SELECT doc_id, CAST('0x' || substr(md5(upper(text)), 1, 15) AS BIGINT) FROM documents WHERE length(text) < {K + W - 1} AND text <> '')
-SELECT doc_id, count(*) AS n_minimizers, min(h) AS least, max(h) AS greatest FROM m GROUP BY doc_id""",
+    "minimizers": "WITH docs AS (SELECT doc_id, text FROM documents), "
+    + MINIMIZERS.replace("{key}", "doc_id")
+    + " SELECT doc_id, count(*) AS n_minimizers, min(h) AS least, max(h) AS greatest FROM m GROUP BY doc_id",
     "bed_to_sequence": """WITH r AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber * 37 AS s, l_linenumber * 37 + CAST(l_quantity AS BIGINT) AS e FROM lineitem)
 SELECT file_id, s AS start_pos, e AS end_pos, substr(text, s + 1, e - s) AS seq FROM r JOIN documents ON doc_id = file_id
 WHERE ((s // 64) * 64 < length(text)) OR (s // 64 = 0)""",

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,43 @@ def test_arguments_are_checked(intervals):
         with pytest.raises(ValueError):
             bad()
     assert E.point_elements(intervals, ["f"], 0.0).count() == 0
+
+
+def test_fused_points_of_all_lengths_equal_the_sparse_path(spark):
+    edges = [0, 5, 97, 995, 9_990, 19_995, 99_990, 999_995, 10**7 - 3, 10**8 - 3, 10**9 - 3, 10**12 - 3]
+    names = ["1", "chr1", "chrX", "chr10", "chr1_gl0001", "a_name_beyond_the_kernel", "é"]
+    rows = [(f, c, s, s + 25 + len(c)) for f, c in zip(["a", "b", None] * 3, names) for s in edges] + [("a", "chr1", 3_000, 45_000), ("a", "chr1", 9, 9)]
+    df = spark.createDataFrame(rows, "f string, chrom string, start long, end long")
+    plain = R.registers(E.point_elements(df, ["f"]), ["f"], 8)
+    key = lambda r: (r[0] or "", r[1:])
+    assert sorted(map(tuple, R.point_registers(df, ["f"], 8).collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+def test_registers_know_their_precision(spark, tmp_path):
+    e = spark.range(5000).select(F.lit("a").alias("f"), F.col("id").cast("string").alias("element"))
+    ten, twelve = R.registers(e, ["f"], 10), R.registers(e, ["f"], 12)
+    ten.write.parquet(f"{tmp_path}/ten")
+    kept = R.merge(spark.read.parquet(f"{tmp_path}/ten").where("idx >= 0"), ["f"])
+    for call in (lambda: P.sparse_pairs(kept, twelve, ["f"], 12), lambda: R.cardinality(ten, ["f"], 12), lambda: P.sparse_pairs(ten, ten, ["f"], 10, 60)):
+        with pytest.raises(ValueError, match="registers of precision 10"):
+            call()
+    with pytest.raises(Exception, match="a sketch of 1024 registers"):
+        P.dense_pairs(R.dense(ten, ["f"], 10), R.dense(twelve, ["f"], 12), ["f"], 12).collect()
+    assert R.cardinality(kept, ["f"], 10).first().cardinality == pytest.approx(5000, rel=0.1)
+    only = P.dense_pairs(R.dense(ten, ["f"], 10), R.dense(kept, ["f"], 10), ["f"], 10, shape="re")
+    assert only.columns == ["f_1", "f_2", "matching", "active", "reg_eq_similarity"] and only.first().reg_eq_similarity == 1.0
+
+
+@pytest.mark.parametrize("p, bits", [(4, 64), (10, 64), (16, 60)])
+def test_blocks_compare_like_single_pairs(p, bits):
+    rng = np.random.default_rng(p)
+    one, two = (np.minimum(rng.geometric(0.5, (n, 1 << p)) - rng.integers(0, 2, (n, 1)), bits - p + 1).astype(np.uint8) for n in (5, 3))
+    two[0] = 0
+    matching, active, union = P.compare_block(one, two, p, bits)
+    for i, a in enumerate(one):
+        for j, b in enumerate(two):
+            u = np.maximum(a, b)
+            assert (matching[i, j], active[i, j]) == (((a == b) & (u > 0)).sum(), (u > 0).sum())
+            assert union[i, j].tolist() == np.bincount(u, minlength=bits - p + 2).tolist()
+    few = P.compare_block(one, two, p, bits, union=False)
+    assert (few[0] == matching).all() and (few[1] == active).all() and few[2] is None
