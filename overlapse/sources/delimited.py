@@ -1,8 +1,9 @@
 """Delimited lines under an explicit schema: valid rows on one side, faults with reasons on the other.
 
-Lines are parsed permissively with the raw text of corrupt ones retained.  The parser of the CSV
-source is lenient about quotes, so every line is then classified by three checks of its own, in
-this order: quoting, number of columns, casts of the required fields.
+Lines are read permissively under a typed schema, and the raw text of those that the reader calls corrupt (by
+their number of columns, or a cast that fails) is retained.  Corrupt lines are then reclassified by three
+checks, in this order: quoting, number of columns, casts.  What the reader accepts is checked only where it is
+lenient: it takes stray and open quotes, missing values, digits of other scripts and any range of numbers.
 """
 
 from __future__ import annotations
@@ -33,17 +34,17 @@ def is_header_or_blank(line: Column) -> Column:
 
 def _masked(line: Column) -> Column:
     """The line with each well-formed quoted field replaced by ``q``."""
-    return F.regexp_replace(line, _QUOTED, "q")
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, _QUOTED, "q")).otherwise(line)
 
 
-def whole_number(text: Column) -> Column:
-    """An optional sign and digits that fit 64 bits, else null."""
-    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
+def _plain_number(text: Column) -> Column:
+    return text.rlike(r"\A[+-]?[0-9]+\z")
 
 
 def parsed(lines: DataFrame, text: str = "line_text", fields: Sequence[str] = FIELDS) -> DataFrame:
-    """Adds ``rec`` (the fields as text, and ``_corrupt``), and ``fault``: null for a valid record,
-    a header or a blank line, else ``quoting``, ``columns`` or ``values``.
+    """Adds ``rec`` (the fields, start and end as bigint, and ``_corrupt``, the raw text of a line that the reader
+    calls corrupt), ``is_record``, and ``fault``: null for a valid record, a header or a blank line, else
+    ``quoting``, ``columns`` or ``values``.
 
     The fields named ``chrom``, ``start`` and ``end`` must be in ``fields``.  A null line counts as
     blank.  All columns of ``lines`` stay; ``rec``, ``fault`` and ``is_record`` must not be among them.
@@ -51,34 +52,32 @@ def parsed(lines: DataFrame, text: str = "line_text", fields: Sequence[str] = FI
     taken = {"rec", "fault", "is_record", "_line", "_mask"} & {*lines.columns}
     if taken:
         raise ValueError(f"columns clash with the result's own: {sorted(taken)}")
-    schema = ", ".join(f"`{f}` string" for f in fields) + ", `_corrupt` string"
+    schema = lambda number: ", ".join([*(f"`{f}` {number if f in ('start', 'end') else 'string'}" for f in fields), "`_corrupt` string"])
     options = {
         "sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1",
         "emptyValue": "", "nullValue": "\u0000", "lineSep": "\u0001",
     }
     line = trimmed(F.coalesce(F.col(text), F.lit("")))
-    masked = _masked(F.col("_line"))
-    start, end = whole_number(F.col("rec.start")), whole_number(F.col("rec.end"))
-    bad_values = (
-        (F.trim(F.coalesce("rec.chrom", F.lit("")), F.lit(BLANKS)) == "")
-        | start.isNull()
-        | end.isNull()
-        | (start < 0)
-        | (end <= start)
-    )
+    start, end = F.col("rec.start"), F.col("rec.end")
+    corrupt = F.col("rec._corrupt").isNotNull()
+    empty = F.trim(F.coalesce("rec.chrom", F.lit("")), F.lit(BLANKS)) == ""
+    out_of_range = start.isNull() | end.isNull() | (start < 0) | (end <= start)
+    # Digits of other scripts: looked for in lines that have more bytes than characters.
+    as_text = F.from_csv("_line", F.lit(schema("string")), options)
+    foreign = (F.octet_length("_line") > F.length("_line")) & ~(_plain_number(as_text["start"]) & _plain_number(as_text["end"]))
     count = F.length("_mask") - F.length(F.replace("_mask", F.lit("\t"), F.lit(""))) + 1
     fault = (
         F.when(~F.col("is_record"), None)
         .when(F.contains("_mask", F.lit('"')), "quoting")
         .when(count != len(fields), "columns")
-        .when(F.coalesce(bad_values, F.lit(True)), "values")
+        .when(corrupt | F.coalesce(empty | out_of_range | foreign, F.lit(True)), "values")
     )
     return (
         lines.withColumn("_line", line)
         .withColumn("is_record", ~is_header_or_blank(F.col("_line")))
-        .withColumn("_mask", masked)
-        .withColumn("rec", F.from_csv("_line", F.lit(schema), options))
+        .withColumn("_mask", _masked(F.col("_line")))
+        .withColumn("rec", F.from_csv("_line", F.lit(schema("bigint")), options))
         .withColumn("fault", fault)
         .drop("_line", "_mask")
     )
@@ -92,5 +91,4 @@ def faults(lines: DataFrame, text: str = "line_text", fields: Sequence[str] = FI
 def records(lines: DataFrame, text: str = "line_text", fields: Sequence[str] = FIELDS) -> DataFrame:
     """The valid record lines, with the parsed fields as columns (start and end as bigint)."""
     ok = parsed(lines, text, fields).where(F.col("is_record") & F.col("fault").isNull())
-    cols = [whole_number(F.col(f"rec.{f}")).alias(f) if f in ("start", "end") else F.col(f"rec.{f}").alias(f) for f in fields]
-    return ok.select(*(c for c in lines.columns if c not in (text, *fields)), *cols)
+    return ok.select(*(c for c in lines.columns if c not in (text, *fields)), *(F.col(f"rec.{f}").alias(f) for f in fields))

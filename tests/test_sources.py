@@ -55,6 +55,17 @@ def test_faults_and_records(spark):
         L.parsed(table.withColumn("fault", F.lit(1)))
 
 
+def test_what_the_reader_calls_corrupt_is_reclassified(spark):
+    lenient = ["c\t1\t2\ta\"b\t0\t+", 'c\t1\t2\ta\t0\t"+', "c\t\t2\ta\t0\t+", "\t1\t2\ta\t0\t+", "c\t\u0661\t2\ta\t0\t+", "c\t-1\t2\ta\t0\t+", "c\t3\t3\ta\t0\t+"]
+    corrupt = ["c\t1\t2", "c\tx\t2\ta\t0\t+", 'c\t1\t2\t"a\t0\t+', "c\t1\t99999999999999999999\ta\t0\t+", "c\t1.0\t2\ta\t0\t+", "c\t1\t2\ta\t0\t+\tx"]
+    valid = ["c\t1\t2\té\t0\t+", '"c"\t"1"\t+2\t"a\tb"\t0\t+', "# a header\t1"]
+    rows = L.parsed(spark.createDataFrame([(t,) for t in lenient + corrupt + valid], "line_text string")).collect()
+    got = {r.line_text: (r.rec._corrupt, r.fault) for r in rows}
+    assert all(got[t][0] is None for t in lenient) and all(got[t][0] == t for t in corrupt)
+    assert [got[t][1] for t in lenient] == ["quoting"] * 2 + ["values"] * 5
+    assert [got[t][1] for t in corrupt] == ["columns", "values", "quoting", "values", "values", "columns"] and all(got[t][1] is None for t in valid)
+
+
 def dumps(spark, *bodies, feeds=None):
     rows = [(i, (feeds or ["f"] * len(bodies))[i], i, b, "x", "y") for i, b in enumerate(bodies)]
     return spark.createDataFrame(rows, "dump_id long, feed string, at long, body string, name string, kind string")
