@@ -54,8 +54,8 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["load_day", "tissue"]
     rows = _sampled(spark, sf_dir)
-    regs = D.registers(rows, by, ["chrom", "start_pos"], "sketch_precision")
-    est = written(D.estimates(regs, by, z=4.5), "estimates")
+    sketches = D.registers(rows, by, ["chrom", "start_pos"], "sketch_precision")
+    est = written(D.estimates(sketches, by, z=4.5), "estimates")
     bound = F.col("n_rows") / 2
     clear = est.where(F.col("high") < bound).select(*by)
     close = est.where((F.col("high") >= bound) & (F.col("low") < bound)).select(*by, "n_rows")
@@ -72,8 +72,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct positions of every combination of load day, tissue and mark, with 95 % bounds."""
     by = ["load_day", "tissue", "mark"]
-    regs = written(D.registers(_sampled(spark, sf_dir), by, ["chrom", "start_pos"], "sketch_precision"), "registers")
-    return D.estimates(D.combinations(regs, by), [*by, "left_out"]).withColumnRenamed("p", "sketch_precision")
+    sketches = written(D.registers(_sampled(spark, sf_dir), by, ["chrom", "start_pos"], "sketch_precision"), "sketches")
+    return D.estimates(D.combinations(sketches, by), [*by, "left_out"]).withColumnRenamed("p", "sketch_precision")
 
 
 _VALID = "chrom IS NOT NULL AND start_pos >= 0 AND end_pos > start_pos AND file_id IS NOT NULL"

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from overlapse.llm import bottomk as B
@@ -99,11 +100,43 @@ def test_estimates_lie_within_their_bounds(spark):
         assert r.p == 8 + g and math.isclose(r.error, 1 / math.sqrt(2 ** (8 + g) - 2))
 
 
+def test_registers_are_exponential_and_sums_gamma(spark):
+    rng = np.random.default_rng(6)
+    for n, p in ((1, 6), (7, 8), (3000, 8), (40000, 5)):
+        sums, inside = [], 0
+        for _ in range(150):
+            r = D.race(rng.integers(-(1 << 62), 1 << 62, n), p) / 2**p * n
+            assert np.isfinite(r).all() and len(r) == 1 << p
+            sums.append(r.sum())
+            a = 2 / (9 * 2 ** (p + 1))
+            low, high = (2**p * (1 - a + z * math.sqrt(a)) ** 3 for z in (-1.96, 1.96))
+            inside += low <= r.sum() <= high
+        m = 2**p
+        assert abs(np.mean(sums) / m - 1) < 4 / math.sqrt(m * 150) and abs(np.var(sums) / m - 1) < 0.6
+        assert inside >= 150 * 0.89
+
+
+def test_races_of_parts_fold_and_merge_exactly():
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(1 << 62), 1 << 62, 5000)
+    parts = np.minimum(D.race(h[:3000], 9), D.race(h[2000:], 9))
+    assert (parts == D.race(h, 9)).all() and (D.folded(parts, 5) == D.race(h, 5)).all()
+    assert np.isinf(D.race(h[:0], 4)).all()
+
+
+def test_hot_groups_are_sketched_in_parts(spark, monkeypatch):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"), (F.col("id") % 2500).alias("x"), F.lit(6).alias("p"))
+    whole = sorted((r.g, r.n_rows, r.registers) for r in D.registers(rows, ["g"], ["x"], "p").collect())
+    monkeypatch.setattr(D, "TASK_ROWS", 500)
+    monkeypatch.setattr(D, "TASK_SKETCHES", 3)
+    assert sorted((r.g, r.n_rows, r.registers) for r in D.registers(rows, ["g"], ["x"], "p").collect()) == whole
+
+
 def test_bias_is_small_over_many_sketches(spark):
-    for size in (20, 500, 20000):
-        rows = spark.range(size * 200).select((F.col("id") % 200).alias("g"), F.col("id").alias("x"), F.lit(8).alias("p"))
+    for size in (20, 5000):
+        rows = spark.range(size * 100).select((F.col("id") % 100).alias("g"), F.col("id").alias("x"), F.lit(8).alias("p"))
         mean = D.estimates(D.registers(rows, ["g"], ["x"], "p"), ["g"]).agg(F.avg("n_distinct")).first()[0]
-        assert abs(mean / size - 1) < 4 * 0.0626 / math.sqrt(200)
+        assert abs(mean / size - 1) < 4 * 0.0626 / math.sqrt(100)
 
 
 def test_partial_results_merge_at_the_lowest_precision(spark):
@@ -111,9 +144,9 @@ def test_partial_results_merge_at_the_lowest_precision(spark):
         (F.col("id") % 3).alias("day"), F.when(F.col("id") % 5 > 0, "t").alias("tissue"), (F.col("id") % 9000).alias("x"), (F.col("id") % 3 * 2 + 8).cast("int").alias("p")
     )
     fine = D.registers(rows, ["day", "tissue"], ["x"], "p")
-    merged = {tuple(r) for r in D.merged(fine, ["tissue"]).collect()}
-    direct = {tuple(r) for r in D.registers(rows, ["tissue"], ["x"], "p").collect()}
-    assert merged == direct
+    merged = {r.tissue: (r.p, r.n_rows, r.registers) for r in D.merged(fine, ["tissue"]).collect()}
+    direct = {r.tissue: (r.p, r.n_rows, r.registers) for r in D.registers(rows, ["tissue"], ["x"], "p").collect()}
+    assert merged == direct and set(merged) == {"t", None}
     every = D.estimates(D.combinations(fine, ["day", "tissue"]), ["day", "tissue", "left_out"])
     got = {(r.day, r.tissue, r.left_out): r for r in every.collect()}
     assert len(got) == 6 + 3 + 2 + 1
