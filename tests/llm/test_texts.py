@@ -86,22 +86,33 @@ def test_plans_use_every_document_once_and_fit(capacity):
     histogram = Counter(rng.randint(1, capacity) for _ in range(500))
     patterns = P.plan(dict(histogram), capacity)
     used = Counter()
-    for times, pattern in patterns:
+    for level, times, pattern in patterns:
+        assert P.tier(max(pattern), capacity) == level
         assert times > 0 and sum(s * n for s, n in pattern.items()) <= capacity
         for s, n in pattern.items():
             used[s] += times * n
     assert used == histogram
-    boxes = sum(t for t, _ in patterns)
+    boxes = sum(t for _, t, _ in patterns)
     assert boxes <= 1.1 * sum(s * n for s, n in histogram.items()) / capacity + 2
     assert P.tier(capacity, capacity) == 0 and P.plan({}, capacity) == []
 
 
-def test_packing_is_an_exact_round_trip(spark):
+def test_tiers_are_packed_and_filled_from_shorter_ones():
+    own = P.pack_tier({60: 3, 51: 1}, 100)
+    assert own == [(3, {60: 1}), (1, {51: 1})]
+    filled, left = P.fill_gaps(own, {40: 2, 9: 5, 49: 1}, 100)
+    assert filled == [(2, {60: 1, 40: 1}), (1, {60: 1, 9: 4}), (1, {51: 1, 49: 1})] and left == {9: 1}
+    assert P.plan({60: 3, 51: 1, 40: 2, 9: 5, 49: 1}, 100) == [(0, *f) for f in filled] + [(3, 1, {9: 1})]
+    assert P.pack_tier({30: 7, 26: 2}, 100) == [(2, {30: 3}), (1, {30: 1, 26: 2})]
+
+
+def test_packing_is_an_exact_round_trip(spark, monkeypatch):
     rng = random.Random(1)
     sizes = [(i, rng.choice([0, 1, 3, 3, 3, 40, 100, 101, 250])) for i in range(2000)] + [(5, 3), (5, 3)]
     docs = spark.createDataFrame(sizes, "doc long, n_tokens int")
     caps = spark.createDataFrame([(1, 100), (2, 64), (2, 64), (3, 0), (None, 9)], "pack_id int, capacity_tokens int")
-    out = P.pack(P.pieces(docs, caps), step=4, slices=7).toPandas()
+    monkeypatch.setattr(P, "SLICE_ROWS", 90)
+    out = P.pack(P.pieces(docs, caps), step=4).toPandas()
     assert set(out.pack_id) == {1, 2}
     for pack, capacity in ((1, 100), (2, 64)):
         own = out[out.pack_id == pack]
@@ -113,7 +124,8 @@ def test_packing_is_an_exact_round_trip(spark):
             ends = (box.offset + box.length).tolist()
             assert ends[-1] <= capacity and box.offset.tolist() == [0, *ends[:-1]] and box.step_group.nunique() == 1
         assert own.groupby("step_group").container.nunique().max() <= 4
-        assert (own.start == own.piece * capacity).all()
+        assert (own.start == own.piece * capacity).all() and (own.tier == [P.tier(n, capacity) for n in own.length]).all()
+        assert (own.groupby("container").tier.min() == own.groupby("container").box_tier.first()).all() and (own.tier > own.box_tier).any()
     assert P.pack(P.pieces(docs.limit(0), caps)).count() == 0 == P.pack(P.pieces(docs, caps.limit(0))).count()
 
 
