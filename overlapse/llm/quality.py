@@ -1,21 +1,26 @@
 """Per-document text statistics, and their robust Mahalanobis distance from prose of the language.
 
 The language of a text is the one whose common words it holds most of; texts that hold few of any
-are compared with the prose of all languages.  Mean and covariance of prose are estimated robustly:
-starting from medians and absolute deviations, the documents nearest the centre give the next mean
-and covariance, a fixed number of times.  Only these moments, one row per language, come to the
-driver.  Every statistic has a least standard deviation, below which differences don't count, so
-that a property which nearly all prose shares (a full stop at the end) doesn't condemn cut-off text.
+are compared with the prose of all languages.  Mean and covariance of prose are estimated robustly, over all
+documents: starting from medians and absolute deviations, the documents nearest the centre give the next mean
+and covariance, a fixed number of times.  A language's moments are shrunk towards those of all languages by
+n / (n + 60) for n documents, so rare languages need no case of their own.  Each round is one pass, which
+sums counts and moments by bins of the distance; only these sums, some hundred rows per language, come to the driver.
+
+Every statistic has a least standard deviation, below which differences don't count, so that a property which
+nearly all prose shares (a full stop at the end) doesn't condemn cut-off text.  Shares of few words scatter
+more: the covariance of a text of n words is wider by 1 + 6 / n.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +52,11 @@ STATISTICS = (
 LEAST_SD = (3.0, 0.35, 0.1, 0.5, 0.05, 0.15, 0.08, 0.06, 0.1, 0.06, 0.5, 0.15, 0.25)
 #: Share of the documents taken as prose when the moments are estimated, and the rounds of it.
 PROSE_SHARE, ROUNDS = 0.85, 5
-#: Texts with a lower share of common words have no language; languages with fewer documents have no prose of their own.
-LEAST_COMMON, LEAST_DOCS = 0.1, 60
-#: A text of this many words counts half: the fewer the words, the less its shares say.
+#: Bins of the squared distance in a round: this many for each doubling from BIN_LEAST on.
+BINS, BIN_LEAST, MOST_BINS = 32, 0.25, 1024
+#: Texts with a lower share of common words have no language; a language of so many documents has half of its own moments.
+LEAST_COMMON, HALF_DOCS = 0.1, 60
+#: The covariance of a text of this many words is twice that of a long one.
 HALF_WORDS = 6
 #: Chi-square quantile at 0.9995 for 13 statistics: squared distances beyond it are outliers.
 LIMIT = 36.5
@@ -185,22 +192,55 @@ def _total(parts: str) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
 
 
-def _prose(mean: Sequence[float], products: Sequence[float]) -> Prose:
-    k = len(STATISTICS)
-    m = np.array(mean)
-    cov = np.zeros((k, k))
-    cov[np.triu_indices(k)] = products
-    cov = cov + np.triu(cov, 1).T - np.outer(m, m)
+def _floored(mean: np.ndarray, cov: np.ndarray) -> Prose:
     floor = np.array(LEAST_SD) ** 2
-    cov += np.diag(np.maximum(floor - np.diag(cov), 0))
-    return Prose(m, np.linalg.inv(cov))
+    cov = cov + np.diag(np.maximum(floor - np.diag(cov), 0))
+    return Prose(mean, np.linalg.inv(cov))
 
 
-def prose_moments(stats: DataFrame) -> dict[str, Prose]:
-    """Robust moments of each language, and of all together under ''.
+def _shrunk(moments: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> dict[str, Prose]:
+    """The prose of each language, its mean and covariance drawn towards those of all languages ('')."""
+    _, m0, c0 = moments[""]
+    share = {lang: 1.0 if lang == "" else n / (n + HALF_DOCS) for lang, (n, _, _) in moments.items()}
+    return {lang: _floored(w * moments[lang][1] + (1 - w) * m0, w * moments[lang][2] + (1 - w) * c0) for lang, w in share.items()}
 
-    The driver gets one row of 2 + 13 + 91 numbers per language and round.
-    """
+
+def _binned_sums(stats: DataFrame, model: dict[str, Prose]) -> dict[str, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Per language, and for all under '': (bin of the squared distance, documents, their sums, sums of their
+    products), in order of the bins."""
+    k = len(STATISTICS)
+    upper = np.triu_indices(k)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            x = batch.column("x").flatten().to_numpy().reshape(len(langs), k)
+            for lang in {"", *langs}:
+                own = x if lang == "" else x[langs == lang]
+                away = own - model[lang].mean
+                d = np.einsum("ij,ij->i", away @ model[lang].inverse, away)
+                place = np.clip(BINS * np.log2(np.maximum(d, BIN_LEAST) / BIN_LEAST), 0, MOST_BINS).astype(int)
+                for at in np.unique(place).tolist():
+                    part = own[place == at]
+                    row = np.concatenate(([len(part)], part.sum(axis=0), (part.T @ part)[upper]))
+                    held[lang, at] = held[lang, at] + row if (lang, at) in held else row
+        if held:
+            yield pa.RecordBatch.from_pydict({"lang": [key[0] for key in held], "bin": pa.array([key[1] for key in held], pa.int32()), "sums": list(held.values())})
+
+    each = stats.select("lang", "x").mapInArrow(sums, "lang string, bin int, sums array<double>")
+    total = each.groupBy("lang", "bin").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(1 + k + len(upper[0])))).alias("sums"))
+    out: dict[str, list] = {}
+    for r in total.orderBy("lang", "bin").collect():
+        row = np.array(r["sums"])
+        products = np.zeros((k, k))
+        products[upper] = row[1 + k :]
+        out.setdefault(r["lang"], []).append((r["bin"], int(row[0]), row[1 : 1 + k], products + np.triu(products, 1).T))
+    return out
+
+
+def prose_moments(stats: DataFrame) -> dict[str, Prose]:
+    """Robust moments of each language's prose, and of all together under ''."""
     k = range(len(STATISTICS))
     known = stats.where("lang <> ''").select("lang", "x")
     both = known.unionByName(known.withColumn("lang", F.lit("")))
@@ -208,26 +248,23 @@ def prose_moments(stats: DataFrame) -> dict[str, Prose]:
     medians = {r["lang"]: (r["n"], [r[f"m{i}"] for i in k]) for r in middle.collect()}
     if not medians:
         return {"": Prose(np.zeros(len(STATISTICS)), np.diag(1 / np.array(LEAST_SD) ** 2))}
-    medians = {lang: m for lang, (n, m) in medians.items() if n >= LEAST_DOCS or lang == ""}
-    # The first spread is the median absolute deviation, not below the least one.
-    centre = F.create_map(*(c for lang, m in medians.items() for c in (F.lit(lang), F.array(*map(F.lit, m)))))
-    own = both.where(F.col("lang").isin(*medians)).withColumn("m", F.element_at(centre, F.col("lang")))
+    # The first spread is the median absolute deviation.
+    centre = F.create_map(*(c for lang, (_, m) in medians.items() for c in (F.lit(lang), F.array(*map(F.lit, m)))))
+    own = both.withColumn("m", F.element_at(centre, F.col("lang")))
     spread = own.groupBy("lang").agg(*(F.percentile_approx(F.abs(F.get("x", F.lit(i)) - F.get("m", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i in k))
-    model = {}
-    for r in spread.collect():
-        sd = np.maximum(1.4826 * np.array([r[f"d{i}"] for i in k]), LEAST_SD)
-        model[r["lang"]] = Prose(np.array(medians[r["lang"]]), np.diag(1 / sd**2))
-    own = own.drop("m")
+    first = {r["lang"]: np.array([r[f"d{i}"] for i in k]) for r in spread.collect()}
+    model = _shrunk({lang: (n, np.array(m), np.diag((1.4826 * first[lang]) ** 2)) for lang, (n, m) in medians.items()})
     for _ in range(ROUNDS):
-        near = _with_distance(own, model).select("lang", "x", _total("parts").alias("d"))
-        cut = {r["lang"]: r["q"] for r in near.groupBy("lang").agg(F.percentile_approx("d", PROSE_SHARE, 1000).alias("q")).collect()}
-        limit = F.create_map(*(F.lit(v) for pair in cut.items() for v in pair))
-        kept = near.where(F.col("d") <= F.element_at(limit, F.col("lang"))).select("lang", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in k))
-        sums = kept.groupBy("lang").agg(
-            *(F.avg(f"x{i}").alias(f"m{i}") for i in k),
-            *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i in k for j in k if i <= j),
-        )
-        model = {r["lang"]: _prose([r[f"m{i}"] for i in k], [r[f"c{i}_{j}"] for i in k for j in k if i <= j]) for r in sums.collect()}
+        moments = {}
+        for lang, bins in _binned_sums(known, model).items():
+            wanted, n, sums, products = PROSE_SHARE * sum(b[1] for b in bins), 0, 0, 0
+            for _, count, s, p in bins:
+                if n >= wanted:
+                    break
+                n, sums, products = n + count, sums + s, products + p
+            mean = sums / n
+            moments[lang] = (n, mean, products / n - np.outer(mean, mean))
+        model = _shrunk(moments)
     return model
 
 
