@@ -17,9 +17,9 @@ from overlapse.functions.hashing import GATE_SEED, SEED
 from overlapse.operators import elements as E
 from overlapse.operators import pairwise, sequences
 from overlapse.operators import registers as R
-from overlapse.plans.session import written
+from overlapse.plans.session import drop_scratch, written
 from overlapse.sources import files as S
-from overlapse.sources.results import reference_tag, result_name, result_table, write_result
+from overlapse.sources.results import query_table, reference_tag, result_name, result_table, write_result
 
 MODES = {
     "A": "A", "B": "B", "C": "C", "D": "D",
@@ -27,6 +27,10 @@ MODES = {
 }
 
 
+#: Files whose extracted sequences have a larger share of N are warned of.
+MOST_N = 0.5
+
+
 def mode_name(text: str) -> str:
     found = MODES.get(text.upper() if len(text) == 1 else text.lower())
     if not found:
@@ -73,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
     shape = p.add_mutually_exclusive_group()
     shape.add_argument("--metrics", dest="shape", action="store_const", const="full", help="all metrics")
     shape.add_argument("--re", "--register-equality", dest="shape", action="store_const", const="re", help="register equality only")
-    p.add_argument("--format", choices=("csv", "tsv", "parquet"), default="csv")
+    p.add_argument("--format", choices=("csv", "tsv", "query-tsv", "parquet"), default="csv")
     p.add_argument("--verbose", action="store_true")
     p.set_defaults(shape="ie")
     return p
@@ -115,8 +119,13 @@ def sketch_registers(spark: SparkSession, listed: DataFrame, a: argparse.Namespa
                 unknown = sequences.unknown_chromosomes(intervals, genome).limit(5).collect()
                 if unknown:
                     raise S.InputError(f"{ref} lacks chromosomes of LIST{side}: {', '.join(r.chrom for r in unknown)}")
+                beyond = sequences.extraction_faults(intervals, genome, keys).where("beyond > 0").join(listed, keys).limit(5).collect()
+                if beyond:
+                    raise S.InputError(f"intervals of LIST{side} reach beyond their chromosomes in {ref}: {', '.join(f'{r.label} ({r.beyond})' for r in beyond)}")
                 parts.append(sequences.extract(intervals, genome, keys))
-            records = parts[0].unionByName(parts[1])
+            records = written(parts[0].unionByName(parts[1]), "sequences")
+            for r in sequences.share_of_n(records, keys).where(f"n_share > {MOST_N}").join(listed, keys).collect():
+                print(f"overlapse: warning: {r.n_share:.0%} of the sequence of {r.label} is N, which makes files look alike", file=sys.stderr)
         else:
             records = S.read_sequences(spark, listed)
         return R.registers_of_hashes(sequences.minimizers(records, keys, a.k, a.w, seed=a.seed), keys, a.precision)
@@ -136,7 +145,7 @@ def compared(filled: DataFrame, listed: DataFrame, a: argparse.Namespace) -> Dat
     blank = listed.select("side", "ord").join(filled.select("side", "ord"), ["side", "ord"], "left_anti")
     every = filled.unionByName(blank.withColumn("sketch", F.lit(b"\x00" * (1 << a.precision))))
     one, two = (every.where(f"side = {s}").select("ord", "sketch") for s in (1, 2))
-    pairs = pairwise.dense_pairs(one, two, ["ord"], a.precision)
+    pairs = pairwise.dense_pairs(one, two, ["ord"], a.precision, shape=a.shape)
     named = lambda s: listed.where(f"side = {s}").select(F.col("ord").alias(f"ord_{s}"), F.col("label").alias(f"label_{s}"))
     return pairs.join(named(1), "ord_1").join(named(2), "ord_2")
 
@@ -164,11 +173,14 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             say(f"LIST{r.side} has {r.n} files labelled {r.label}; --full-paths tells them apart")
         filled = sketches(spark, listed, a, {1: a.ref1, 2: a.ref2})
         prefix = f"{a.prefix}_{reference_tag(a.ref1)}-vs-{reference_tag(a.ref2)}" if a.ref1 else a.prefix
-        path = result_name(prefix, a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w) + f".{a.format}"
-        table = result_table(
-            compared(filled, listed, a), a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w, (a.ref1 or "NA", a.ref2 or "NA")
-        )
+        path = result_name(prefix, a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w) + f".{a.format.removeprefix('query-')}"
+        pairs = compared(filled, listed, a)
+        if a.format == "query-tsv":
+            table = query_table(pairs, a.shape)
+        else:
+            table = result_table(pairs, a.mode, a.precision, a.shape, a.subA, a.subB, a.expA, a.k, a.w, (a.ref1 or "NA", a.ref2 or "NA"))
         write_result(table, path, a.format)
+        drop_scratch(spark)
     except (S.InputError, OSError) as e:
         say(f"error: {e}")
         return 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,22 @@ def best_of(rows: DataFrame, keys: Sequence[str], *ranks: Column) -> DataFrame:
 
 
 def pair_count(n: Column) -> Column:
-    return (n * (n - 1) / 2).cast("bigint")
+    """n (n - 1) / 2 in whole numbers: one of two neighbours is even."""
+    n = n.cast("bigint")
+    even = n.bitwiseAND(F.lit(1).cast("bigint")) == 0
+    return F.when(even, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+
+
+def looked_up(rows: DataFrame, column: str, known: Mapping[str, str], name: str, missing: str | None = None) -> DataFrame:
+    """Adds ``name``: what a dictionary says of ``column``, or ``missing``.  The dictionary is part of the plan."""
+    pairs = [F.lit(v) for item in sorted(known.items()) for v in item]
+    found = F.element_at(F.create_map(*pairs), F.col(column)) if pairs else F.lit(None).cast("string")
+    return rows.withColumn(name, F.coalesce(found, F.lit(missing).cast("string")))
+
+
+def reason_counts(rows: DataFrame, by: Sequence[str], reason: str) -> DataFrame:
+    """(by, reason, n): how often each reason was given; rows without one don't count."""
+    return rows.where(F.col(reason).isNotNull()).groupBy(*by, reason).agg(F.count(F.lit(1)).alias("n"))
 
 
 def rollup_counts(rows: DataFrame, by: Sequence[str], item: str) -> DataFrame:

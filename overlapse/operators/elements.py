@@ -125,6 +125,30 @@ def point_elements(
     return strided.select(*keys, "chrom", kept.alias("position")).select(*keys, point_text(F.col("position"), sep).alias("element"))
 
 
+def counters(
+    intervals: DataFrame, keys: Sequence[str], interval_rate: float = 1.0, point_rate: float = 1.0, sep: str = SEPARATOR,
+    gate_seed: int = GATE_SEED, gate_kind: str = "xxh32",
+) -> DataFrame:
+    """(keys, n_intervals, kept_intervals, n_points, sampled_points): what modes A to C take of each key, repeated
+    intervals and positions counted as often as they occur; points are sampled by mixed strides, whose numbers
+    follow from the intervals' ends."""
+    checked_rate(interval_rate, "rate")
+    checked_rate(point_rate, "rate")
+    rows = intervals.where("start < end")
+    kept = F.lit(True) if interval_rate >= 1.0 else gate(interval_text(sep), gate_seed, gate_kind) <= threshold(interval_rate)
+    n = F.col("end") - F.col("start")
+    sampled = n if point_rate >= 1.0 else F.lit(0).cast("bigint")
+    if 0.0 < point_rate < 1.0:
+        rows = rows.join(chromosome_strides(intervals, point_rate, gate_seed, gate_kind), "chrom")
+        first = F.col("start") + F.pmod(F.col("residue") - F.col("start"), F.col("stride"))
+        sampled = F.when(first < F.col("end"), F.floor((F.col("end") - 1 - first) / F.col("stride")) + 1).otherwise(0)
+        long_name, step = F.octet_length("chrom") + len(sep) + 20 > 64, max(1, round(1 / point_rate))
+        sampled = F.when(long_name, F.floor((n - 1) / step) + 1).otherwise(sampled)
+    return rows.select(*keys, kept.alias("kept"), n.alias("n"), sampled.cast("bigint").alias("sampled")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_intervals"), F.count_if("kept").alias("kept_intervals"), F.sum("n").alias("n_points"), F.sum("sampled").alias("sampled_points")
+    )
+
+
 def hybrid_elements(
     intervals: DataFrame, keys: Sequence[str], interval_rate: float = 1.0, point_rate: float = 1.0, exponent: float = 0.0,
     method: str = "mixed-stride", **options: object,

@@ -17,26 +17,28 @@ def covered_bases(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def overlaps(one: DataFrame, two: DataFrame, keys: Sequence[str], width: int = BIN) -> DataFrame:
-    """(keys_1, keys_2, chrom, bases): overlaps between two tables of intervals.
+    """(keys_1, keys_2, chrom, bases, fresh): overlaps between two tables of ``merged_intervals``; ``fresh`` isn't set
+    for those that go on from another one before a tile's border.
 
     Both are spread over bins of the axis and joined on chromosome and bin; an overlap counts in the
     first bin both intervals reach only.
     """
     bins = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("bin")
-    left = one.select(*(F.col(k).alias(f"{k}_1") for k in keys), "chrom", F.col("start").alias("s1"), F.col("end").alias("e1"), bins)
-    right = two.select(*(F.col(k).alias(f"{k}_2") for k in keys), "chrom", F.col("start").alias("s2"), F.col("end").alias("e2"), bins)
+    left = one.select(*(F.col(k).alias(f"{k}_1") for k in keys), "chrom", F.col("start").alias("s1"), F.col("end").alias("e1"), F.col("continued").alias("c1"), bins)
+    right = two.select(*(F.col(k).alias(f"{k}_2") for k in keys), "chrom", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("continued").alias("c2"), bins)
     met = left.join(right, ["chrom", "bin"]).where("s1 < e2 and s2 < e1").where(f"bin = greatest(s1, s2) div {width}")
-    return met.select(*(f"{k}_{i}" for i in (1, 2) for k in keys), "chrom", (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("bases"))
+    return met.select(*(f"{k}_{i}" for i in (1, 2) for k in keys), "chrom", (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("bases"), (~(F.col("c1") & F.col("c2"))).alias("fresh"))
 
 
 def interval_jaccard(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys_1, keys_2, intersection, union_bases, jaccard) of the pairs that overlap; others are 0."""
+    """(keys_1, keys_2, intersection, union_bases, n_intersections, jaccard) of the pairs that overlap; others are 0.
+    ``n_intersections`` counts the stretches that two merged intervals share."""
     a, b = merged_intervals(one, keys), merged_intervals(two, keys)
     k1, k2 = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys]
     size = lambda df, side: covered_bases(df, keys).withColumnsRenamed({**{k: f"{k}_{side}" for k in keys}, "bases": f"b{side}"})
-    shared = overlaps(a, b, keys).groupBy(*k1, *k2).agg(F.sum("bases").alias("intersection"))
+    shared = overlaps(a, b, keys).groupBy(*k1, *k2).agg(F.sum("bases").alias("intersection"), F.count_if("fresh").alias("n_intersections"))
     both = shared.join(size(a, 1), k1).join(size(b, 2), k2).withColumn("union_bases", F.col("b1") + F.col("b2") - F.col("intersection"))
-    return both.select(*k1, *k2, "intersection", "union_bases", (F.col("intersection") / F.col("union_bases")).alias("jaccard"))
+    return both.select(*k1, *k2, "intersection", "union_bases", "n_intersections", (F.col("intersection") / F.col("union_bases")).alias("jaccard"))
 
 
 def set_jaccard(one: DataFrame, two: DataFrame, keys: Sequence[str], element: str) -> DataFrame:

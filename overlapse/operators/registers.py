@@ -149,22 +149,27 @@ def sparse(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merged_intervals(intervals: DataFrame, keys: Sequence[str], tile: int = 1 << 22) -> DataFrame:
-    """Disjoint intervals that cover the same positions, per key, chromosome and tile of the axis:
-    positions shared by overlapping intervals are hashed once.  Intervals are cut at tile borders,
-    so a long chromosome or a hot file is spread over many windows."""
+    """(keys, chrom, start, end, continued): disjoint intervals that cover the same positions, per key, chromosome
+    and tile of the axis.  Intervals are cut at tile borders, so a long chromosome or a hot file is spread over
+    many windows; ``continued`` tells those that go on from the tile before."""
     from pyspark.sql import Window
 
-    tiles = F.explode(F.sequence(F.expr(f"start div {tile}"), F.expr(f"(end - 1) div {tile}"))).alias("tile")
+    # An interval that ends at a border leaves an empty piece beyond it, which touches what starts there.
+    tiles = F.explode(F.sequence(F.expr(f"start div {tile}"), F.expr(f"end div {tile}"))).alias("tile")
     cut = (
         intervals.where("start < end")
         .select(*keys, "chrom", "start", "end", tiles)
-        .select(*keys, "chrom", "tile", F.greatest("start", F.col("tile") * tile).alias("start"), F.least("end", (F.col("tile") + 1) * tile).alias("end"))
-    )
+        .select(
+            *keys, "chrom", "tile", F.greatest("start", F.col("tile") * tile).alias("start"), F.least("end", (F.col("tile") + 1) * tile).alias("end"),
+            (F.col("start") < F.col("tile") * tile).alias("continued"),
+        )
+    )
     over = Window.partitionBy(*keys, "chrom", "tile").orderBy("start", "end")
     reach = F.max("end").over(over.rowsBetween(Window.unboundedPreceding, -1))
     fresh = cut.withColumn("fresh", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
     island = fresh.withColumn("island", F.sum("fresh").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "chrom", "tile", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "chrom", "start", "end")
+    whole = island.groupBy(*keys, "chrom", "tile", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("continued").alias("continued"))
+    return whole.where("start < end").select(*keys, "chrom", "start", "end", "continued")
 
 
 #: Positions are hashed in blocks of this many, in which all digits but the last four stay the same.

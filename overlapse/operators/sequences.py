@@ -172,6 +172,18 @@ def unknown_chromosomes(intervals: DataFrame, reference: DataFrame) -> DataFrame
     return intervals.join(names, "chrom", "left_anti").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
+def extraction_faults(intervals: DataFrame, reference: DataFrame, keys: Sequence[str], width: int = CHUNK) -> DataFrame:
+    """(keys, n_intervals, unknown, beyond): of each key, the intervals on chromosomes the reference lacks, and those
+    that reach beyond their chromosome's end.  Without either, ``extract`` gives every interval whole."""
+    ends = reference.groupBy("chrom").agg(F.max(F.col("chunk_no") * width + F.length("seq")).alias("_length"))
+    placed = intervals.join(ends, "chrom", "left")
+    return placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_intervals"),
+        F.count_if(F.col("_length").isNull()).alias("unknown"),
+        F.count_if(F.col("end") > F.col("_length")).alias("beyond"),
+    )
+
+
 def share_of_n(sequences: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n_share): how much of the extracted bases is N, over all of them."""
     unknown = F.length("seq") - F.length(F.regexp_replace("seq", "[Nn]", ""))

@@ -31,22 +31,33 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(varied, F.corr(x, y))
 
 
-def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """(by, value, name): the average rank of each distinct value.
+#: Slices of about equal numbers of distinct values that running counts go over.
+RANK_SLICES = 256
+
 
-    Ranks come from counts of distinct values, not from rows: the running count goes over values of
-    ten slices of each group's range separately, whose totals are then added up.
+def _sliced(counts: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
+    """``counts``, of one row for each distinct value, with ``_below``: the weight of all smaller values of the group.
+
+    Values are cut at their own quantiles, so skewed ones are spread as well; the running sum goes over each slice
+    for itself, and the slices' totals are added.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 64)).otherwise(F.lit(0))
-    sliced = counts.join(whole, list(by)).withColumn("_slice", place.cast("int")) if by else counts.withColumn("_slice", F.lit(0))
-    totals = sliced.groupBy(*by, "_slice").agg(F.sum("_n").alias("_t"))
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANK_SLICES) for i in range(1, RANK_SLICES))), 10 * RANK_SLICES).alias("_cuts"))
+    part = counts.join(cuts, list(by)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = part.groupBy(*by, "_slice").agg(F.sum(weight).alias("_t"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = totals.withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
     within = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.join(first, [*by, "_slice"]).withColumn("_own", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    return ranked.select(*by, value, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name))
+    summed = part.join(first, [*by, "_slice"]).withColumn("_below", F.col("_before") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return summed.drop("_slice", "_before")
+
+
+def average_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by, value, name): the average rank of each distinct value; from counts of distinct values, not rows."""
+    keys = list(by) or ["_all"]
+    known = rows.where(F.col(value).isNotNull())
+    known = known if by else known.select(F.lit(0).alias("_all"), value)
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return _sliced(counts, keys, value, "_n").select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -86,15 +97,7 @@ def _rank_slices(cells: DataFrame, by: Sequence[str], value: str, name: str, sli
     that fills a slice by itself has an odd one to itself."""
     counts = cells.groupBy(*by, value).agg(F.sum("n").alias("_m"))
     whole = cells.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    lo_hi = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 64)).otherwise(F.lit(0))
-    part = counts.join(lo_hi, list(by)).withColumn("_part", place.cast("int"))
-    totals = part.groupBy(*by, "_part").agg(F.sum("_m").alias("_t"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    first = totals.withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
-    below = F.col("_before") + F.coalesce(F.sum("_m").over(within), F.lit(0))
-    ranked = part.join(first, [*by, "_part"]).withColumn("_below", below).join(whole, list(by))
+    ranked = _sliced(counts, by, value, "_m").join(whole, list(by))
     # Nothing starts in a slice after a value of more than its width, so that one is the slice's last.
     number = 2 * F.floor(F.col("_below") / F.col("_rows") * slices) + (F.col("_m") * slices > F.col("_rows")).cast("int")
     return ranked.select(*by, value, number.cast("long").alias(name))
@@ -135,6 +138,58 @@ def kendall(rows: DataFrame, by: Sequence[str], x: str, y: str, digits: int | No
     return found.select(*by, "concordant", "discordant", "tau")
 
 
+def rank_agreement(rows: DataFrame, by: Sequence[str], truth: str, estimate: str) -> DataFrame:
+    """(by, comparisons, discordant, tied, tau_a, tau_b, max_inverted_gap, clamped_at_zero): over all pairs of a
+    group's rows that have both values.  ``max_inverted_gap`` is the largest difference of the truth between two
+    rows that the estimate puts the other way round (0 where there are none), ``clamped_at_zero`` the estimates of 0.
+    """
+    keys = list(by)
+    known = rows.where(F.col(truth).isNotNull() & F.col(estimate).isNotNull()).select(*by, F.col(truth).alias("x"), F.col(estimate).alias("y"))
+    pairs = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
+    ties = lambda c: known.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum(pairs("n")).alias(f"t{c}"))
+    whole = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("clamped_at_zero")).withColumn("comparisons", pairs("n"))
+    # Of all rows with a larger estimate, the least truth: least of the slices above, and within the slice.
+    each = known.groupBy(*keys, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cuts = each.groupBy(*keys).agg(F.percentile_approx("y", F.array(*(F.lit(i / RANK_SLICES) for i in range(1, RANK_SLICES))), 10 * RANK_SLICES).alias("_cuts"))
+    part = each.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("y")))).drop("_cuts")
+    above = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = part.groupBy(*keys, "_slice").agg(F.min("lo").alias("_lo")).withColumn("_over", F.min("_lo").over(above)).drop("_lo")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("hi") - F.least(F.min("lo").over(inside), F.col("_over"))
+    worst = part.join(lows, [*keys, "_slice"]).withColumn("gap", gap).groupBy(*keys).agg(F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(0.0)).alias("max_inverted_gap"))
+    counted = kendall(known, by, "x", "y").drop("tau")
+    full = whole.join(ties("x"), keys).join(ties("y"), keys).join(worst, keys).join(counted, keys, "left")
+    full = full.fillna(0, ["concordant", "discordant"]).withColumn("ahead", F.col("concordant") - F.col("discordant"))
+    untied = F.sqrt((F.col("comparisons") - F.col("tx")).cast("double") * (F.col("comparisons") - F.col("ty")))
+    return full.where("comparisons > 0").select(
+        *by,
+        "comparisons",
+        "discordant",
+        (F.col("comparisons") - F.col("concordant") - F.col("discordant")).alias("tied"),
+        (F.col("ahead") / F.col("comparisons")).alias("tau_a"),
+        F.when(untied > 0, F.col("ahead") / untied).alias("tau_b"),
+        "max_inverted_gap",
+        "clamped_at_zero",
+    )
+
+
+def run_aggregates(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, n, mean, std, least, most) of repeated runs; the deviation is the population's."""
+    known = rows.where(F.col(value).isNotNull())
+    return known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most")
+    )
+
+
+def paired_ratios(rows: DataFrame, by: Sequence[str], replicate: Sequence[str], arm: str, numerator: object, denominator: object, value: str) -> DataFrame:
+    """(by, n, median, least, most): the ratio of two arms' medians within a replicate, over the replicates that have
+    both (and a denominator other than 0)."""
+    of = lambda a: F.median(F.when(F.col(arm) == F.lit(a), F.col(value)))
+    both = rows.groupBy(*by, *replicate).agg(of(numerator).alias("_a"), of(denominator).alias("_b")).where("_a is not null and _b <> 0")
+    ratio = F.col("_a") / F.col("_b")
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("median"), F.min(ratio).alias("least"), F.max(ratio).alias("most"))
+
+
 def binned_errors(rows: DataFrame, estimate: str, truth: str, edges: Sequence[float] = (0.05, 0.2)) -> DataFrame:
     """n, MAE and standard deviation of the errors by stratum of the truth."""
     stratum = F.lit(0)
@@ -220,14 +275,23 @@ def stratum_medians(pairs: DataFrame, by: Sequence[str], same: Column, value: st
     )
 
 
-def unordered_pairs(pairs: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """One row per unordered pair without self pairs: rows, and lowest and highest value."""
+def unordered_pairs(pairs: DataFrame, a: str, b: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """One row per unordered pair without self pairs: rows, lowest and highest value, and whether all its values are
+    equal within ``tolerance`` (null where it has none)."""
     kept = pairs.where(F.col(a) != F.col(b))
     return kept.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), (F.max(value) - F.min(value) <= tolerance).alias("agree")
     )
 
 
+def first_per_pair(pairs: DataFrame, a: str, b: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(a, b, columns): of each unordered pair the row that comes first in ``order`` (nulls first), then by
+    ``columns``; by partial aggregation."""
+    first = F.min(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *columns)).alias("_first")
+    found = pairs.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(first)
+    return found.select("a", "b", *(F.col(f"_first.{c}").alias(c) for c in columns))
+
+
 def load_factor(sizes: DataFrame, keys: Sequence[str], n: str, precision: int, rate: float = 1.0) -> DataFrame:
     """(keys, load, floor): elements per register and the chance that two unrelated sketches of that
     load hold equal registers, among those filled in either."""
@@ -257,14 +321,18 @@ def persistent_crossover(rows: DataFrame, by: Sequence[str], size: str, ours: st
 
 
 def same_pair_sets(rows: DataFrame, cells: Sequence[str], pair: Sequence[str]) -> DataFrame:
-    """(cells, n_pairs, checksum, complete): whether every cell covers the pairs of the widest one."""
-    each = rows.select(*cells, *pair).distinct().groupBy(*cells).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum(F.xxhash64(*pair) % 1000003).alias("checksum")
-    )
-    most = each.agg(F.max(F.struct("n_pairs", "checksum")).alias("m"))
-    return each.join(F.broadcast(most)).select(
-        *cells, "n_pairs", "checksum", ((F.col("n_pairs") == F.col("m.n_pairs")) & (F.col("checksum") == F.col("m.checksum"))).alias("complete")
-    )
+    """(cells, n_pairs, n_shared, complete): whether every cell covers exactly the pairs of the widest one (the first
+    in order of ``cells`` at a tie), with the pairs it shares with that."""
+    each = rows.select(*cells, *pair).distinct()
+    sizes = each.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_pairs"))
+    # One row: the widest cell.
+    widest = sizes.agg(F.min(F.struct((-F.col("n_pairs")).alias("n"), *cells)).alias("w")).select((-F.col("w.n")).alias("_most"), *(F.col(f"w.{c}").alias(f"_w_{c}") for c in cells))
+    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in cells]
+    model = each.join(F.broadcast(widest), same).select(*(F.col(c).alias(f"_p_{c}") for c in pair))
+    met = each.join(model, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in pair], "left_semi").groupBy(*(F.col(c).alias(f"_c_{c}") for c in cells)).agg(F.count(F.lit(1)).alias("n_shared"))
+    full = sizes.join(met, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cells], "left").join(F.broadcast(widest))
+    shared = F.coalesce("n_shared", F.lit(0))
+    return full.select(*cells, "n_pairs", shared.alias("n_shared"), ((F.col("n_pairs") == F.col("_most")) & (shared == F.col("_most"))).alias("complete"))
 
 
 def rescaled_errors(rows: DataFrame, estimate: str, truth: str, edges: Sequence[float] = (0.05, 0.2)) -> DataFrame:
@@ -291,9 +359,9 @@ def quantile_bins(rows: DataFrame, value: str, bins: int, measure: str) -> DataF
     """(bin, n, least, most, mean): rows parted by exact quantiles of ``value``; equal values share a
     bin.  Quantiles are those of the average ranks, so no window goes over all rows."""
     known = rows.where(F.col(value).isNotNull())
-    ranked = average_ranks(known.withColumn("_all", F.lit(0)), ["_all"], value, "_rank")
+    ranked = average_ranks(known, [], value, "_rank")
     total = known.agg(F.count(F.lit(1)).alias("_total"))
-    placed = known.join(ranked.drop("_all"), value).join(F.broadcast(total))
+    placed = known.join(ranked, value).join(F.broadcast(total))
     number = F.least(F.lit(bins), F.ceil(F.col("_rank") / F.col("_total") * bins)).cast("int")
     return placed.groupBy(number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(measure).alias("mean")

@@ -20,7 +20,7 @@ def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CHECKED = r"""
+CHECKED = r"""
 WITH t AS (SELECT line_id, rtrim(line_text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS line FROM bed_lines
            WHERE line_text IS NOT NULL),
 k AS (SELECT line_id, line, regexp_full_match(line, '([^"\t]*|"([^"]|"")*")(\t([^"\t]*|"([^"]|"")*"))*', 's') AS quoted,
@@ -35,8 +35,8 @@ c AS (SELECT line_id, f, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 6 THEN 'c
         WHEN try_cast(f[2] AS BIGINT) < 0 OR try_cast(f[3] AS BIGINT) <= try_cast(f[2] AS BIGINT) THEN 'values' END AS fault FROM u)
 """
 SQL = {
-    "p7_found": _CHECKED + "SELECT line_id, fault FROM c WHERE fault IS NOT NULL",
-    "p7_loaded": _CHECKED
+    "p7_found": CHECKED + "SELECT line_id, fault FROM c WHERE fault IS NOT NULL",
+    "p7_loaded": CHECKED
     + """SELECT line_id, f[1] AS chrom, CAST(f[2] AS BIGINT) AS start_pos, CAST(f[3] AS BIGINT) AS end_pos,
                 f[4] AS name, f[5] AS score, f[6] AS strand FROM c WHERE fault IS NULL""",
 }

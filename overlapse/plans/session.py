@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+class NoSharedFolder(OSError):
+    """A cluster's session that names no folder its executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) is a temporary folder made.
+    Only where the session names none and runs on one machine (unit tests) is a temporary folder made; on a cluster
+    that is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -25,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     kept = sc._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-overlapse-")
     sc.setCheckpointDir(made)
     return f"file://{made}"
@@ -38,9 +46,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; it stays until ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this application has put below the shared folder, once its results have been taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -310,9 +310,11 @@ LEFT JOIN own ON own.k = b.file_id""",
     )
     + f" SELECT file_id_1, file_id_2, {', '.join(pairwise.SHAPES['full'])} FROM pairs",
     **{name: _LINE_PAIRS + f" SELECT file_id_1, file_id_2, {', '.join(f'{_LOOSE.get(c, c)} AS {c}' for c in cols)} FROM pairs" for name, cols in _SHAPE.items()},
-    "exact_interval_jaccard": f"""WITH {_POINTS}, d AS (SELECT DISTINCT file_id, element FROM points), n AS (SELECT file_id, count(*) AS n FROM d GROUP BY file_id),
-i AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, count(*) AS intersection FROM d a JOIN d b USING (element) WHERE a.file_id % {QUERY_STEP} = 0 GROUP BY ALL)
-SELECT i.*, x.n + y.n - intersection AS union_bases, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
+    "exact_interval_jaccard": f"""WITH {_POINTS}, d AS (SELECT DISTINCT file_id, chrom, pos FROM points), n AS (SELECT file_id, count(*) AS n FROM d GROUP BY file_id),
+m AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, chrom, pos, lag(pos) OVER (PARTITION BY a.file_id, b.file_id, chrom ORDER BY pos) AS before FROM d a JOIN d b USING (chrom, pos)
+ WHERE a.file_id % {QUERY_STEP} = 0),
+i AS (SELECT file_id_1, file_id_2, count(*) AS intersection, count(*) FILTER (before IS NULL OR before < pos - 1) AS n_intersections FROM m GROUP BY ALL)
+SELECT file_id_1, file_id_2, intersection, n_intersections, x.n + y.n - intersection AS union_bases, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
 FROM i JOIN n x ON x.file_id = file_id_1 JOIN n y ON y.file_id = file_id_2""",
     "exact_set_jaccard": f"""WITH d AS (SELECT DISTINCT l_suppkey AS file_id, l_partkey FROM lineitem), n AS (SELECT file_id, count(*) AS n FROM d GROUP BY file_id),
 i AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, count(*) AS intersection FROM d a JOIN d b USING (l_partkey) WHERE a.file_id % {QUERY_STEP} = 0 GROUP BY ALL)

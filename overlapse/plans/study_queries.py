@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlapse.operators import catalog, evolution, exact, sequences, trees
+from overlapse.operators import catalog, exact, sequences
+from overlapse.operators import elements as E
 from overlapse.operators import statistics as S
 from overlapse.plans.session import load
 from overlapse.plans.sketch_queries import K, MINIMIZERS, W, files_intervals
+from overlapse.plans import hash_sql
+from overlapse.plans.line_queries import CHECKED
+from overlapse.sources.delimited import faults
 from overlapse.sources.files import chunked
 
 J, RE = "jaccard_similarity_ie", "reg_eq_similarity"
@@ -112,8 +116,8 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _catalogue(spark, sf_dir).select("label", "tissue", "mark")
-    one, two = (known.select(F.col("label").alias(f"file{i}"), F.col("tissue").alias(f"t{i}"), F.col("mark").alias(f"m{i}")) for i in (1, 2))
+    known = _catalogue(spark, sf_dir).select("label", "tissue", "species")
+    one, two = (known.select(F.col("label").alias(f"file{i}"), F.col("tissue").alias(f"t{i}"), F.col("species").alias(f"s{i}")) for i in (1, 2))
     return _pairs(spark, sf_dir).join(one, "file1").join(two, "file2")
 
 
@@ -123,25 +127,63 @@ def median_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.stratum_medians(rows, ["sketch_mode"], F.col("t1") == F.col("t2"), J))
 
 
-def _mark_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled_pairs(spark, sf_dir).where(f"t1 is not null and t2 is not null and {J} is not null")
-    return rows.groupBy(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).agg(F.avg(J).alias("similarity"))
-
-
 def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean Jaccard by mode and precision in wide form."""
-    wide = _pairs(spark, sf_dir).groupBy("sketch_mode").pivot("sketch_precision", [8, 10, 12, 14, 16, 18]).agg(F.round(F.avg(J), 9))
-    return wide.withColumnsRenamed({str(p): f"p{p}" for p in (8, 10, 12, 14, 16, 18)})
+    rows = _pairs(spark, sf_dir).where("sketch_precision is not null").withColumn("p", F.concat(F.lit("p"), "sketch_precision"))
+    return rows.groupBy("sketch_mode").pivot("p").agg(F.round(F.avg(J), 9))
+
+
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How register equality orders pairs, by mode, against Jaccard as the truth."""
+    return _rounded(S.rank_agreement(_pairs(spark, sf_dir), ["sketch_mode"], J, RE))
+
+
+def run_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.run_aggregates(_pairs(spark, sf_dir), ["sketch_mode", "sketch_precision"], J))
+
+
+def paired_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard of mode C over that of mode B for the same pairs, by the first file's tissue."""
+    rows = _labelled_pairs(spark, sf_dir)
+    return _rounded(S.paired_ratios(rows, ["t1"], ["file1", "file2"], "sketch_mode", "C", "B", J), 8)
+
+
+def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first measurement of each unordered pair."""
+    return S.first_per_pair(_pairs(spark, sf_dir), "file1", "file2", ["written_at", "run_id"], ["run_id", RE])
+
+
+def pair_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every mode and precision measured the pairs of the one that measured most."""
+    return S.same_pair_sets(_pairs(spark, sf_dir), ["sketch_mode", "sketch_precision"], ["file1", "file2"])
+
+
+def species_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the same species against pairs of different ones, by mode."""
+    rows = _labelled_pairs(spark, sf_dir).where("s1 is not null and s2 is not null")
+    return _rounded(S.stratum_medians(rows, ["sketch_mode"], F.col("s1") == F.col("s2"), J))
+
+
+def element_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals and positions of each file, and what rates of 0.5 and 0.3 keep of them."""
+    return E.counters(files_intervals(spark, sf_dir), ["file_id"], 0.5, 0.3)
+
+
+def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each reason set lines of an export apart."""
+    return catalog.reason_counts(faults(load(spark, sf_dir, "bed_lines")), ["file_name"], "fault")
 
 
-def tissue_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average-linkage clusters of tissues by their files' mean similarity."""
-    return trees.hierarchical(_mark_matrix(spark, sf_dir).withColumn("g", F.lit(0)), ["g"], 4)
+#: Species and designated reference of the assemblies in the tables.
+SPECIES_OF = {"asmA37": "human", "asmA38": "human", "asmT2T": "human"}
+REFERENCE_OF = {"human": "asmA38"}
 
 
-def tissue_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner bipartitions of the tissues' neighbour-joining tree."""
-    return trees.neighbour_joining(_mark_matrix(spark, sf_dir).withColumn("g", F.lit(0)), ["g"])
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by species, as their assembly says, and the species' designated reference."""
+    rows = catalog.looked_up(load(spark, sf_dir, "bed_files"), "ref_name", SPECIES_OF, "species", "unknown")
+    named = catalog.looked_up(rows, "species", REFERENCE_OF, "reference", "none")
+    return named.groupBy("species", "reference").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("ref_name") == F.col("reference")).alias("n_on_reference"))
 
 
 def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,43 +260,11 @@ def bed_to_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def evolve_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files_intervals(spark, sf_dir)
-    return evolution.delete(rows, ["file_id"], 0.2).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"))
-
-
-def evolve_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evolution.jitter(files_intervals(spark, sf_dir), ["file_id"], 0.3)
-    return rows.groupBy("file_id").agg(F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"), F.min("start").alias("least"))
-
-
-def evolve_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evolution.replace(files_intervals(spark, sf_dir), ["file_id"], 0.3)
-    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"))
-
-
-def evolve_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and covered length after each of four generations of deletion."""
-    rows = evolution.evolve(files_intervals(spark, sf_dir), ["file_id"], 0.1, 4, "delete", 2)
-    return rows.groupBy("generation").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
-
-
-def synthetic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten synthetic intervals for each listed file, by chromosome."""
-    rows = evolution.synthetic_intervals(load(spark, sf_dir, "bed_files").select("file_id"), ["file_id"], 10)
-    return rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"))
-
-
-def _u(label: str, *cols: str) -> str:
-    return f"((CAST('0x' || substr(md5('{label}' || {''.join(chr(39) + '|' + chr(39) + ' || ' + c + ' || ' for c in cols)} ''), 1, 15) AS BIGINT) >> 10) / {float(1 << 50)!r})"
-
-
 _V = """v AS (SELECT file_id, chrom, start_pos AS s, end_pos AS e FROM intervals
  WHERE file_id IS NOT NULL AND chrom IS NOT NULL AND start_pos >= 0 AND end_pos > start_pos)"""
-_KEY = ("file_id", "chrom", "s", "e")
 _SM = "samples AS (SELECT sample_id, tissue, upper(regexp_replace(mark, '[^A-Za-z0-9]', '', 'g')) AS mark, species, ref_name AS sample_ref FROM sample_meta)"
 _CAT = f"{_SM}, cat AS (SELECT b.*, tissue, mark, species, sample_ref FROM bed_files b JOIN samples USING (sample_id))"
-_LP = f"""{_CAT}, lp AS (SELECT p.*, x.tissue AS t1, y.tissue AS t2 FROM pair_results p JOIN cat x ON x.label = file1 JOIN cat y ON y.label = file2)"""
+_LP = f"""{_CAT}, lp AS (SELECT p.*, x.tissue AS t1, y.tissue AS t2, x.species AS s1, y.species AS s2 FROM pair_results p JOIN cat x ON x.label = file1 JOIN cat y ON y.label = file2)"""
 _BOTH = f"{J} IS NOT NULL AND {RE} IS NOT NULL"
 
 
@@ -274,6 +284,14 @@ SELECT sketch_mode, count(*) AS n, {_corr('rx', 'ry')} AS spearman FROM k GROUP
     "kendall": f"""WITH c AS (SELECT sketch_mode, round({J}, 2) AS x, round({RE}, 2) AS y, count(*) AS n FROM pair_results WHERE {_BOTH} GROUP BY ALL),
 p AS (SELECT a.sketch_mode, sum(CASE WHEN b.y > a.y THEN a.n * b.n ELSE 0 END)::BIGINT AS concordant, sum(CASE WHEN b.y < a.y THEN a.n * b.n ELSE 0 END)::BIGINT AS discordant
  FROM c a JOIN c b ON a.sketch_mode = b.sketch_mode AND a.x < b.x GROUP BY a.sketch_mode)
+SELECT *, CASE WHEN concordant + discordant > 0 THEN round((concordant - discordant) / (concordant + discordant), 9) END AS tau FROM p""",
+    "spearman_raw": f"""WITH r AS (SELECT sketch_mode, {J} AS x, {RE} AS y FROM pair_results WHERE {_BOTH}),
+k AS (SELECT sketch_mode, rank() OVER (PARTITION BY sketch_mode ORDER BY x) + (count(*) OVER (PARTITION BY sketch_mode, x) - 1) / 2 AS rx,
+ rank() OVER (PARTITION BY sketch_mode ORDER BY y) + (count(*) OVER (PARTITION BY sketch_mode, y) - 1) / 2 AS ry FROM r)
+SELECT sketch_mode, count(*) AS n, {_corr('rx', 'ry')} AS spearman FROM k GROUP BY sketch_mode""",
+    "kendall_raw": f"""WITH c AS (SELECT sketch_mode, {J} AS x, {RE} AS y, count(*) AS n FROM pair_results WHERE {_BOTH} GROUP BY ALL),
+p AS (SELECT a.sketch_mode, sum(CASE WHEN b.y > a.y THEN a.n * b.n ELSE 0 END)::BIGINT AS concordant, sum(CASE WHEN b.y < a.y THEN a.n * b.n ELSE 0 END)::BIGINT AS discordant
+ FROM c a JOIN c b ON a.sketch_mode = b.sketch_mode AND a.x < b.x GROUP BY a.sketch_mode)
 SELECT *, CASE WHEN concordant + discordant > 0 THEN round((concordant - discordant) / (concordant + discordant), 9) END AS tau FROM p""",
     "binned_errors": f"""SELECT CASE WHEN {J} >= 0.2 THEN 2 WHEN {J} >= 0.05 THEN 1 ELSE 0 END AS stratum, count(*) AS n, round(avg(abs({RE} - {J})), 9) AS mae,
  round(stddev_pop({RE} - {J}), 9) AS sd FROM pair_results WHERE {_BOTH} GROUP BY ALL""",
@@ -308,7 +326,8 @@ m AS (SELECT c.sketch_mode, abs(c.j - x.j) AS a, abs(c.j - y.j) AS b FROM b c
  WHERE c.sketch_mode = 'C' AND (x.j IS NOT NULL OR y.j IS NOT NULL))
 SELECT sketch_mode, count(*) AS n, round(avg(a), 9) AS mean_a, round(quantile_cont(a, 0.25), 9) AS q1_a, round(quantile_cont(a, 0.75), 9) AS q3_a,
  round(avg(b), 9) AS mean_b, round(quantile_cont(b, 0.25), 9) AS q1_b, round(quantile_cont(b, 0.75), 9) AS q3_b FROM m GROUP BY sketch_mode""",
-    "unordered_pairs": f"""SELECT least(file1, file2) AS a, greatest(file1, file2) AS b, count(*) AS n, round(min({RE}), 9) AS low, round(max({RE}), 9) AS high
+    "unordered_pairs": f"""SELECT least(file1, file2) AS a, greatest(file1, file2) AS b, count(*) AS n, round(min({RE}), 9) AS low, round(max({RE}), 9) AS high,
+ max({RE}) - min({RE}) <= 0 AS agree
  FROM pair_results WHERE file1 <> file2 GROUP BY ALL""",
     "label_agreement": f"""WITH {_CAT}, x AS (SELECT tissue AS a, mark AS b, count(*) AS n FROM cat WHERE tissue IS NOT NULL AND mark IS NOT NULL GROUP BY ALL),
 ra AS (SELECT a, sum(n) AS n FROM x GROUP BY a), rb AS (SELECT b, sum(n) AS n FROM x GROUP BY b),
@@ -320,9 +339,38 @@ SELECT n::BIGINT AS n, round((px - ev) / (top - ev), 9) AS ari, round(2 * (ha +
  round(median({J}) FILTER (t1 = t2), 9) AS median_same, round(median({J}) FILTER (t1 <> t2), 9) AS median_different,
  round(median({J}) FILTER (t1 = t2) - median({J}) FILTER (t1 <> t2), 9) AS delta, min({J}) FILTER (t1 = t2) > max({J}) FILTER (t1 <> t2) AS separated
  FROM lp WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND {J} IS NOT NULL GROUP BY sketch_mode""",
-    "matrix_pivot": "SELECT sketch_mode, "
-    + ", ".join(f"round(avg({J}) FILTER (sketch_precision = {p}), 9) AS p{p}" for p in (8, 10, 12, 14, 16, 18))
-    + " FROM pair_results GROUP BY sketch_mode",
+    "matrix_pivot": f"PIVOT (SELECT sketch_mode, 'p' || sketch_precision AS p, {J} AS j FROM pair_results WHERE sketch_precision IS NOT NULL) ON p USING round(avg(j), 9) GROUP BY sketch_mode",
+    "rank_agreement": f"""WITH k AS (SELECT row_number() OVER () AS i, sketch_mode, {J} AS x, {RE} AS y FROM pair_results WHERE {_BOTH}),
+p AS (SELECT a.sketch_mode, count(*) AS n, sum((sign(a.x - b.x) * sign(a.y - b.y) < 0)::INT) AS d, sum((a.x = b.x OR a.y = b.y)::INT) AS t, sum((a.x = b.x)::INT) AS tx,
+ sum((a.y = b.y)::INT) AS ty, max(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) < 0 THEN abs(a.x - b.x) ELSE 0.0 END) AS gap
+ FROM k a JOIN k b ON a.sketch_mode = b.sketch_mode AND a.i < b.i GROUP BY a.sketch_mode), z AS (SELECT sketch_mode, sum((y = 0)::INT) AS z FROM k GROUP BY sketch_mode)
+SELECT sketch_mode, n AS comparisons, d::BIGINT AS discordant, t::BIGINT AS tied, round((n - 2 * d - t) / n, 9) AS tau_a,
+ CASE WHEN n > tx AND n > ty THEN round((n - 2 * d - t) / sqrt((n - tx)::DOUBLE * (n - ty)), 9) END AS tau_b, round(gap, 9) AS max_inverted_gap, z::BIGINT AS clamped_at_zero FROM p JOIN z USING (sketch_mode)""",
+    "run_aggregates": f"""SELECT sketch_mode, sketch_precision, count(*) AS n, round(avg({J}), 9) AS mean, round(stddev_pop({J}), 9) AS std, round(min({J}), 9) AS least,
+ round(max({J}), 9) AS most FROM pair_results WHERE {J} IS NOT NULL GROUP BY ALL""",
+    "paired_ratios": f"""WITH {_LP}, b AS (SELECT t1, median({J}) FILTER (sketch_mode = 'C') AS c, median({J}) FILTER (sketch_mode = 'B') AS d FROM lp GROUP BY t1, file1, file2)
+SELECT t1, count(*) AS n, round(median(c / d), 8) AS median, round(min(c / d), 8) AS least, round(max(c / d), 8) AS most FROM b WHERE c IS NOT NULL AND d <> 0 GROUP BY t1""",
+    "first_pairs": f"""SELECT least(file1, file2) AS a, greatest(file1, file2) AS b, run_id, {RE} FROM pair_results
+ QUALIFY row_number() OVER (PARTITION BY least(file1, file2), greatest(file1, file2) ORDER BY written_at NULLS FIRST, run_id NULLS FIRST, {RE} NULLS FIRST) = 1""",
+    "pair_set_cover": """WITH e AS (SELECT DISTINCT sketch_mode, sketch_precision, file1, file2 FROM pair_results), n AS (SELECT sketch_mode, sketch_precision, count(*) AS n FROM e GROUP BY ALL),
+w AS (SELECT * FROM n ORDER BY n DESC, sketch_mode NULLS FIRST, sketch_precision NULLS FIRST LIMIT 1),
+m AS (SELECT DISTINCT file1, file2 FROM e JOIN w ON e.sketch_mode IS NOT DISTINCT FROM w.sketch_mode AND e.sketch_precision IS NOT DISTINCT FROM w.sketch_precision),
+s AS (SELECT e.sketch_mode, e.sketch_precision, count(*) AS n FROM e SEMI JOIN m ON e.file1 IS NOT DISTINCT FROM m.file1 AND e.file2 IS NOT DISTINCT FROM m.file2 GROUP BY ALL)
+SELECT n.sketch_mode, n.sketch_precision, n.n AS n_pairs, coalesce(s.n, 0) AS n_shared, n.n = w.n AND coalesce(s.n, 0) = w.n AS complete FROM n CROSS JOIN w
+ LEFT JOIN s ON n.sketch_mode IS NOT DISTINCT FROM s.sketch_mode AND n.sketch_precision IS NOT DISTINCT FROM s.sketch_precision""",
+    "species_strata": f"""WITH {_LP} SELECT sketch_mode, count(*) FILTER (s1 = s2) AS n_same, count(*) FILTER (s1 <> s2) AS n_different,
+ round(median({J}) FILTER (s1 = s2), 9) AS median_same, round(median({J}) FILTER (s1 <> s2), 9) AS median_different,
+ round(median({J}) FILTER (s1 = s2) - median({J}) FILTER (s1 <> s2), 9) AS delta, min({J}) FILTER (s1 = s2) > max({J}) FILTER (s1 <> s2) AS separated
+ FROM lp WHERE s1 IS NOT NULL AND s2 IS NOT NULL AND {J} IS NOT NULL GROUP BY sketch_mode""",
+    "element_counters": f"""WITH {_V}, t AS (SELECT *, {hash_sql.xxh32("chrom || chr(9) || s || chr(9) || e || chr(9) || 'A'")} <= {E.threshold(0.5)} AS kept FROM v),
+d AS (SELECT chrom, CASE WHEN {hash_sql.xxh32("chrom")} / {float((1 << 32) - 1)} < {E.strides(0.3)[2]!r} THEN {E.strides(0.3)[1]} ELSE {E.strides(0.3)[0]} END AS stride FROM (SELECT DISTINCT chrom FROM v)),
+r AS (SELECT chrom, stride, CAST({hash_sql.xxh32("chrom || '|res'")} % stride AS BIGINT) AS residue FROM d)
+SELECT file_id, count(*) AS n_intervals, count(*) FILTER (kept) AS kept_intervals, sum(e - s)::BIGINT AS n_points,
+ sum((e - 1 - residue + 1000 * stride) // stride - (s - 1 - residue + 1000 * stride) // stride)::BIGINT AS sampled_points FROM t JOIN r USING (chrom) GROUP BY file_id""",
+    "failure_counts": CHECKED + "SELECT file_name, fault, count(*) AS n FROM c JOIN bed_lines USING (line_id) WHERE fault IS NOT NULL GROUP BY ALL",
+    "catalog_lookup": """SELECT species, CASE WHEN species = 'human' THEN 'asmA38' ELSE 'none' END AS reference, count(*) AS n_files,
+ count(*) FILTER (ref_name = CASE WHEN species = 'human' THEN 'asmA38' ELSE 'none' END) AS n_on_reference
+ FROM (SELECT ref_name, CASE WHEN ref_name IN ('asmA37', 'asmA38', 'asmT2T') THEN 'human' ELSE 'unknown' END AS species FROM bed_files) GROUP BY ALL""",
     "catalog_rollup": f"""WITH {_CAT}, r AS (SELECT coalesce(species, 'unknown') AS species, coalesce(ref_name, 'unknown') AS assembly, sample_id FROM cat)
 SELECT species, assembly, grouping(species, assembly)::BIGINT AS level, count(*) AS n_rows, count(DISTINCT sample_id) AS n_items,
  (count(*) * (count(*) - 1) / 2)::BIGINT AS n_pairs FROM r GROUP BY ROLLUP (species, assembly)""",
@@ -355,28 +403,14 @@ FROM i JOIN n x ON x.file_id = file_id_1 JOIN n y ON y.file_id = file_id_2""",
     "bed_to_sequence": """WITH r AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber * 37 AS s, l_linenumber * 37 + CAST(l_quantity AS BIGINT) AS e FROM lineitem)
 SELECT file_id, s AS start_pos, e AS end_pos, substr(text, s + 1, e - s) AS seq FROM r JOIN documents ON doc_id = file_id
 WHERE ((s // 64) * 64 < length(text)) OR (s // 64 = 0)""",
-    "evolve_delete": f"WITH {_V} SELECT file_id, count(*) AS n, sum(s)::BIGINT AS sum_start FROM v WHERE {_u('delete', *_KEY)} >= 0.2 GROUP BY file_id",
-    "evolve_jitter": f"""WITH {_V}, j AS (SELECT file_id, CASE WHEN {_u('jitter', *_KEY)} < 0.3 THEN greatest(0, s + CAST(floor({_u('jitter-start', *_KEY)} * 201) AS BIGINT) - 100) ELSE s END AS s,
- CASE WHEN {_u('jitter', *_KEY)} < 0.3 THEN e + CAST(floor({_u('jitter-end', *_KEY)} * 201) AS BIGINT) - 100 ELSE e END AS e FROM v)
-SELECT file_id, sum(s)::BIGINT AS sum_start, sum(greatest(e, s + 1))::BIGINT AS sum_end, min(s) AS least FROM j GROUP BY file_id""",
-    "evolve_replace": f"""WITH {_V}, j AS (SELECT file_id, s AS was, e, CASE WHEN {_u('replace', *_KEY)} < 0.3 THEN CAST(floor({_u('replace-place', *_KEY)} * 10000000) AS BIGINT) ELSE s END AS s
- FROM v WHERE {_u('replace', *_KEY)} >= 0.15) SELECT file_id, count(*) AS n, sum(s)::BIGINT AS sum_start, sum(s + e - was)::BIGINT AS sum_end FROM j GROUP BY file_id""",
-    "evolve_generations": f"""WITH {_V}, a AS (SELECT * FROM v WHERE {_u('delete-1', *_KEY)} >= 0.1 AND {_u('delete-2', *_KEY)} >= 0.1),
-b AS (SELECT * FROM a WHERE {_u('delete-3', *_KEY)} >= 0.1 AND {_u('delete-4', *_KEY)} >= 0.1),
-u AS (SELECT 0 AS generation, * FROM v UNION ALL SELECT 2, * FROM a UNION ALL SELECT 4, * FROM b)
-SELECT generation, count(*) AS n, sum(e - s)::BIGINT AS bases FROM u GROUP BY generation""",
-    "synthetic_files": f"""WITH r AS (SELECT file_id, unnest(range(1, 11)) AS i FROM bed_files),
-t AS (SELECT 'chr' || (1 + CAST(floor({_u('chrom', 'file_id', 'i')} * 24) AS BIGINT)) AS chrom, CAST(floor({_u('start', 'file_id', 'i')} * 10000000) AS BIGINT) AS s,
- 100 + CAST(floor({_u('length', 'file_id', 'i')} * 9900) AS BIGINT) AS n FROM r)
-SELECT chrom, count(*) AS n, sum(s)::BIGINT AS sum_start, sum(s + n)::BIGINT AS sum_end FROM t GROUP BY chrom""",
 }
 QUERIES = {
     q.__name__: q
     for q in (
-        error_stats, pearson, spearman_ties, kendall, spearman_raw, kendall_raw, binned_errors, jackknife_se, floor_fits, rescaled_errors,
-        replicate_spread, quantile_bins, size_residuals, zero_share, interpolation, unordered_pairs, label_agreement,
-        median_strata, matrix_pivot, tissue_clusters, tissue_tree, catalog_rollup, catalog_topn, catalog_last, catalog_best,
-        catalog_paths, median_intervals, load_factor_floor, exact_kmer_jaccard, minimizers, bed_to_sequence, evolve_delete,
-        evolve_jitter, evolve_replace, evolve_generations, synthetic_files,
+        error_stats, pearson, spearman_ties, kendall, spearman_raw, kendall_raw, rank_agreement, binned_errors, jackknife_se, floor_fits,
+        rescaled_errors, replicate_spread, run_aggregates, paired_ratios, quantile_bins, size_residuals, zero_share, interpolation,
+        unordered_pairs, first_pairs, pair_set_cover, label_agreement, median_strata, species_strata, matrix_pivot, catalog_rollup,
+        catalog_topn, catalog_last, catalog_best, catalog_lookup, catalog_paths, failure_counts, median_intervals, element_counters,
+        load_factor_floor, exact_kmer_jaccard, minimizers, bed_to_sequence,
     )
 }

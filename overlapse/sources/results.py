@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +70,20 @@ def result_table(
     )
 
 
+def query_table(pairs: DataFrame, shape: str = "ie") -> DataFrame:
+    """The narrow form of a result: query, reference and the metrics, in the order of the lists."""
+    names = [F.col("label_1").alias("query"), F.col("label_2").alias("reference")]
+    return pairs.orderBy("ord_1", "ord_2").select(*names, *(F.col(m).alias(HEADINGS.get(m, m)) for m in SHAPES[shape]))
+
+
 def write_result(table: DataFrame, path: str, form: str = "csv") -> None:
-    """Writes a folder of part files: ``csv`` or ``tsv`` with a header, in one ordered part, or
-    ``parquet`` in as many parts as there are partitions."""
+    """Writes a folder of part files that follow each other in the result's order: ``csv``, ``tsv`` or ``query-tsv``
+    with a header each, or ``parquet``."""
     path = located(path)
     if form == "parquet":
         table.write.mode("overwrite").parquet(path)
     else:
-        table.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t" if form == "tsv" else ",").csv(path)
+        table.write.mode("overwrite").option("header", True).option("sep", "," if form == "csv" else "\t").csv(path)
 
 
 def read_results(rows: DataFrame) -> DataFrame:
@@ -84,3 +91,14 @@ def read_results(rows: DataFrame) -> DataFrame:
     if "reg_eq_similarity" in rows.columns:
         return rows
     return rows.withColumnRenamed("jaccard_similarity", "reg_eq_similarity") if "jaccard_similarity" in rows.columns else rows.withColumn("reg_eq_similarity", F.lit(None).cast("double"))
+
+
+def matrix_rows(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(item, one column per name): the symmetric matrix in wide form, both directions averaged, 1 on
+    the diagonal.  No item may be called ``item``."""
+    if "item" in columns:
+        raise ValueError("an item's name clashes with the result's own column: item")
+    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    wide = both.where("a <> b").groupBy("a").pivot("b", list(columns)).agg(F.avg("similarity"))
+    placed = wide.toDF("item", *(f"c{i}" for i in range(len(columns))))
+    return placed.select("item", *(F.when(F.col("item") == c, 1.0).otherwise(F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)))

@@ -44,7 +44,13 @@ def test_full_metrics_of_mode_c_as_tsv(spark, lists):
     assert (first["subA"], first["subB"], first["expA"]) == ("1.0", "0.3", "0.5")
 
 
-def test_sequence_mode_and_references(spark, lists, tmp_path):
+def test_narrow_form(spark, lists):
+    assert cli.run(["one.txt", "two.txt", "-p", "14", "-o", "q", "--re", "--format", "query-tsv"], spark) == 0
+    got = rows("q_hll_p14_jaccB_re.tsv", "\t")
+    assert list(got[0]) == ["query", "reference", "reg_eq_similarity"] and [float(r["reg_eq_similarity"]) for r in got] == [pytest.approx(0.5360262008733624, rel=1e-12), 1, 1, 0, 0, 0]
+
+
+def test_sequence_mode_and_references(spark, lists, tmp_path, capsys):
     seq = "ACGTTGCAAGCT" * 30
     (tmp_path / "s.fa").write_text(f">chr1 one\n{seq[:100]}\n{seq[100:]}\n>chr2\nNNNN{seq.lower()}\n>empty\n")
     (tmp_path / "t.fa").write_text(f">x\n{seq[::-1] * 2}\n")
@@ -60,6 +66,15 @@ def test_sequence_mode_and_references(spark, lists, tmp_path):
     assert cli.run(["il.txt", "il.txt", "--ref", "s.fa", "-p", "10", "-o", "r"], spark) == 0
     assert float(rows("r_s-vs-s_mnmzr_p10_jaccD_k8_w40_ie.csv")[0]["jaccard_similarity_ie"]) == 1.0
     assert cli.run(["ul.txt", "il.txt", "--ref", "s.fa", "-p", "10"], spark) == 2
+    (tmp_path / "u.bed").write_text("chr1\t0\t200\nchr1\t300\t361\n")
+    assert cli.run(["ul.txt", "il.txt", "--ref", "s.fa", "-p", "10"], spark) == 2
+    assert "reach beyond" in capsys.readouterr().err
+    (tmp_path / "n.fa").write_text(f">chr1\n{'N' * 300}{seq}\n>chr2\n{seq}\n")
+    assert cli.run(["il.txt", "il.txt", "--ref", "n.fa", "-p", "10", "-o", "n"], spark) == 0
+    assert "is N" not in capsys.readouterr().err
+    (tmp_path / "i.bed").write_text("chr1\t0\t310\n")
+    assert cli.run(["il.txt", "il.txt", "--ref", "n.fa", "-p", "10", "-o", "n"], spark) == 0
+    assert "97% of the sequence of i.bed is N" in capsys.readouterr().err
 
 
 def test_inputs_that_cannot_be_used(spark, lists, tmp_path, capsys):

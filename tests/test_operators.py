@@ -1,4 +1,4 @@
-"""Statistics, trees, catalogues, sequences, exact baselines and evolution against plain Python."""
+"""Statistics, catalogues, sequences and exact baselines against plain Python."""
 
 import math
 import random
@@ -7,10 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from overlapse.operators import catalog, evolution, exact, sequences, trees
+import overlapse
+from overlapse.operators import catalog, exact, sequences
+from overlapse.operators import elements as E
 from overlapse.operators import registers as R
 from overlapse.operators import statistics as S
-from overlapse.sources import files
+from overlapse.plans import session
+from overlapse.plans.session import written
+from overlapse.sources import files, results
 from overlapse.streaming.sketching import run_registers
 from tests.test_golden import A, B
 
@@ -90,26 +94,97 @@ def test_fits_and_series(spark):
     assert {r.k: round(r.floor, 3) for r in load.collect()} == {"a": 0.0, "b": 0.17}
 
 
-def tree_pairs(spark, d, names):
-    rows = [(names[i], names[j], float(1 - d[i][j]), "g") for i in range(len(names)) for j in range(i)]
-    return spark.createDataFrame(rows, "a string, b string, similarity double, g string")
+def test_symmetric_matrix(spark):
+    pairs = spark.createDataFrame([("b", "a", 0.9), ("c", "b", 0.4), ("c", "a", 0.5)], "a string, b string, similarity double")
+    wide = {r["item"]: r for r in results.matrix_rows(pairs, list("abc")).collect()}
+    assert wide["a"]["a"] == 1.0 and wide["b"]["c"] == wide["c"]["b"] == pytest.approx(0.4) and wide["a"]["b"] == pytest.approx(0.9)
 
 
-def test_trees(spark):
-    names = list("abcde")
-    d = np.array([[0, 0.1, 0.6, 0.7, 0.7], [0.1, 0, 0.6, 0.7, 0.7], [0.6, 0.6, 0, 0.3, 0.3], [0.7, 0.7, 0.3, 0, 0.05], [0.7, 0.7, 0.3, 0.05, 0]])
-    pairs = tree_pairs(spark, d, names)
-    for method in ("average", "complete"):
-        got = {r.item: r.cluster for r in trees.hierarchical(pairs, ["g"], 2, method).collect()}
-        assert got == {"a": 1, "b": 1, "c": 2, "d": 2, "e": 2}
-    merges = trees.merge_order(d, "average")
-    c = trees.cophenetic(5, merges)
-    assert c[3, 4] == pytest.approx(0.05) and c[0, 1] == pytest.approx(0.1) and c[0, 4] == pytest.approx(np.mean(d[:2, 2:]))
-    assert [r.split for r in trees.neighbour_joining(pairs, ["g"]).orderBy("split").collect()] == ["c,d,e", "d,e"]
-    with pytest.raises(Exception, match="at most 3"):
-        trees.hierarchical(pairs, ["g"], 2, limit=3).collect()
-    wide = {r["item"]: r for r in trees.matrix_rows(pairs, names).collect()}
-    assert wide["a"]["a"] == 1.0 and wide["b"]["c"] == pytest.approx(0.4) and wide["c"]["b"] == pytest.approx(0.4) and wide["e"]["e"] == 1.0
+def test_rank_agreement(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(g, rng.choice([0.2, rng.random()]), rng.choice([0.0, 0.3, rng.random()])) for g in "ab" for _ in range(120)] + [("c", 1.0, 1.0), ("d", 1.0, 2.0), ("d", 1.0, 3.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    for slices in (256, 5):
+        monkeypatch.setattr(S, "RANK_SLICES", slices)
+        got = {r.g: r for r in S.rank_agreement(df, ["g"], "x", "y").collect()}
+        assert sorted(got) == ["a", "b", "d"] and (got["d"].tied, got["d"].tau_a, got["d"].tau_b, got["d"].max_inverted_gap) == (1, 0.0, None, 0.0)
+        for g in "ab":
+            own = [(x, y) for k, x, y in rows if k == g and x is not None]
+            signs = [(np.sign(a[0] - b[0]) * np.sign(a[1] - b[1]), abs(a[0] - b[0])) for i, a in enumerate(own) for b in own[:i]]
+            r, n, d, t = got[g], len(signs), sum(s < 0 for s, _ in signs), sum(s == 0 for s, _ in signs)
+            assert (r.comparisons, r.discordant, r.tied, r.clamped_at_zero) == (n, d, t, sum(y == 0 for _, y in own))
+            untied = [sum(own[i][k] != own[j][k] for i in range(len(own)) for j in range(i)) for k in (0, 1)]
+            assert r.tau_a == pytest.approx((n - 2 * d - t) / n) and r.tau_b == pytest.approx((n - 2 * d - t) / math.sqrt(untied[0] * untied[1]))
+            assert r.max_inverted_gap == max(gap for s, gap in signs if s < 0)
+
+
+def test_runs_ratios_and_first_pairs(spark):
+    rows = [(1, "r1", "a", 2.0), (1, "r1", "b", 1.0), (1, "r2", "a", 9.0), (1, "r2", "b", 3.0), (1, "r3", "a", 5.0), (1, "r4", "b", 0.0), (1, "r4", "a", 1.0), (2, "r1", "a", None)]
+    df = spark.createDataFrame(rows, "g int, rep string, arm string, v double")
+    r = S.paired_ratios(df, ["g"], ["rep"], "arm", "a", "b", "v").first()
+    assert (r.n, r.median, r.least, r.most) == (2, 2.5, 2.0, 3.0)
+    runs = {x.g: x for x in S.run_aggregates(df, ["g"], "v").collect()}
+    assert sorted(runs) == [1] and runs[1].n == 7 and runs[1].std == pytest.approx(np.std([2, 1, 9, 3, 5, 0, 1])) and runs[1].most == 9
+    pairs = spark.createDataFrame([("x", "y", 3, 0.1), ("y", "x", 2, 0.7), ("y", "x", 2, 0.5), ("x", "x", 1, 0.2)], "f string, g string, t int, v double")
+    assert sorted(map(tuple, S.first_per_pair(pairs, "f", "g", ["t"], ["v"]).collect())) == [("x", "x", 0.2), ("x", "y", 0.5)]
+    both = {(r.a, r.b): (r.n, r.agree) for r in S.unordered_pairs(pairs, "f", "g", "v").collect()}
+    assert both == {("x", "y"): (3, False)} and S.unordered_pairs(pairs, "f", "g", "v", 0.7).first().agree
+
+
+def test_skewed_values_are_ranked_without_one_window(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANK_SLICES", 7)
+    values = [math.exp(-i / 3) for i in range(300)] + [0.5] * 40
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.rank for r in S.average_ranks(df, [], "v", "rank").collect()}
+    assert [got[v] for v in values] == ranks(values)
+
+
+def test_pair_counts_are_whole_numbers(spark):
+    n = [0, 1, 2, 3, 10**9 + 1, 4 * 10**9]
+    got = spark.createDataFrame([(v,) for v in n], "n long").select(catalog.pair_count(F.col("n"))).collect()
+    assert [r[0] for r in got] == [v * (v - 1) // 2 for v in n]
+    rows = spark.createDataFrame([("hg38", "x"), ("mm10", None), (None, "x")], "r string, why string")
+    assert [r.s for r in catalog.looked_up(rows, "r", {"hg38": "human"}, "s", "none").collect()] == ["human", "none", "none"]
+    assert [tuple(r) for r in catalog.reason_counts(rows, [], "why").collect()] == [("x", 2)]
+
+
+def test_counters_equal_the_elements(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice(["1", "chrX", "a_chromosome_name_of_more_than_forty_four_bytes"]), s := rng.randrange(3000), s + rng.randrange(1, 90)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "f string, chrom string, start long, end long")
+    for rate, points in ((0.5, 0.3), (1.0, 1.0), (0.0, 0.0), (0.9, 0.5)):
+        got = {r.f: (r.n_intervals, r.kept_intervals, r.n_points, r.sampled_points) for r in E.counters(df, ["f"], rate, points).collect()}
+        count = lambda e: dict(e.groupBy("f").count().collect())
+        kept, sampled = count(E.interval_elements(df, ["f"], rate)), count(E.point_elements(df, ["f"], points))
+        for f in "ab":
+            own = [r for r in rows if r[0] == f]
+            assert got[f] == (len(own), kept.get(f, 0), sum(r[3] - r[2] for r in own), sampled.get(f, 0))
+
+
+def test_scratch_is_dropped_and_clusters_need_a_shared_folder(spark):
+    path = session.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and session.drop_scratch(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Unnamed:
+        master = "local-cluster[2,1,1024]"
+        getConf = staticmethod(lambda: {})
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+    with pytest.raises(session.NoSharedFolder):
+        session.shared_dir(type("Session", (), {"sparkContext": Unnamed}))
+
+
+def test_the_package_sketches_and_compares(spark):
+    df = spark.createDataFrame([("a", *r) for r in A] + [("b", *r) for r in B], "f string, chrom string, start long, end long")
+    both = written(overlapse.sketch(df, ["f"], 14), "api")
+    pair = overlapse.pairwise(both.where("f = 'a'"), both.where("f = 'b'"), ["f"], 14).first()
+    assert pair.jaccard_similarity_ie == pytest.approx(0.5334865217816395, rel=1e-12)
+    assert dict(overlapse.cardinalities(both, ["f"], 14).collect())["a"] == pytest.approx(696.6116019118379, rel=1e-12)
+    whole = overlapse.sketch(df, ["f"], 12, "A")
+    assert dict(overlapse.cardinalities(whole, ["f"], 12).collect())["a"] == pytest.approx(6.004408886394782, rel=1e-12)
 
 
 def test_catalogue(spark):
@@ -129,6 +204,11 @@ def test_exact_interval_jaccard(spark):
     rows = spark.createDataFrame([("a", *r) for r in A] + [("b", *r) for r in B] + [("b", "chr1", 460, 700)], "f string, chrom string, start long, end long")
     (r,) = exact.interval_jaccard(rows.where("f = 'a'"), rows.where("f = 'b'"), ["f"]).collect()
     assert (r.intersection, r.union_bases) == (500, 950) and r.jaccard == pytest.approx(0.5263157894736842)
+    assert r.n_intersections == 4
+    edge = 1 << 22
+    cut = spark.createDataFrame([("a", "c", 10, edge), ("a", "c", edge, edge + 50), ("a", "c", edge + 60, 2 * edge + 5), ("b", "c", 0, edge + 55), ("b", "c", edge + 70, 3 * edge), ("b", "c", 5, 6)], "f string, chrom string, start long, end long")
+    (r,) = exact.interval_jaccard(cut.where("f = 'a'"), cut.where("f = 'b'"), ["f"]).collect()
+    assert (r.n_intersections, r.intersection) == (2, edge + 40 + edge - 65)
     wide = spark.createDataFrame([("a", "c", 0, 10**7), ("b", "c", 5, 9_000_000)], "f string, chrom string, start long, end long")
     assert exact.interval_jaccard(wide.where("f = 'a'"), wide.where("f = 'b'"), ["f"]).first().intersection == 8_999_995
 
@@ -155,23 +235,11 @@ def test_extraction_over_chunks(spark):
     got = sorted((r.chrom, r.start, r.seq) for r in sequences.extract(rows, ref, ["f"], width=64).collect())
     assert got == sorted([("c1", 0, seq[:10]), ("c1", 60, seq[60:200]), ("c1", 60, seq[60:200]), ("c1", 990, seq[990:]), ("c2", 1, "cg")])
     assert [tuple(r) for r in sequences.unknown_chromosomes(rows, ref).collect()] == [("zz", 1)]
+    assert tuple(sequences.extraction_faults(rows, ref, ["f"], 64).first()) == ("f", 6, 1, 1)
     share = sequences.share_of_n(sequences.extract(rows.limit(1), ref, ["f"], width=64), ["f"]).first()
     assert share.n_share == pytest.approx(seq[:10].count("N") / 10)
 
 
-def test_evolution_repeats_and_bounds(spark):
-    base = evolution.synthetic_intervals(spark.range(3).withColumnRenamed("id", "f"), ["f"], 400).drop("i")
-    assert base.where("start < 0 or end - start < 100 or end - start >= 10000").count() == 0
-    assert base.exceptAll(base.repartition(7)).count() == 0
-    kept = evolution.delete(base, ["f"], 0.25).count()
-    assert 0.68 < kept / 1200 < 0.82
-    moved = evolution.jitter(base, ["f"], 1.0, 50)
-    assert moved.where("end <= start or start < 0").count() == 0 and moved.count() == 1200
-    assert 0.7 < evolution.replace(base, ["f"], 0.4).count() / 1200 < 0.9
-    steps = {r.generation: r.n for r in evolution.evolve(base, ["f"], 0.1, 4, "delete", 2).groupBy("generation").agg(F.count("*").alias("n")).collect()}
-    assert sorted(steps) == [0, 2, 4] and steps[0] > steps[2] > steps[4]
-
-
 def test_streamed_registers_equal_batch(spark, tmp_path):
     rows = spark.range(4000).select((F.col("id") % 3).alias("f"), (F.col("id") % 1500).cast("string").alias("element"))
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
