@@ -1,11 +1,13 @@
 """Continuous covered periods and gaps of intervals, kept in keyed state.
 
-A record belongs to an *entity* (its key columns) and a *tile* of the axis (``start div width``),
-so that an entity that owns a third of all rows is spread over many keys.  Tiles are grouped into
-a fixed number of shards; the state of a shard is the ordered map of disjoint intervals of each of
-its (entity, tile) members.  A record is inserted by binary search: intervals it overlaps or
-touches are replaced by their union.  Inserting is idempotent and commutative, so late and repeated
-rows need no special care, and several micro-batches give what one gives.
+A record belongs to an *entity* (its key columns) and a *tile* of the axis (``start div width``), so that an
+entity that owns a third of all rows is spread over many keys.  For each (entity, tile) an ordered map of disjoint
+intervals and the gaps between them is kept; a key of the state, a *shard*, holds the maps of some (entity, tile),
+because a key of its own for each costs far more than its records (measured: seven times the whole query).  Maps
+that a batch doesn't touch stay packed.  Each record is inserted by binary search, in the order it comes:
+intervals it overlaps or touches are replaced by their union, and the gaps that it fills, cuts or opens are updated
+with it.  Inserting is idempotent and commutative, so late and repeated rows need no special care, and several
+micro-batches give what one gives.
 
 A record is filed under the tile of its start and may reach into later tiles.  ``gaps`` and
 ``periods`` therefore carry the furthest end of all earlier tiles of the entity into each tile, on
@@ -32,7 +34,7 @@ SHARDS = 192
 #: Beyond that number of shards, one more for so many rows.
 ROWS_PER_SHARD = 100_000
 
-STATE = T.StructType([T.StructField("intervals", T.BinaryType())])
+STATE = T.StructType([T.StructField("maps", T.BinaryType())])
 
 
 def valid_interval(chrom: Column, start: Column, end: Column) -> Column:
@@ -41,103 +43,109 @@ def valid_interval(chrom: Column, start: Column, end: Column) -> Column:
 
 
 class IntervalMap:
-    """Disjoint, non-touching intervals in ascending order; starts[i] < ends[i] < starts[i + 1]."""
+    """Disjoint, non-touching intervals in ascending order, and the gaps between them: starts[i] < ends[i] <
+    starts[i + 1], and gap i reaches from gap_starts[i] to gap_ends[i], the start of interval i + 1."""
 
-    __slots__ = ("ends", "starts")
+    __slots__ = ("ends", "gap_ends", "gap_starts", "starts")
 
     def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
         self.starts, self.ends = starts or [], ends or []
+        self.gap_starts, self.gap_ends = self.ends[:-1], self.starts[1:]
 
     def insert(self, start: int, end: int) -> None:
         """Merges [start, end) with everything it overlaps or touches."""
         starts, ends = self.starts, self.ends
         if not ends or start > ends[-1]:
+            if ends:
+                self.gap_starts.append(ends[-1])
+                self.gap_ends.append(start)
             starts.append(start)
             ends.append(end)
             return
         first = bisect_left(ends, start)
         last = bisect_right(starts, end, lo=first)
         if first == last:
+            # Within a gap, or before all: the gap is cut in two, or one opens.
             starts.insert(first, start)
             ends.insert(first, end)
-        elif last - first == 1:
-            if start < starts[first]:
-                starts[first] = start
-            if end > ends[first]:
-                ends[first] = end
-        else:
-            starts[first:last] = [min(start, starts[first])]
-            ends[first:last] = [max(end, ends[last - 1])]
-
-
-def _packed(maps: dict[tuple, IntervalMap]) -> bytes:
-    table = pa.table(
-        {
-            "entity": pa.array([k[0] for k in maps], pa.string()),
-            "tile": pa.array([k[1] for k in maps], pa.int64()),
-            "starts": pa.array([m.starts for m in maps.values()], pa.list_(pa.int64())),
-            "ends": pa.array([m.ends for m in maps.values()], pa.list_(pa.int64())),
-        }
-    )
+            self.gap_ends.insert(first, starts[first + 1])
+            self.gap_starts.insert(first, end)
+            if first:
+                self.gap_ends[first - 1] = start
+            return
+        if last - first > 1:
+            # The gaps between the merged intervals are filled.
+            starts[first + 1 : last] = []
+            ends[first : last - 1] = []
+            self.gap_starts[first : last - 1] = []
+            self.gap_ends[first : last - 1] = []
+        if start < starts[first]:
+            starts[first] = start
+            if first:
+                self.gap_ends[first - 1] = start
+        if end > ends[first]:
+            ends[first] = end
+            if first < len(self.gap_starts):
+                self.gap_starts[first] = end
+
+
+Key = tuple[str, int]
+
+
+def _packed(maps: dict[Key, bytes]) -> bytes:
+    table = pa.table({"entity": pa.array([k[0] for k in maps], pa.string()), "tile": pa.array([k[1] for k in maps], pa.int64()), "map": pa.array(maps.values(), pa.binary())})
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(table)
     return out.getvalue().to_pybytes()
 
 
-def _unpacked(blob: bytes) -> dict[tuple, IntervalMap]:
-    t = pa.ipc.open_stream(blob).read_all().to_pydict()
-    return {(e, k): IntervalMap(s, f) for e, k, s, f in zip(t["entity"], t["tile"], t["starts"], t["ends"])}
+def _unpacked(blob: bytes) -> dict[Key, bytes]:
+    t = pa.ipc.open_stream(blob).read_all()
+    return dict(zip(zip(t["entity"].to_pylist(), t["tile"].to_pylist()), t["map"].to_pylist()))
+
+
+def _opened(packed: bytes | None) -> IntervalMap:
+    both = np.frombuffer(packed or b"", np.int64)
+    return IntervalMap(both[: len(both) // 2].tolist(), both[len(both) // 2 :].tolist())
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Folds a shard's new records into its state and yields its (entity, tile) rows that changed."""
+def _update(_: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+    """Inserts a shard's new records, in the order they come, and yields its (entity, tile) rows that changed."""
     maps = _unpacked(state.get[0]) if state.exists else {}
-    touched: dict[tuple, IntervalMap] = {}
+    touched: dict[Key, IntervalMap] = {}
     for pdf in batches:
         entity, names = pd.factorize(pdf["entity"])
-        tile, start, end = (pdf[c].to_numpy(np.int64) for c in ("tile", "start", "end"))
-        order = np.lexsort((start, tile, entity))
-        entity, tile, start, end = entity[order], tile[order], start[order], end[order]
-        cuts = np.flatnonzero((np.diff(entity) != 0) | (np.diff(tile) != 0)) + 1
-        bounds = [0, *cuts.tolist(), len(order)]
-        starts, ends = start.tolist(), end.tolist()
-        for lo, hi in zip(bounds, bounds[1:]):
-            if lo == hi:
-                continue
-            k = (names[entity[lo]], int(tile[lo]))
-            m = maps.get(k)
-            if m is None:
-                m = maps[k] = IntervalMap()
-            insert = m.insert
-            for s, e in zip(starts[lo:hi], ends[lo:hi]):
-                insert(s, e)
-            touched[k] = m
+        tile, tiles = pd.factorize(pdf["tile"])
+        own, place = np.unique(entity * np.int64(len(tiles)) + tile, return_inverse=True)
+        inserts = []
+        for code in own.tolist():
+            k = (names[code // len(tiles)], int(tiles[code % len(tiles)]))
+            if k not in touched:
+                touched[k] = _opened(maps.get(k))
+            inserts.append(touched[k].insert)
+        for i, s, e in zip(place.tolist(), pdf["start"].tolist(), pdf["end"].tolist()):
+            inserts[i](s, e)
+    arrays = {k: [np.array(c, np.int64) for c in (m.starts, m.ends, m.gap_starts, m.gap_ends)] for k, m in touched.items()}
+    maps.update({k: a[0].tobytes() + a[1].tobytes() for k, a in arrays.items()})
     state.update((_packed(maps),))
-    if touched:
-        yield pd.DataFrame(
-            {
-                "entity": [k[0] for k in touched],
-                "tile": [k[1] for k in touched],
-                "starts": [np.array(m.starts) for m in touched.values()],
-                "ends": [np.array(m.ends) for m in touched.values()],
-            }
-        )
+    if arrays:
+        columns = dict(zip(("starts", "ends", "gap_starts", "gap_ends"), map(list, zip(*arrays.values()))))
+        yield pd.DataFrame({"entity": [k[0] for k in arrays], "tile": [k[1] for k in arrays], **columns})
+
+
+OUT = "entity string, tile long, starts array<long>, ends array<long>, gap_starts array<long>, gap_ends array<long>"
 
 
 def covered(records: DataFrame, width: int = TILE_WIDTH, shards: int = SHARDS) -> DataFrame:
-    """Streaming operator: (entity, start, end) rows to the changed disjoint intervals per tile.
+    """Streaming operator: (entity, start, end) rows to the changed disjoint intervals and gaps per tile.
 
     ``entity`` is a string; starts are at least 0 and ends lie beyond them.  Update mode: every
     micro-batch gives the whole current state of the (entity, tile) pairs it touched.
     """
     tiled = records.select("entity", F.expr(f"start div {width}").alias("tile"), "start", "end")
-    out = "entity string, tile long, starts array<long>, ends array<long>"
-    return (
-        tiled.withColumn("shard", F.expr(f"cast(pmod(xxhash64(entity, tile), {shards}) as int)"))
-        .groupBy("shard")
-        .applyInPandasWithState(_update, out, STATE, "update", "NoTimeout")
-    )
+    sharded = tiled.withColumn("shard", F.expr(f"cast(pmod(xxhash64(entity, tile), {shards}) as int)"))
+    return sharded.groupBy("shard").applyInPandasWithState(_update, OUT, STATE, "update", "NoTimeout")
 
 
 def run_to_table(records: DataFrame, width: int = TILE_WIDTH, shards: int = SHARDS) -> DataFrame:
@@ -148,7 +156,7 @@ def run_to_table(records: DataFrame, width: int = TILE_WIDTH, shards: int = SHAR
     """
     spark = records.sparkSession
     path = scratch(spark, "coverage")
-    schema = T.StructType.fromDDL("entity string, tile long, starts array<long>, ends array<long>, batch int")
+    schema = T.StructType.fromDDL(f"{OUT}, batch int")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
@@ -194,18 +202,10 @@ def gaps(table: DataFrame) -> DataFrame:
     )
     clipped = reach.where("reach > first").select("entity", "tile", "reach")
     inner = (
-        table.where(F.size("starts") > 1)
+        table.where(F.size("gap_starts") > 0)
         .join(clipped, ["entity", "tile"], "left")
-        .select(
-            "entity",
-            "reach",
-            F.explode(
-                F.arrays_zip(
-                    F.slice("ends", 1, F.size("ends") - 1).alias("s"), F.slice("starts", 2, F.size("starts") - 1).alias("e")
-                )
-            ).alias("g"),
-        )
-        .select("entity", F.greatest("g.s", "reach").alias("gap_start"), F.col("g.e").alias("gap_end"))
+        .select("entity", "reach", F.inline(F.arrays_zip("gap_starts", "gap_ends")))
+        .select("entity", F.greatest("gap_starts", "reach").alias("gap_start"), F.col("gap_ends").alias("gap_end"))
         .where("gap_start < gap_end")
     )
     return between.unionByName(inner)

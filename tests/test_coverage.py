@@ -37,6 +37,7 @@ def test_insertions_keep_disjoint_ordered_intervals(items):
         m.insert(s, s + n)
     want = brute([(1, "c", s, s + n) for s, n in items]).get("1:c", (set(), set()))[0]
     assert list(zip(m.starts, m.ends)) == sorted(want)
+    assert m.gap_starts == m.ends[:-1] and m.gap_ends == m.starts[1:]
 
 
 def stream(spark, tmp_path, parts, name, **options):
@@ -78,7 +79,7 @@ def test_batches_tiles_and_odd_rows(spark, tmp_path):
     assert results(many) == want
 
 
-def test_hot_entity_is_spread_over_shards(spark, tmp_path):
+def test_hot_entity_is_spread_over_tiles(spark, tmp_path):
     rows = [(1, "hot", i * 10, i * 10 + 5) for i in range(3000)] + [(2, "cold", 1, 2)]
     table = C.run_to_table(stream(spark, tmp_path, [rows], "hot"), width=1000, shards=16)
     assert table.where("entity = '1:hot'").count() == 30
