@@ -18,6 +18,12 @@ def p2_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("field_name", "change_kind").agg(F.count(F.lit(1)).alias("n_dumps"))
 
 
+def p2_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judged type of each column of each file, with its number of values."""
+    dumps = load(spark, sf_dir, "run_dumps").dropDuplicates(["dump_id"])
+    return type_statistics(path_values(dumps, "dump_id", "body")).withColumnRenamed("id", "dump_id")
+
+
 PAIR = ("file1", "file2")
 
 
@@ -50,7 +56,7 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("failed_casts", failed).drop("failed_values")
 
 
-QUERIES = {"p2_found": p2_found, "p2_change_counts": p2_change_counts, "p2_table": p2_table}
+QUERIES = {"p2_found": p2_found, "p2_change_counts": p2_change_counts, "p2_types": p2_types, "p2_table": p2_table}
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 _BARE = f"""list_transform(list_transform(list_transform({{0}}, lambda x: trim(replace(x, chr(65279), ''), {_TRIM})),
@@ -94,6 +100,8 @@ UNION ALL SELECT nw.dump_id, nw.name, 'type_changed' FROM nw JOIN od ON od.dump_
 
 
 SQL = {
+    "p2_types": _FOUND.replace("k AS (SELECT dump_id, name,", "k AS (SELECT dump_id, name, count(t) AS n_values,").replace("y AS (SELECT dump_id, name,", "y AS (SELECT dump_id, name, n_values,")
+    + "SELECT dump_id, name, t AS type, n_values FROM y",
     "p2_found": _FOUND + "SELECT * FROM f",
     "p2_change_counts": _FOUND + "SELECT field_name, change_kind, count(*) AS n_dumps FROM f GROUP BY ALL",
 }

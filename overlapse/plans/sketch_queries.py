@@ -316,6 +316,16 @@ m AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, chrom, pos, lag(pos
 i AS (SELECT file_id_1, file_id_2, count(*) AS intersection, count(*) FILTER (before IS NULL OR before < pos - 1) AS n_intersections FROM m GROUP BY ALL)
 SELECT file_id_1, file_id_2, intersection, n_intersections, x.n + y.n - intersection AS union_bases, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
 FROM i JOIN n x ON x.file_id = file_id_1 JOIN n y ON y.file_id = file_id_2""",
+    "exact_files_jaccard": """WITH v AS (SELECT file_id, chrom, start_pos AS s, end_pos AS e FROM intervals
+ WHERE file_id IS NOT NULL AND chrom IS NOT NULL AND start_pos >= 0 AND end_pos > start_pos),
+r AS (SELECT *, max(e) OVER (PARTITION BY file_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+i AS (SELECT *, sum((reach IS NULL OR s > reach)::INT) OVER (PARTITION BY file_id, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM r),
+m AS (SELECT i.file_id, list_side, chrom, min(s) AS s, max(e) AS e FROM i JOIN bed_files b ON b.file_id = i.file_id AND b.file_kind = 'interval' GROUP BY i.file_id, list_side, chrom, island),
+n AS (SELECT file_id, sum(e - s)::BIGINT AS n FROM m GROUP BY file_id),
+o AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS intersection, count(*) AS n_intersections
+ FROM m a JOIN m b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e WHERE a.list_side = 'list1' AND b.list_side = 'list2' GROUP BY ALL)
+SELECT o.*, x.n + y.n - intersection AS union_bases, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
+FROM o JOIN n x ON x.file_id = file_id_1 JOIN n y ON y.file_id = file_id_2""",
     "exact_set_jaccard": f"""WITH d AS (SELECT DISTINCT l_suppkey AS file_id, l_partkey FROM lineitem), n AS (SELECT file_id, count(*) AS n FROM d GROUP BY file_id),
 i AS (SELECT a.file_id AS file_id_1, b.file_id AS file_id_2, count(*) AS intersection FROM d a JOIN d b USING (l_partkey) WHERE a.file_id % {QUERY_STEP} = 0 GROUP BY ALL)
 SELECT i.*, x.n + y.n - intersection AS union_size, round(intersection / (x.n + y.n - intersection), 9) AS jaccard
