@@ -5,10 +5,18 @@ estimators), ``operators`` (DataFrame in, DataFrame out), ``streaming`` (statefu
 ``plans`` (sessions, checkpoints, registered queries).  ``llm`` is optional and self-contained.
 """
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 __version__ = "0.1.0"
 
 
-def sketch(intervals, keys, precision=18, mode="B", **options):
+def sketch(intervals: DataFrame, keys: Sequence[str], precision: int = 18, mode: str = "B", **options: object) -> DataFrame:
     """(keys, sketch): one dense sketch per set of intervals (keys, chrom, start, end); options are those of the
     mode's elements, and ``seed``."""
     from overlapse.operators import elements, registers
@@ -21,7 +29,7 @@ def sketch(intervals, keys, precision=18, mode="B", **options):
     return registers.dense(registers.registers(of, keys, precision, seed=seed), keys, precision)
 
 
-def pairwise(queries, references, keys, precision=18, shape="full"):
+def pairwise(queries: DataFrame, references: DataFrame, keys: Sequence[str], precision: int = 18, shape: str = "full") -> DataFrame:
     """The metrics of every query sketch with every reference sketch; both should be written tables."""
     from overlapse.operators import pairwise as P
 
@@ -29,7 +37,7 @@ def pairwise(queries, references, keys, precision=18, shape="full"):
     return P.shaped(found, shape, [f"{k}_{i}" for i in (1, 2) for k in keys])
 
 
-def cardinalities(sketches, keys, precision=18):
+def cardinalities(sketches: DataFrame, keys: Sequence[str], precision: int = 18) -> DataFrame:
     """(keys, cardinality) of dense sketches."""
     from overlapse.operators import registers
 

@@ -18,6 +18,10 @@ class NoSharedFolder(OSError):
     """A cluster's session that names no folder its executors share."""
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -31,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     kept = sc._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+    if not on_one_machine(spark):
         raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-overlapse-")
     sc.setCheckpointDir(made)

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from overlapse.plans.session import on_one_machine
+
 BLANKS = " \t\r\n\f\v"
 HEADER = r"^(#|@|track|browser)"
 # One record: any first token, then two whole numbers; what follows is ignored.
@@ -148,9 +150,14 @@ def without_prefix(chrom: Column) -> Column:
     return F.regexp_replace(chrom, "^(?i)chr", "")
 
 
-def located(path: str) -> str:
-    """A path as a URI: local ones are taken from the working folder of this process."""
-    return path if "://" in path else f"file://{os.path.abspath(path)}"
+def located(spark: SparkSession, path: str) -> str:
+    """A path as a URI: one without a scheme is taken from the working folder of this process, which only executors
+    on the same machine see; on a cluster it is refused."""
+    if "://" in path:
+        return path
+    if not on_one_machine(spark):
+        raise InputError(f"{path} is a path of this machine; on a cluster give a URI that all executors can reach")
+    return f"file://{os.path.abspath(path)}"
 
 
 def _opened(spark: SparkSession, files: DataFrame, **options: str) -> tuple[DataFrame, DataFrame]:
@@ -160,9 +167,9 @@ def _opened(spark: SparkSession, files: DataFrame, **options: str) -> tuple[Data
     missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
     if missing:
         raise InputError(f"no such file: {', '.join(sorted(missing))}")
-    uris = spark.createDataFrame([(p, located(p)) for p in paths], "path string, at string")
+    uris = spark.createDataFrame([(p, located(spark, p)) for p in paths], "path string, at string")
     plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    lines = spark.read.options(**options).text([located(p) for p in paths])
+    lines = spark.read.options(**options).text([located(spark, p) for p in paths])
     return lines.select("value", F.regexp_replace(plain, "^file:/+", "file:///").alias("at")), files.join(uris, "path").select("side", "ord", "at")
 
 

@@ -79,7 +79,7 @@ def query_table(pairs: DataFrame, shape: str = "ie") -> DataFrame:
 def write_result(table: DataFrame, path: str, form: str = "csv") -> None:
     """Writes a folder of part files that follow each other in the result's order: ``csv``, ``tsv`` or ``query-tsv``
     with a header each, or ``parquet``."""
-    path = located(path)
+    path = located(table.sparkSession, path)
     if form == "parquet":
         table.write.mode("overwrite").parquet(path)
     else:

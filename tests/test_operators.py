@@ -173,8 +173,12 @@ def test_scratch_is_dropped_and_clusters_need_a_shared_folder(spark):
         getConf = staticmethod(lambda: {})
         _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
 
+    cluster = type("Session", (), {"sparkContext": Unnamed})
     with pytest.raises(session.NoSharedFolder):
-        session.shared_dir(type("Session", (), {"sparkContext": Unnamed}))
+        session.shared_dir(cluster)
+    with pytest.raises(files.InputError, match="path of this machine"):
+        files.located(cluster, "out.csv")
+    assert files.located(cluster, "s3a://x/out.csv") == "s3a://x/out.csv" and files.located(spark, "/out.csv") == "file:///out.csv"
 
 
 def test_the_package_sketches_and_compares(spark):
