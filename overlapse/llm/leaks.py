@@ -9,7 +9,8 @@ edits.  The steps, each of which loses no such window:
    seeds can't hold a window of it.
 2. Counting.  Of the window's L + 1 - q q-grams at most q * edits are lost, and the others lie on
    diagonals (position in document less position in item) within ``edits`` of each other.  Shared
-   q-grams are counted in overlapping diagonal bands; regions that reach the bound are retained.
+   q-grams are counted in overlapping diagonal bands, for all pairs of a batch of documents at once; regions that
+   reach the bound are retained.
 3. Verification.  A banded local alignment of each retained region must reach the score of a window
    with ``edits`` edits.  The longest run of equal words is reported beside it.
 
@@ -102,18 +103,22 @@ class Index:
         rows = sorted(seeds)
         self.seeds = np.array([s for s, _ in rows], np.uint64)
         self.owner = np.array([n for _, n in rows], np.int64)
+        # Every q-gram of every item with its place, in order of the hash.
+        grams = np.concatenate([i.grams for i in self.items]) if sizes else np.empty(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.gram_item = np.repeat(np.arange(len(self.items)), [len(i.grams) for i in self.items])[order]
+        self.gram_at = np.concatenate([np.arange(len(i.grams)) for i in self.items])[order] if sizes else np.empty(0, np.int64)
+        least = np.array([i.least for i in self.items], np.int64)
+        self.need, self.reach = np.maximum(1, least + 1 - q * (1 + edits)), least - q
         self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[self.seeds >> np.uint64(64 - _BITS)] = True
+        self.bitmap[np.concatenate((self.seeds, self.grams)) >> np.uint64(64 - _BITS)] = True
 
     def candidates(self, grams: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-        """(document, item) pairs that share a seed, as rows."""
-        at = np.flatnonzero(self.bitmap[grams >> np.uint64(64 - _BITS)])
-        g = grams[at]
-        lo, hi = np.searchsorted(self.seeds, g, "left"), np.searchsorted(self.seeds, g, "right")
+        """The (document, item) pairs that share a seed, as ascending numbers document * items + item."""
+        lo, hi = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
         of, which = _expanded(lo, hi)
-        pair = doc_of[at[of]] * np.int64(len(self.items)) + self.owner[which]
-        pair = np.unique(pair)
-        return np.stack([pair // len(self.items), pair % len(self.items)], axis=1)
+        return np.unique(doc_of[of] * np.int64(len(self.items)) + self.owner[which])
 
 
 def _expanded(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,38 +128,59 @@ def _expanded(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(of))
 
 
-def regions(sorted_doc: np.ndarray, order: np.ndarray, item: Item, q: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """(hits, first item position, end of the last, lowest diagonal) of the diagonal bands whose
-    q-grams reach the bound within some window.  The document's q-grams come sorted, with their
-    positions in ``order``."""
-    need = max(1, item.least + 1 - q * (1 + edits))
-    reach = item.least - q
-    lo, hi = np.searchsorted(sorted_doc, item.grams, "left"), np.searchsorted(sorted_doc, item.grams, "right")
-    ipos, which = _expanded(lo, hi)
-    if len(ipos) < need:
-        return []
-    diagonal = order[which] - ipos
-    step = max(1, edits)
+def regions(index: Index, grams: np.ndarray, doc_of: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows (document, item, hits, first item position, end of the last, lowest diagonal): the diagonal bands whose
+    q-grams reach the bound within some window, of the pairs that share a seed.  ``doc_of`` and ``place`` tell where
+    each q-gram stands."""
+    known = np.flatnonzero(index.bitmap[grams >> np.uint64(64 - _BITS)])
+    grams, doc_of, place = grams[known], doc_of[known], place[known]
+    pairs = index.candidates(grams, doc_of)
+    lo, hi = np.searchsorted(index.grams, grams, "left"), np.searchsorted(index.grams, grams, "right")
+    of, which = _expanded(lo, hi)
+    item, ipos = index.gram_item[which], index.gram_at[which]
+    pair = doc_of[of] * np.int64(len(index.items)) + item
+    at = np.searchsorted(pairs, pair)
+    at[at == len(pairs)] = 0
+    own = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
+    # A pair with fewer hits than a window needs can't hold one, wherever they lie.
+    total = np.bincount(at[own], minlength=len(pairs))
+    kept = np.flatnonzero(own & (total[at] >= index.need[item]) if len(pairs) else own)
+    at, ipos, diagonal = at[kept], ipos[kept], place[of[kept]] - ipos[kept]
+    if not len(at):
+        return np.empty((0, 6), np.int64)
+    step = max(1, index.edits)
     band = np.floor_divide(diagonal, step)
     # Bands are step + edits diagonals wide and overlap by edits, so a hit lies in one or two.
-    twice = np.flatnonzero(diagonal - band * step < edits)
+    twice = np.flatnonzero(diagonal - band * step < index.edits)
     band = np.concatenate((band, band[twice] - 1))
-    ipos = np.concatenate((ipos, ipos[twice]))
-    # Rows of (band, position) in order; the need-th following row must lie within the window.
-    key = np.lexsort((ipos, band))
-    band, ipos = band[key], ipos[key]
-    if len(band) < need:
-        return []
-    first, last = np.arange(len(band) - need + 1), np.arange(need - 1, len(band))
-    dense = first[(band[first] == band[last]) & (ipos[last] - ipos[first] <= reach)]
+    at, ipos = (np.concatenate((x, x[twice])) for x in (at, ipos))
+    # Rows of (pair, band, position) in order, as one number where that has room.
+    lowest, width = int(band.min()), int(ipos.max()) + 1
+    bands = int(band.max()) - lowest + 1
+    if len(pairs) * bands * width < 1 << 62:
+        key = np.sort((at * bands + (band - lowest)) * width + ipos)
+        key, ipos = np.divmod(key, width)
+        at, band = np.divmod(key, bands)
+        band += lowest
+    else:
+        key = np.lexsort((ipos, band, at))
+        at, band, ipos = at[key], band[key], ipos[key]
+    pair = pairs[at]
+    item = pair % len(index.items)
+    # The need-th following row must lie within the window.
+    last = np.arange(len(key)) + index.need[item] - 1
+    inside = np.minimum(last, len(key) - 1)
+    dense = np.flatnonzero(
+        (last < len(key)) & (pair[inside] == pair) & (band[inside] == band) & (ipos[inside] - ipos <= index.reach[item])
+    )
+    if not len(dense):
+        return np.empty((0, 6), np.int64)
     # Dense stretches of one band that touch form one region.
-    cuts = np.flatnonzero((np.diff(band[dense]) != 0) | (np.diff(ipos[dense]) > reach)) + 1
-    out = []
-    for part in np.split(dense, cuts):
-        if len(part):
-            end = part[-1] + need - 1
-            out.append((int(end - part[0] + 1), int(ipos[part[0]]), int(ipos[end]) + q, int(band[part[0]]) * step))
-    return out
+    parted = (np.diff(pair[dense]) != 0) | (np.diff(band[dense]) != 0) | (np.diff(ipos[dense]) > index.reach[item[dense[1:]]])
+    first = dense[np.append(True, parted)]
+    end = last[dense[np.append(parted, True)]]
+    docs = pair[first] // len(index.items)
+    return np.stack([docs, item[first], end - first + 1, ipos[first], ipos[end] + index.q, band[first] * step], axis=1)
 
 
 def banded_scores(docs: np.ndarray, items: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -210,19 +236,14 @@ def _search(index: Index, ids: list, texts: list) -> Iterator[tuple]:
     codes = _codes("\0".join(joined) + "\0")
     grams = qgram_hashes(codes, index.q)
     doc_of = np.repeat(np.arange(len(keep)), lengths)[: len(grams)]
+    found = regions(index, grams, doc_of, np.arange(len(grams)) - starts[doc_of])
     reach = index.edits + 1
-    rows, marks, ordered = [], [], -1
-    for d, i in index.candidates(grams, doc_of).tolist():
-        lo, hi = int(starts[d]), int(starts[d + 1]) - 1
-        if d != ordered:
-            mine = grams[lo : max(lo, hi - index.q + 1)]
-            order = np.argsort(mine, kind="stable")
-            mine, ordered = mine[order], d
-        item = index.items[i]
-        for hits, first, last, low in regions(mine, order, item, index.q, index.edits):
-            rows.append((lo, hi - lo, index.offsets[i], max(0, first - index.q), min(len(item.codes), last + index.q), low - reach))
-            marks.append((d, i, hits))
-    table = np.array(rows, np.int64).reshape(-1, 6)
+    marks = found[:, :3].tolist()
+    d, i, first, last, low = found[:, 0], found[:, 1], found[:, 3], found[:, 4], found[:, 5]
+    offsets, sizes = np.array(index.offsets, np.int64), np.array([len(x.codes) for x in index.items], np.int64)
+    table = np.stack(
+        [starts[d], starts[d + 1] - 1 - starts[d], offsets[i], np.maximum(0, first - index.q), np.minimum(sizes[i], last + index.q), low - reach], axis=1
+    )
     width = max(1, index.edits) + index.edits + 2 * reach + 1
     scores = np.zeros(len(table), np.int64)
     by_length = np.argsort(table[:, 4] - table[:, 3], kind="stable")

@@ -156,7 +156,8 @@ def test_partial_results_merge_at_the_lowest_precision(spark):
 
 
 def test_empty_and_odd_precisions(spark):
-    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 40), ("b", 1, 1), ("c", 1, None)], "g string, x int, p int")
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, 11), ("b", 1, 1), ("c", 1, None)], "g string, x int, p int")
     est = {r.g: r.p for r in D.estimates(D.registers(rows, ["g"], ["x"], "p"), ["g"]).collect()}
-    assert est == {"a": 24, "b": 4, "c": 4}
+    assert est == {"a": 11, "b": 4, "c": 4}
+    assert tuple(rows.select(*(D.clamped(F.lit(p)) for p in (-3, 4, 18, 40))).first()) == (4, 4, 18, 24)
     assert D.estimates(D.registers(rows.limit(0), ["g"], ["x"], "p"), ["g"]).count() == 0

@@ -71,6 +71,40 @@ def test_leaks_with_an_edit_are_regions_too(spark):
     assert len(out) == 1 and out[0].run_words < 10
 
 
+def within(doc, window, edits):
+    """Whether some part of the document is within so many edits of a window."""
+    row = [0] * (len(doc) + 1)
+    for i, c in enumerate(window, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(doc, 1):
+            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+    return min(row) <= edits
+
+
+def test_no_window_within_an_edit_is_missed(spark):
+    rng = random.Random(21)
+    items = [(i, sentence(rng, rng.randint(10, 18))) for i in range(25)]
+    docs = []
+    for d in range(60):
+        w = words(rng.choice(items)[1])
+        k = rng.randint(0, len(w) - 10)
+        part = " ".join(w[k : k + 10])
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            at = rng.randrange(len(part))
+            part = rng.choice([part[:at] + rng.choice("qwxz") + part[at + 1 :], part[:at] + "x" + part[at:], part[:at] + part[at + 1 :]])
+        docs.append((d, f"{sentence(rng, 4)} {part} {sentence(rng, 4)}"))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc, r.item) for r in L.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    want = set()
+    for d, t in docs:
+        joined = " ".join(words(t))
+        for i, text in items:
+            w = words(text)
+            if any(within(joined, " ".join(w[k : k + 10]), 1) for k in range(len(w) - 9)):
+                want.add((d, i))
+    assert want <= got and len(want) >= 40
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = spark.createDataFrame([(i, sentence(rng, 20)) for i in range(9)], "item_id int, text string")
