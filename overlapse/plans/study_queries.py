@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from overlapse.operators import catalog, exact, sequences
 from overlapse.operators import elements as E
 from overlapse.operators import statistics as S
-from overlapse.plans.session import load
+from overlapse.plans.session import load, written
 from overlapse.plans.sketch_queries import K, MINIMIZERS, W, files_intervals
 from overlapse.plans import hash_sql
 from overlapse.plans.line_queries import CHECKED
@@ -237,7 +237,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exact_kmer_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact Jaccard of the canonical k-mers of the documents' sources."""
-    sets = sequences.kmers(_texts(spark, sf_dir), ["file_id"], K)
+    sets = written(sequences.kmers(_texts(spark, sf_dir), ["file_id"], K), "kmers")
     return _rounded(exact.set_jaccard(sets, sets, ["file_id"], "kmer").where("file_id_1 < file_id_2"))
 
 
