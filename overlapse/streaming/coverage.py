@@ -3,7 +3,7 @@
 A record belongs to an *entity* (its key columns) and a *tile* of the axis (``start div width``), so that an
 entity that owns a third of all rows is spread over many keys.  For each (entity, tile) an ordered map of disjoint
 intervals and the gaps between them is kept; a key of the state, a *shard*, holds the maps of some (entity, tile),
-because a key of its own for each costs far more than its records (measured: seven times the whole query).  Maps
+because a key of its own for each costs more than its records (measured: 36 s for the whole query instead of 14 s).  Maps
 that a batch doesn't touch stay packed.  Each record is inserted by binary search, in the order it comes:
 intervals it overlaps or touches are replaced by their union, and the gaps that it fills, cuts or opens are updated
 with it.  Inserting is idempotent and commutative, so late and repeated rows need no special care, and several
