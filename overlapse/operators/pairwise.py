@@ -8,10 +8,12 @@ compares every query with every reference, a block of one side with a block of t
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ SHAPES = {
     "re": ("reg_eq_similarity",),
     "full": ("reg_eq_similarity", "jaccard_similarity_ie", "containment_ab", "containment_ba", "cosketch_geom", "cosketch_arith", "cosketch_max"),
 }
-#: Bytes of sketches in a block, and registers of them that are compared at once.
-BLOCK_BYTES, COLUMNS = 32 << 20, 1 << 14
+#: Bytes of sketches in a block, bytes of them compared with each other that are worth a task, and the pairs a task compares.
+BLOCK_BYTES, TASK_BYTES, TASK_PAIRS = 64 << 20, 1 << 24, 1 << 23
+#: Sketches of either side in a tile, their bytes, and registers of them that are compared at once.
+TILE, TILE_BYTES, COLUMNS = 256, 16 << 20, 1 << 14
 LEAST = 1e-300
 
 
@@ -91,35 +95,152 @@ def sparse_pairs(regs_1: DataFrame, regs_2: DataFrame, keys: Sequence[str], p: i
     return with_metrics(full).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.float32) @ b.astype(np.float32).T
+
+
+def _upto(a: np.ndarray, b: np.ndarray, levels: int, top: int) -> np.ndarray:
+    """(rows of ``a``, rows of ``b``, ``levels``): in how many columns both are at most 0, 1, ...
+
+    That is a product of two matrices of flags. Where few columns hold small values it needs only those; where few
+    hold larger ones, the columns in which both are larger are counted instead.
+    """
+    out = np.empty((levels, len(a), len(b)), np.int32)
+    least, most = np.maximum(a.min(axis=0), b.min(axis=0)), np.minimum(a.max(axis=0), b.max(axis=0))
+    own = [np.stack([np.bincount(r, minlength=top)[:top].cumsum() for r in side]) for side in (a, b)]
+    for v in range(levels):
+        low, high = np.flatnonzero(least <= v), np.flatnonzero(most > v)
+        few = low if len(low) <= len(high) else high
+        x, y = (side if 4 * len(few) > 3 * len(least) else side[:, few] for side in (a, b))
+        if few is low:
+            out[v] = _both(x <= v, y <= v) if len(few) else 0
+        else:
+            out[v] = own[0][:, v, None] + own[1][None, :, v] - a.shape[1]
+            if len(few):
+                out[v] += _both(x > v, y > v).astype(np.int32)
+    return out.transpose(1, 2, 0)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out, same = np.empty((len(a), len(b)), np.int64), np.empty(b.shape, bool)
+    for i, row in enumerate(a):
+        bits = np.packbits(np.equal(b, row, out=same), axis=1)
+        out[i] = np.bitwise_count(bits.view(np.uint64) if bits.shape[1] % 8 == 0 else bits).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def compare_block(one: np.ndarray, two: np.ndarray, p: int, bits: int = 64, union: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(matching, active, union histograms) of every row of ``one`` with every row of ``two``.
 
-    A union's register is at most v where both are, so the number of those is a product of two matrices of
-    flags; without the union only v = 0 is needed.
+    A union's register is at most v where both are; without the union only v = 0 is needed.
     """
     m, top = one.shape[1], bits - p + 2
-    upto = np.zeros((len(one), len(two), top if union else 1), np.float64)
-    for lo in range(0, m, COLUMNS):
-        a, b = one[:, lo : lo + COLUMNS], two[:, lo : lo + COLUMNS]
-        highest = max(int(a.max(initial=0)), int(b.max(initial=0)))
-        for v in range(upto.shape[2]):
-            if v >= highest:
-                upto[:, :, v] += a.shape[1]
-            else:
-                upto[:, :, v] += (a <= v).astype(np.float32) @ (b <= v).astype(np.float32).T
+    upto = np.zeros((len(one), len(two), top if union else 1), np.int32)
+    equal = np.zeros((len(one), len(two)), np.int64)
+    for lo in range(0, m if len(one) and len(two) else 0, COLUMNS):
+        a, b = (np.ascontiguousarray(side[:, lo : lo + COLUMNS]) for side in (one, two))
+        levels = min(upto.shape[2], max(int(a.max()), int(b.max())))
+        upto[:, :, :levels] += _upto(a, b, levels, top)
+        upto[:, :, levels:] += a.shape[1]
+        equal += _equal(a, b)
     empty = upto[:, :, 0].astype(np.int64)
-    equal = np.stack([np.bitwise_count(np.packbits(two == row, axis=1)).sum(axis=1, dtype=np.int64) for row in one]) if len(one) else empty
     histogram = np.diff(upto, axis=2, prepend=0).astype(np.int64) if union else None
     return equal - empty, m - empty, histogram
 
 
-def _numbered(sketches: DataFrame, keys: Sequence[str], side: int, p: int) -> tuple[DataFrame, int]:
-    """A side's sketches with the number of their block, and how many blocks there are."""
-    n = sketches.count()
-    spread = math.isqrt(max(0, sketches.sparkSession.sparkContext.defaultParallelism - 1)) + 1
-    blocks = max(1, -(-(n << p) // BLOCK_BYTES), min(n, spread))
-    named = sketches.select(*(F.col(k).alias(f"{k}_{side}") for k in keys), F.col("sketch").alias(f"cells_{side}"))
-    return named.withColumn(f"_b{side}", F.pmod(F.xxhash64(*(f"{k}_{side}" for k in keys)), F.lit(blocks)).cast("int")), blocks
+def _grid(n1: int, n2: int, bytes_1: int, parallelism: int) -> tuple[int, int]:
+    """Blocks of either side: few, as every block of one is sent to all of the other, but so many that none of the first
+    is beyond ``BLOCK_BYTES``, no task has more than ``TASK_PAIRS``, and all cores have work."""
+    tasks = max(1, min(3 * parallelism, bytes_1 * n2 // TASK_BYTES), -(-n1 * n2 // TASK_PAIRS))
+    blocks = max(1, -(-bytes_1 // BLOCK_BYTES), min(n1, round(math.sqrt(tasks * n1 / max(1, n2)))))
+    return blocks, max(1, min(n2, -(-tasks // blocks)))
+
+
+def _tiles(cells: list[bytes], size_of: Callable[[bytes], int]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most ``TILE`` sketches and, but for single ones, ``TILE_BYTES``."""
+    lo = held = 0
+    for at, one in enumerate(cells):
+        if at > lo and (at - lo == TILE or held + size_of(one) > TILE_BYTES):
+            yield lo, at
+            lo, held = at, 0
+        held += size_of(one)
+    if lo < len(cells):
+        yield lo, len(cells)
+
+
+def _blocked(
+    one: DataFrame, two: DataFrame, keys: Sequence[str], grid: tuple[int, int], numbers: str,
+    size_of: Callable[[bytes], int], opened: Callable, compared: Callable,
+) -> DataFrame:
+    """(keys_1, keys_2, ``numbers``) of sketches of ``one`` with those of ``two``; both hold the keys, ``_weight`` and ``_cells``.
+
+    A task has one block of each side. It holds the first's sketches as they are packed, meets the second's as they
+    come, and gives out the pairs of a tile at a time; by order of weight the sketches of a tile are alike.  ``opened``
+    unpacks a tile's sketches, ``size_of`` tells the bytes of one; ``compared`` gives the places of the pairs of two tiles
+    that are kept (None: all) and their numbers.
+    """
+    blocks_1, blocks_2 = grid
+    hashed, width = F.xxhash64(*keys), len(keys)
+
+    def placed(side: DataFrame, second: bool) -> DataFrame:
+        own, other = (blocks_2, blocks_1) if second else (blocks_1, blocks_2)
+        spread = side.withColumn("_own", F.pmod(hashed, F.lit(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        row, column = ("_other", "_own") if second else ("_own", "_other")
+        return spread.select(*keys, "_weight", "_cells", F.lit(second).alias("_second"), (F.col(row) * blocks_2 + F.col(column)).alias("_task"))
+
+    both = placed(one, False).unionByName(placed(two, True)).repartitionById(blocks_1 * blocks_2, "_task").sortWithinPartitions("_second", "_weight")
+    schema = ", ".join(_key_schema(_renamed(side, keys, i), [f"{k}_{i}" for k in keys]) for i, side in ((1, one), (2, two))) + f", {numbers}"
+    names = [*(f"{k}_{i}" for i in (1, 2) for k in keys), *(n.split()[0] for n in numbers.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[tuple[list[pa.Array], list[bytes]]] = []
+        for batch in batches:
+            start = pc.sum(pc.invert(batch.column(width + 1))).as_py() or 0
+            for begin, rows in ((0, batch.slice(0, start)), (start, batch.slice(start))):
+                cells = rows.column(width).to_pylist()
+                for lo, hi in _tiles(cells, size_of):
+                    columns = [rows.column(i).slice(lo, hi - lo) for i in range(width)]
+                    if begin + lo < start:
+                        # Copied by ``take``, or they would keep their batch.
+                        first.append(([c.take(pa.array(range(len(c)))) for c in columns], cells[lo:hi]))
+                        continue
+                    b = opened(cells[lo:hi])
+                    for named, packed in first:
+                        at, found = compared(opened(packed), b)
+                        i, j = np.divmod(np.arange(len(packed) * (hi - lo)) if at is None else at, hi - lo)
+                        arrays = [c.take(pa.array(i)) for c in named] + [c.take(pa.array(j)) for c in columns]
+                        yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, found)], names=names)
+
+    return both.select(*keys, "_cells", "_second").mapInArrow(run, schema)
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+
+def _packed(sketches: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """Dense sketches, compressed, since each is sent to several tasks."""
+    size = 1 << p
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TILE):
+                rows = batch.slice(lo, TILE)
+                cells = rows.column("sketch").to_pylist()
+                for other in set(map(len, cells)) - {size}:
+                    raise ValueError(f"a sketch of {other} registers stands among those of precision {p}")
+                weights = pa.array([int(np.frombuffer(c, np.uint8).sum()) for c in cells], pa.int64())
+                columns = [rows.column(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, weights, pa.array(map(_squeezed, cells), pa.binary())], names=[*keys, "_weight", "_cells"])
+
+    return sketches.select(*keys, "sketch").mapInArrow(pack, f"{_key_schema(sketches, keys)}, _weight long, _cells binary")
+
+
+def _squeezed(cells: bytes) -> bytes:
+    """Registers take few values, and hardly ever in a row."""
+    made = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return made.compress(cells) + made.flush()
 
 
 def dense_pairs(
@@ -127,41 +248,29 @@ def dense_pairs(
 ) -> DataFrame:
     """Every query with every reference; both hold the key columns and ``sketch`` (2^p bytes).
 
-    Both sides are cut into blocks of at most about ``BLOCK_BYTES``, and enough for all cores; a task compares one block with another, so
-    nothing passes through the driver and the plan is the same whatever the lists' lengths.  Both are counted
+    Both sides are cut into blocks and a task compares one block with another, a tile at a time, so a task's memory doesn't grow
+    with the lists, nothing passes through the driver and the plan is the same whatever their lengths.  Both are counted
     first and should be written tables.  A sketch of another length than 2^p is refused.  Shape ``re`` has no
     union and no cardinalities.
     """
-    kinds = dict(queries.dtypes)
     k1, k2 = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys]
     union = shape != "re"
-    schema = ", ".join(f"`{k}_{s}` {kinds[k]}" for s in (1, 2) for k in keys)
-    schema += ", matching long, active long" + (", card_1 double, card_2 double, card_union double" if union else "")
-    size, names = 1 << p, [*k1, *k2, "matching", "active", *(["card_1", "card_2", "card_union"] if union else [])]
-    one, n1 = _numbered(queries, keys, 1, p)
-    two, n2 = _numbered(references, keys, 2, p)
-    one = one.withColumn("_b2", F.explode(F.sequence(F.lit(0), F.lit(n2 - 1))))
-    two = two.withColumn("_b1", F.explode(F.sequence(F.lit(0), F.lit(n1 - 1))))
-
-    def matrix(sketches: pd.Series) -> np.ndarray:
-        for other in set(map(len, sketches)) - {size}:
-            raise ValueError(f"a sketch of {other} registers stands among those of precision {p}")
-        return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), size)
-
-    def compare(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=names)
-        x, y = matrix(a["cells_1"]), matrix(b["cells_2"])
-        each, other = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
-        out = {**{k: a[k].to_numpy()[each] for k in k1}, **{k: b[k].to_numpy()[other] for k in k2}}
-        matching, active, histogram = compare_block(x, y, p, bits, union)
-        out |= {"matching": matching.ravel(), "active": active.ravel()}
+    numbers = "matching long, active long" + (", card_1 double, card_2 double, card_union double" if union else "")
+    n1, n2 = queries.count(), references.count()
+    grid = _grid(n1, n2, n1 << p, queries.sparkSession.sparkContext.defaultParallelism)
+
+    def opened(cells: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(zlib.decompress, cells)), np.uint8).reshape(len(cells), 1 << p)
+
+    def compared(a: np.ndarray, b: np.ndarray) -> tuple[None, list[np.ndarray]]:
+        matching, active, histogram = compare_block(a, b, p, bits, union)
+        out = [matching.ravel(), active.ravel()]
         if union:
-            out |= {"card_1": _own(x, p, bits)[each], "card_2": _own(y, p, bits)[other]}
-            out["card_union"] = estimators.cardinalities(histogram.reshape(len(each), histogram.shape[2]), p, bits)
-        return pd.DataFrame(out)
+            out += [np.repeat(_own(a, p, bits), len(b)), np.tile(_own(b, p, bits), len(a))]
+            out.append(estimators.cardinalities(histogram.reshape(-1, histogram.shape[2]), p, bits))
+        return None, out
 
-    found = one.groupBy("_b1", "_b2").cogroup(two.groupBy("_b1", "_b2")).applyInPandas(compare, schema)
+    found = _blocked(_packed(queries, keys, p), _packed(references, keys, p), keys, grid, numbers, lambda _: 1 << p, opened, compared)
     if not union:
         return found.select(*k1, *k2, "matching", "active", register_equality().alias("reg_eq_similarity"))
     return with_metrics(found).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])

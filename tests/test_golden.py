@@ -1,6 +1,9 @@
 """Golden values of two tiny interval files, for every mode and sampler."""
 
 import math
+import os
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -144,3 +147,60 @@ def test_blocks_compare_like_single_pairs(p, bits):
             assert union[i, j].tolist() == np.bincount(u, minlength=bits - p + 2).tolist()
     few = P.compare_block(one, two, p, bits, union=False)
     assert (few[0] == matching).all() and (few[1] == active).all() and few[2] is None
+
+
+def _workers_mb():
+    """Resident MB of the largest Python worker below this process."""
+    parents, sizes = {}, {}
+    for status in Path("/proc").glob("[0-9]*/status"):
+        try:
+            held = dict(line.split(":", 1) for line in status.read_text().splitlines() if ":" in line)
+        except OSError:
+            continue
+        parents[int(held["Pid"])] = int(held["PPid"])
+        if held["Name"].strip().startswith("python"):
+            sizes[int(held["Pid"])] = int(held.get("VmRSS", "0 kB").split()[0]) / 1024
+
+    def below(pid):
+        while pid in parents and pid != os.getpid():
+            pid = parents[pid]
+        return pid == os.getpid()
+
+    return max([mb for pid, mb in sizes.items() if pid != os.getpid() and below(pid)], default=0)
+
+
+def test_dense_pairs_hold_a_tile_of_pairs(spark):
+    n, p = 1800, 6
+    rng = np.random.default_rng(1)
+    rows = [(i, np.minimum(rng.geometric(0.5, 1 << p), 59).astype(np.uint8).tobytes()) for i in range(n)]
+    sketches = spark.createDataFrame(rows, "f long, sketch binary").cache()
+    peak, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            peak[0] = max(peak[0], _workers_mb())
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    P.dense_pairs(sketches, sketches, ["f"], p).write.format("noop").mode("overwrite").save()
+    over.set()
+    thread.join()
+    assert 0 < peak[0] < 600
+
+
+def _sketched(rng, n, p, share):
+    cells = np.where(rng.random((n, 1 << p)) < share, np.minimum(rng.geometric(0.5, (n, 1 << p)), 64 - p + 1), 0).astype(np.uint8)
+    cells[0] = 0
+    return cells
+
+
+def test_dense_pairs_of_many_tiles_keep_null_keys(spark):
+    p, rng = 4, np.random.default_rng(2)
+    cells = _sketched(rng, 530, p, 0.7)
+    keys = [None, *((1 << 60) + i for i in range(1, len(cells)))]
+    sketches = spark.createDataFrame([(k, c.tobytes()) for k, c in zip(keys, cells)], "f long, sketch binary")
+    found = {(r.f_1, r.f_2): (r.matching, r.active) for r in P.dense_pairs(sketches, sketches.limit(300), ["f"], p).collect()}
+    assert len(found) == 530 * 300
+    for (f, a), (g, b) in ((x, y) for x in list(zip(keys, cells))[::53] for y in list(zip(keys, cells))[:300:29]):
+        u = np.maximum(a, b)
+        assert found[f, g] == (((a == b) & (u > 0)).sum(), (u > 0).sum())
