@@ -1,8 +1,8 @@
 """Similarity of pairs of sketches.
 
-Two physical forms give the same integers.  The sparse one joins filled registers on their index and
-suits sketches with few filled registers; its result holds the pairs that share one.  The dense one
-compares every query with every reference, a block of one side with a block of the other at a time.
+Two physical forms give the same integers.  The sparse one compares filled registers only and suits
+sketches with few of them; its result holds the pairs that share one.  The dense one compares every
+query with every reference.  Both compare a block of one side with a block of the other at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from overlapse.functions import estimators
-from overlapse.operators.registers import checked, counts_array, sketch_statistics
+from overlapse.operators.registers import checked
 
 SHAPES = {
     "ie": ("jaccard_similarity_ie",),
@@ -67,32 +67,76 @@ def _renamed(df: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
 def sparse_pairs(regs_1: DataFrame, regs_2: DataFrame, keys: Sequence[str], p: int, bits: int = 64) -> DataFrame:
     """Pairs that share a filled register, with matching, active, the cardinalities and metrics.
 
-    The union's histogram is the sum of both sketches' less, for registers filled in both, the
-    smaller value: no union is materialised.
+    The union's histogram is the sum of both sketches' less, for registers filled in both, the smaller value: no union
+    is materialised.  Blocks of sketches are compared as in ``dense_pairs``, over those registers that are filled
+    on both sides of a tile.  Both tables are counted first and should be written ones.
     """
-    k1, k2 = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys]
-    one = _renamed(checked(regs_1, p, bits), keys, 1).withColumnRenamed("rho", "r1")
-    two = _renamed(checked(regs_2, p, bits), keys, 2).withColumnRenamed("rho", "r2")
-    met = (
-        one.join(two, "idx")
-        .groupBy(*k1, *k2, F.least("r1", "r2").alias("low"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r1") == F.col("r2")).alias("equal"))
-        .groupBy(*k1, *k2)
-        .agg(F.sum("n").alias("both"), F.sum("equal").alias("matching"), F.map_from_entries(F.collect_list(F.struct("low", "n"))).alias("lows"))
-    )
-    stats = lambda regs, side: _renamed(sketch_statistics(regs, keys, p, bits), keys, side).withColumnsRenamed(
-        {"filled": f"filled_{side}", "counts": f"counts_{side}", "cardinality": f"card_{side}"}
-    )
-    joined = met.join(stats(regs_1, 1), k1).join(stats(regs_2, 2), k2)
-    lows = counts_array(F.col("lows"), p, bits)
-    plain = F.zip_with(F.zip_with("counts_1", "counts_2", lambda a, b: a + b), lows, lambda a, b: a - b)
-    # Entry 0 of each holds empty registers: m - filled; the union's is m less what is filled in either.
-    empty = F.lit(1 << p) - (F.col("filled_1") + F.col("filled_2") - F.col("both"))
-    union = F.concat(F.array(empty), F.slice(plain, 2, bits - p + 1))
-    full = joined.withColumn("active", F.col("filled_1") + F.col("filled_2") - F.col("both")).withColumn(
-        "card_union", estimators.cardinality(union, p, bits)
-    )
-    return with_metrics(full).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])
+    k1, k2, top = [f"{k}_1" for k in keys], [f"{k}_2" for k in keys], bits - p + 2
+    known = [checked(regs, p, bits).dropna(subset=list(keys)) for regs in (regs_1, regs_2)]
+    (n1, filled), (n2, _) = (regs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first() for regs in known)
+    grid = _grid(n1, n2, filled * _ROW.itemsize, regs_1.sparkSession.sparkContext.defaultParallelism)
+
+    def opened(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(cells)), [len(c) // _ROW.itemsize for c in cells]), np.frombuffer(b"".join(cells), _ROW)
+
+    def counts(own: np.ndarray, rho: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(own * top + rho, minlength=n * top).reshape(n, top)
+
+    def compared(one: tuple, two: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
+        sizes = [int(own[-1]) + 1 for own, _ in (one, two)]
+        h1, h2 = (counts(own, r["rho"], n) for (own, r), n in zip((one, two), sizes))
+        met = np.intersect1d(*(np.unique(r["idx"]) for _, r in (one, two)), assume_unique=True)
+        matching, lows = np.zeros(sizes, np.int64), np.zeros((*sizes, top), np.int64)
+        for lo in range(0, len(met), COLUMNS):
+            some, parts = met[lo : lo + COLUMNS], []
+            for (own, r), n in zip((one, two), sizes):
+                at = np.minimum(np.searchsorted(some, r["idx"]), len(some) - 1)
+                here = np.flatnonzero(some[at] == r["idx"])
+                cells = np.zeros((n, len(some)), np.uint8)
+                cells[own[here], at[here]] = r["rho"][here]
+                parts.append((cells, counts(own[here], r["rho"][here], n)))
+            (a, c1), (b, c2) = parts
+            equal, _, union = compare_block(a, b, p, bits)
+            matching += equal
+            lows += c1[:, None] + c2[None, :] - union
+        lows[:, :, 0] = 0
+        both = lows.sum(axis=2).ravel()
+        at = np.flatnonzero(both)
+        i, j = np.divmod(at, sizes[1])
+        union = h1[i] + h2[j] - lows.reshape(-1, top)[at]
+        active = union.sum(axis=1)
+        union[:, 0] = (1 << p) - active
+        for h in (h1, h2):
+            h[:, 0] = (1 << p) - h.sum(axis=1)
+        cards = (estimators.cardinalities(h, p, bits) for h in (h1, h2, union))
+        card_1, card_2, card_union = cards
+        return at, [matching.ravel()[at], active, card_1[i], card_2[j], card_union]
+
+    numbers = "matching long, active long, card_1 double, card_2 double, card_union double"
+    found = _blocked(*(_gathered(regs, keys) for regs in known), keys, grid, numbers, len, opened, compared)
+    return with_metrics(found).select(*k1, *k2, "matching", "active", "card_1", "card_2", "card_union", "shared", *SHAPES["full"])
+
+
+_ROW = np.dtype([("idx", "<i4"), ("rho", "u1")])
+
+
+def _gathered(regs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _weight, _cells): each sketch's filled registers in one value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(keys))
+            ends, rows = np.diff(held.offsets.to_numpy()), held.flatten()
+            cells = np.empty(len(rows), _ROW)
+            for i, name in enumerate(_ROW.names):
+                cells[name] = rows.field(i).to_numpy()
+            bounds = np.append(0, ends.cumsum()).tolist()
+            packed = [cells[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])]
+            columns = [batch.column(i) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ends, pa.int64()), pa.array(packed, pa.binary())], names=[*keys, "_weight", "_cells"])
+
+    rows = regs.groupBy(*keys).agg(F.collect_list(F.struct("idx", "rho")).alias("_rows"))
+    return rows.mapInArrow(pack, f"{_key_schema(regs, keys)}, _weight long, _cells binary")
 
 
 def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:

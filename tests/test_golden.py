@@ -204,3 +204,24 @@ def test_dense_pairs_of_many_tiles_keep_null_keys(spark):
     for (f, a), (g, b) in ((x, y) for x in list(zip(keys, cells))[::53] for y in list(zip(keys, cells))[:300:29]):
         u = np.maximum(a, b)
         assert found[f, g] == (((a == b) & (u > 0)).sum(), (u > 0).sum())
+
+
+def test_sparse_pairs_compare_blocks_without_a_row_per_register(spark):
+    p, rng = 5, np.random.default_rng(3)
+    one, two = (_sketched(rng, n, p, share) for n, share in ((300, 0.05), (270, 0.6)))
+    regs = [
+        spark.createDataFrame([(int(i), int(j), int(c[i, j])) for i, j in zip(*np.nonzero(c))] + [(None, 1, 1)], "f long, idx int, rho byte").selectExpr("f", "idx", "cast(rho as tinyint) as rho")
+        for c in (one, two)
+    ]
+    pairs = P.sparse_pairs(*regs, ["f"], p)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = {(r.f_1, r.f_2): r for r in pairs.collect()}
+    want = [(i, j) for i, a in enumerate(one) for j, b in enumerate(two) if ((a > 0) & (b > 0)).any()]
+    assert sorted(found) == want
+    for i, j in want[::97]:
+        a, b = one[i], two[j]
+        u, r = np.maximum(a, b), found[i, j]
+        assert (r.matching, r.active) == (((a == b) & (u > 0)).sum(), (u > 0).sum())
+        cards = [P.estimators.cardinalities(np.bincount(x, minlength=64 - p + 2)[None], p)[0] for x in (a, b, u)]
+        assert close([r.card_1, r.card_2, r.card_union], cards)
+    assert P.sparse_pairs(regs[0].limit(0), regs[1], ["f"], p).count() == 0
