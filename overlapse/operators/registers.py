@@ -19,8 +19,8 @@ from overlapse.functions.hashing import BITS, P64_1, P64_2, P64_3, P64_4, P64_5,
 from overlapse.operators.elements import SEPARATOR
 
 LOWEST, HIGHEST = 4, 24
-#: Bytes of dense sketches a task holds before it gives them out.
-HELD_BYTES = 256 << 20
+#: Bytes of dense sketches a task holds before it gives them out, and gives out at once.
+HELD_BYTES, GIVEN_BYTES = 256 << 20, 16 << 20
 #: Positions of one key that a task folds, and positions hashed at once.
 TASK_POSITIONS, CHUNK = 20_000_000, 1 << 15
 
@@ -340,9 +340,12 @@ def point_sketches(intervals: DataFrame, keys: Sequence[str], p: int, seed: int
     salt = F.pmod(F.xxhash64("chrom", "start", "end"), F.col("_parts"))
     near = flat.join(spans, same).select(*keys, "chrom", "start", "end", salt.alias("_salt")).repartition(*keys, "_salt").drop("_salt")
 
-    def rows(known: list[tuple], cells: np.ndarray) -> pd.DataFrame:
-        named = {k: [key[i] for key in known] for i, k in enumerate(keys)}
-        return pd.DataFrame({**named, "sketch": [c.tobytes() for c in cells[: len(known)]]})
+    def rows(known: list[tuple], cells: np.ndarray) -> Iterator[pd.DataFrame]:
+        step = max(1, GIVEN_BYTES // size)
+        for lo in range(0, len(known), step):
+            some = known[lo : lo + step]
+            named = {k: [key[i] for key in some] for i, k in enumerate(keys)}
+            yield pd.DataFrame({**named, "sketch": [c.tobytes() for c in cells[lo : lo + len(some)]]})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, int] = {}
@@ -353,7 +356,7 @@ def point_sketches(intervals: DataFrame, keys: Sequence[str], p: int, seed: int
             for first in range(0, len(own), most):
                 some = own[first : first + most]
                 if len(known) + sum(key not in known for key in some) > most:
-                    yield rows(list(known), cells)
+                    yield from rows(list(known), cells)
                     known, cells = {}, np.zeros((1, size), np.uint8)
                 for key in some:
                     known.setdefault(key, len(known))
@@ -365,7 +368,7 @@ def point_sketches(intervals: DataFrame, keys: Sequence[str], p: int, seed: int
                 mine = (codes >= first) & (codes < first + len(some))
                 _fold(cells, place[codes[mine] - first], pdf[mine], p, seed)
         if known:
-            yield rows(list(known), cells)
+            yield from rows(list(known), cells)
 
     parts = near.mapInPandas(partial, schema)
     long = dense(registers(point_elements(intervals.where(~fits), keys), keys, p, "xxh64", seed), keys, p)
